@@ -14,41 +14,59 @@ import re
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_WIDE = re.compile(r"\s\s|^\s|\s\Z")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Cuts that a worker keeps, in two generations of this size, and the longest that is kept.
-KEPT, LONGEST = 500_000, 64
+KEPT, LONGEST = 800_000, 64
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
 def cuts(text: str) -> list[str]:
     """``text`` without the spaces that it can be cut at."""
-    return _CUT.split(text) if _WIDE.search(text) else text.split(" ")
+    return _CUT.split(text)
 
 
-class Kept(dict):
-    """What was made for each cut; ``fill`` makes what is missing by ``make`` and forgets what long went unused."""
+def _edgy(cut: str) -> bool:
+    """If white space begins or ends it: the space beside it is no place to cut, or the text ends there."""
+    return not cut or cut[0].isspace() or cut[-1].isspace()
+
+
+class Kept:
+    """What was made for each cut after a text's first, by ``make`` when missing. Cuts not met for KEPT others are forgotten."""
 
     def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def fill(self, block: list[list[str]]) -> dict:
-        """After this the kept cuts hold every cut of ``block``; returns the long ones, which aren't kept."""
-        if len(self) > KEPT:
-            self.old = dict(self)
-            self.clear()
-        need: set[str] = set()
-        for c in block:
-            need.update(c)
-        need.difference_update(self.keys())
-        again = need & self.old.keys()
-        self.update((w, self.old[w]) for w in again)
-        need -= again
-        long = [w for w in need if len(w) > LONGEST]
-        need.difference_update(long)
-        self.update(zip(short := list(need), self.make(short)))
-        return dict(zip(long, self.make(long)))
+        self.make, self.now, self.old = make, {}, {}
+
+    def _missing(self, block: list[list[str]]) -> list[str]:
+        need = set().union(*block)
+        return [w for w in need if w not in self.now]
+
+    def parts(self, texts: list[str]) -> list[tuple[str, list]]:
+        """The first cut of each text, and what was made for the others."""
+        if len(self.now) > KEPT:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        block = [t.split(" ") for t in texts]
+        firsts = [c.pop(0) for c in block]
+        missing = self._missing(block)
+        if any(map(_edgy, missing)) or any(f[-1].isspace() for f in firsts if f):
+            block = [cuts(t) for t in texts]
+            firsts = [c.pop(0) for c in block]
+            missing = self._missing(block)
+        new, passing = [], []
+        for w in missing:
+            if w in old:
+                now[w] = old[w]
+            elif len(w) > LONGEST or _edgy(w):
+                passing.append(w)
+            else:
+                new.append(w)
+        now.update(zip(new, self.make(new)))
+        of = now.__getitem__
+        if passing:
+            once = dict(zip(passing, self.make(passing)))
+            of = lambda w: once[w] if w in once else now[w]
+        return [(first, list(map(of, c))) for first, c in zip(firsts, block)]
 
 
 class Encoder:
@@ -61,9 +79,14 @@ class Encoder:
 
         self.dtype = np.dtype(dtype)
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
+        vocab = self.tokenizer.get_vocab()
+        if max(vocab.values()) > np.iinfo(self.dtype).max:
             raise ValueError(f"ids of {path} don't fit {dtype}")
-        self.kept = Kept(lambda cuts: self._encode([" " + w for w in cuts]))
+        # which ids end a word (where words have a mark at their end), or begin one (where the space does)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends, self.edge = bool(suffix), np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocab.items() if (t.endswith(suffix) if suffix else t.startswith("\u0120"))]] = True
+        self.kept = Kept(self._spaced)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         if not pieces:
@@ -71,15 +94,28 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Of cuts with the space before them. Plain words, each one piece to the tokenizer, go many at a time."""
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        found = {}
+        for begin in range(0, len(plain), 1000):
+            part = plain[begin : begin + 1000]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            at = np.flatnonzero(self.edge[ids]) + self.ends
+            at = np.append(0, at) if self.ends else np.append(at, len(ids))
+            if len(at) == len(part) + 1:
+                raw, at = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+                found.update((w, raw[a:b]) for w, a, b in zip(part, at, at[1:]))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._encode([" " + w for w in rest])))
+        return [found[w] for w in words]
+
     def pack(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         out = []
         for begin in range(0, len(texts), 200):
-            block = [cuts(t) for t in texts[begin : begin + 200]]
-            firsts = self._encode([c.pop(0) for c in block])
-            long = self.kept.fill(block)
-            of = (lambda w: long[w] if w in long else self.kept[w]) if long else self.kept.__getitem__
-            out += [first + b"".join(map(of, c)) for first, c in zip(firsts, block)]
+            parts = self.kept.parts(texts[begin : begin + 200])
+            out += [first + b"".join(rest) for first, (_, rest) in zip(self._encode([p[0] for p in parts]), parts)]
         return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accordance.llm.encoding import Kept, cuts, tokenizer_path
+from accordance.llm.encoding import Kept, tokenizer_path
 
 #: Characters that the normalizer keeps one for one (but for case), and the split pattern for them and for white space.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -172,11 +172,7 @@ class PrefixCounter:
         """The steps over each text."""
         out = []
         for begin in range(0, len(texts), 200):
-            block = [cuts(t) for t in texts[begin : begin + 200]]
-            firsts = [self.steps(c.pop(0)) for c in block]
-            long = self.kept.fill(block)
-            of = (lambda w: long[w] if w in long else self.kept[w]) if long else self.kept.__getitem__
-            out += [first + b"".join(map(of, c)) for first, c in zip(firsts, block)]
+            out += [self.steps(first) + b"".join(rest) for first, rest in self.kept.parts(texts[begin : begin + 200])]
         return out
 
 
