@@ -184,10 +184,21 @@ class _Block:
         self.sizes = np.array([len(s) for s in self.sets])
         self.sketch = np.stack([np.frombuffer(s, np.uint8) for s in sketches])
         self.root, self.edges = np.arange(len(tids)), []
-
-    def similar(self, a: int, b: int) -> bool:
-        both = len(np.intersect1d(self.sets[a], self.sets[b]))
-        return both >= SIMILAR * (self.sizes[a] + self.sizes[b] - both)
+        self.ends = np.cumsum(self.sizes)
+        names, self.ids = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.own = np.zeros(len(names), dtype=bool)
+
+    def shared(self, a: int, among: np.ndarray) -> np.ndarray:
+        """How many units of text a each text of ``among`` has."""
+        mine = self.ids[self.ends[a] - self.sizes[a] : self.ends[a]]
+        self.own[mine] = True
+        if len(among) * 8 < len(self.sets):
+            found = np.array([np.count_nonzero(self.own[self.ids[self.ends[b] - self.sizes[b] : self.ends[b]]]) for b in among], dtype=np.int64)
+        else:
+            before = np.append(0, np.cumsum(self.own[self.ids]))
+            found = before[self.ends[among]] - before[self.ends[among] - self.sizes[among]]
+        self.own[mine] = False
+        return found
 
     def compare(self, a: int, among: np.ndarray) -> None:
         """Links text a with the texts ``among`` that are similar and not yet of its class."""
@@ -196,8 +207,9 @@ class _Block:
         among = among[small >= SIMILAR * np.maximum(self.sizes[among], self.sizes[a])]
         alike = (self.sketch[among] == self.sketch[a]).mean(axis=1)
         among = among[alike >= _SKETCH_LEAST]
-        for b in among[np.argsort(-alike[alike >= _SKETCH_LEAST], kind="stable")]:
-            if self.root[a] != self.root[b] and self.similar(a, b):
+        both = self.shared(a, among)
+        for b in among[both >= SIMILAR * (self.sizes[a] + self.sizes[among] - both)]:
+            if self.root[a] != self.root[b]:
                 self.edges.append((self.tids[a], self.tids[b]))
                 self.root[self.root == self.root[b]] = self.root[a]
 
