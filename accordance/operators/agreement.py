@@ -40,8 +40,8 @@ def alpha_interval(ratings: DataFrame, unit: str, value: str, by: tuple[str, ...
     """As alpha_nominal, values being apart by the square of their difference."""
     x = F.col(value).cast("double")
     units = ratings.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, unit).agg(F.count("*").alias("m"), F.avg(x).alias("mean"), F.var_pop(x).alias("var")).where("m > 1")
-    keyed = units.withColumn("_set", F.lit(1))
-    keys = ["_set", *by]
+    keyed = units.withColumn("_whole", F.lit(1))
+    keys = ["_whole", *by]
     grand = keyed.groupBy(*keys).agg((F.sum(F.col("m") * F.col("mean")) / F.sum("m")).alias("center"))
     # moments about the set's mean, so that large values far from zero don't cancel
     both = keyed.join(grand, keys)

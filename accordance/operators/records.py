@@ -28,7 +28,7 @@ def parse(records: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     parsed = records.withColumn("v", F.try_parse_json(F.col(raw)))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     reason = F.when(F.col(raw).isNull(), "no text").when(F.col("v").isNull(), "no JSON").otherwise("no object")
-    return parsed.where(is_object).drop(raw), parsed.where(~is_object).drop("v").withColumn("reason", reason)
+    return parsed.where(is_object).drop(raw), parsed.where(~is_object).withColumn("reason", reason).drop("v")
 
 
 def flatten(parsed: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:

@@ -192,9 +192,9 @@ def json_response_slice(spark, sf):
 
 
 _MEASURES = """
-select c_custkey as id, 'patient.BMI' as path, cast(cast(c_acctbal / 50 as decimal(18,2)) as string) || ' kg/m²' as raw from customer
+select c_custkey as id, 'patient.BMI' as path, cast(cast(floor(c_acctbal / 50) as bigint) as string) || ' kg/m²' as raw from customer
 union all select p_partkey, 'patient.ESS', cast(p_size as string) from part
-union all select event_id, 'respirations_analyse.ahi_total', replace(cast(cast(value as decimal(18,2)) as string), '.', ',') from events
+union all select event_id, 'respirations_analyse.ahi_total', cast(cast(floor(value) as bigint) as string) || ',5' from events
 """
 
 
@@ -350,7 +350,7 @@ def field_compare(spark, sf):
 _FIELD_STATS = f"""{_COMPARED}, fields as (
   select path, min(field_type) as field_type, min(topic) as topic, count(agrees) as n_compared, count_if(agrees)::bigint as n_agree, count_if(not agrees)::bigint as n_disagree,
     count_if(status = 'left_missing')::bigint as n_left_missing, count_if(status = 'right_missing')::bigint as n_right_missing, count_if(status = 'both_missing')::bigint as n_both_missing,
-    coalesce(sum(round(f1, 3)), 0.0)::double as f1_sum, count(f1) as f1_n, count_if(tolerance)::bigint as n_tolerance, count(tolerance) as tolerance_n, avg(deviation) as mean_deviation from compared group by path)
+    coalesce(sum(round(f1, 3)), 0.0)::double as f1_sum, count(f1) as f1_n, coalesce(count_if(tolerance), 0)::bigint as n_tolerance, count(tolerance) as tolerance_n, avg(deviation) as mean_deviation from compared group by path)
 """
 
 
@@ -449,7 +449,7 @@ def pairwise_exact(spark, sf):
 
 #: A score of each event's value against the smallest value of its user; the event's type is the model, the user the field.
 _SCORES = """
-select event_type as model, 'f' || cast(user_id % 40 as string) || '.x' as path, 'g' || cast(user_id % 4 as string) as topic, cast(event_id % 101 as double) / 100 as s, event_id % 17 = 0 as model_missing, event_id % 13 = 0 as truth_missing from events
+select event_type as model, 'f' || cast(user_id % 40 as string) || '.x' as path, 'g' || cast(user_id % 4 as string) as topic, cast(event_id % 101 as double) / 101 as s, event_id % 17 = 0 as model_missing, event_id % 13 = 0 as truth_missing from events
 """
 _MODELS = f"""
 with s as (select *, case when truth_missing then null when model_missing then 0.0 else s end as score from ({_SCORES})),

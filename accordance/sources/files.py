@@ -18,8 +18,8 @@ def path_list(spark: SparkSession, path: str, n: int | None = None) -> DataFrame
 
 def texts(spark: SparkSession, folder: str, pattern: str = "*.txt", recursive: bool = False, **options) -> DataFrame:
     """file_name, file_path and text of each file."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).options(**options)
-    return reader.text(folder).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).options(**options)
+    return reader.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
 
 
 def json_records(spark: SparkSession, folder: str, source: str, recursive: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from accordance.operators.records import annotations
 
 def new_files(spark: SparkSession, folder: str, pattern: str, per_batch: int = 1000) -> DataFrame:
     """A stream of file_name and raw, whole files."""
-    stream = spark.readStream.option("wholetext", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).text(folder)
+    stream = spark.readStream.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).text(folder, wholetext=True)
     return stream.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
 
 
