@@ -1,0 +1,216 @@
+"""Training-data operators against brute force, round trips and held-out labels."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from accordance.llm import ann, mixing, neardup, packing, pii, tokencount, tokenfile, topk, toxicity, urls
+from accordance.llm.encoding import tokenizer_path
+from accordance.llm.queries import ORACLE_SQL, QUERIES
+
+SF = Path("/root/testdata/sf0.001")
+ODD = ["", None, "a", "  two  spaces ", "l\n\n\tx y", "it's <|endoftext|> we're", "Æblegrød 12345 ½ ﬁ İstanbul é", "word " * 30 + "end", "x" * 300, "日本語 テキスト。", "tab\tand 'll don't"]
+
+
+def _docs(spark, texts):
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _tokenizer(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+def _vectors(spark, n=600, dim=16):
+    x = np.random.default_rng(3).normal(size=(n, dim)).astype("float32")
+    x[7], x[9] = x[8], x[8]  # ties
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(n, None, 0), (n + 20, [0.0] * dim, 0), (n + 40, [float("nan")] * dim, 0), (n + 60, [None] * dim, 0)]
+    return x.astype(float), spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_nearest(spark):
+    x, table = _vectors(spark)
+    found = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, k=20).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        want = sorted((-s, k) for k, s in enumerate(score) if k != q)[:20]
+        mine = sorted(found[q])
+        assert [m[0] for m in mine] == list(range(1, len(mine) + 1))
+        assert all(abs(s - score[k]) < 1e-9 for _, k, s in mine)
+        assert [(m[1]) for m in mine] == [k for _, k in sorted((-s, k) for _, k, s in mine)]
+        hits, total = hits + len({k for _, k in want} & {m[1] for m in mine}), total + 20
+    assert hits / total >= 0.9 and set(found) == set(range(0, len(x), 20))
+
+
+def test_exact_top_k(spark):
+    x, table = _vectors(spark)
+    v = np.floor(256 * x).astype(np.int64)
+    want = []
+    for q in range(0, len(v), 50):
+        best = sorted((-int(s), k) for k, s in enumerate(v @ v[q]) if k != q)[:5]
+        want += [(q, r, k, -s) for r, (s, k) in enumerate(best, 1)]
+    zero = len(v)  # the zero vector takes part here, as candidate and, its id allowing, as query
+    got = [tuple(r) for r in topk.exact_top_k(table.where(f"vec_id <> {zero + 20}"), F.col("vec_id") % 50 == 0, k=5).collect()]
+    assert sorted(got) == sorted(want)
+    assert topk.exact_top_k(table.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_tokens(spark):
+    docs = _docs(spark, ODD)
+    word, byte = _tokenizer("word_bpe_49k.json"), _tokenizer("byte_bpe_50k.json")
+    got = {r.doc_id: r for r in tokencount.count_tokens(docs).collect()}
+    for k, t in enumerate(ODD):
+        assert got[k].n_tokens == len(word.encode(t or "", add_special_tokens=False).ids), t
+        assert got[k].n_bytes == len((t or "").encode())
+    counter = tokencount.counter(tokenizer_path("word_bpe_49k.json"))
+    for t in filter(None, ODD):
+        steps = np.cumsum(np.frombuffer(counter.texts([t])[0], np.int8))
+        assert [0, *steps] == [len(word.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)], t
+    start = 0
+    for r in sorted(tokenfile.encode_and_read(docs).collect(), key=lambda r: r.doc_id):
+        ids = [*byte.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_perfect_hash():
+    keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
+    made = tokenfile.PerfectHash.of(keys)
+    assert sorted(made.number(keys)) == list(range(5000))
+
+
+def test_packing(spark):
+    docs = _docs(spark, [*ODD, "lorem ipsum " * 6000])
+    rows = packing.pack_documents(docs).collect()
+    filled = {}
+    for r in rows:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    word = _tokenizer("word_bpe_49k.json")
+    ids = [*word.encode("lorem ipsum " * 6000, add_special_tokens=False).ids, 1]
+    cut = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == len(ODD))
+    assert cut == [(k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    sizes = Counter(np.random.default_rng(2).integers(1, 4097, 400).tolist())
+    _, bins = packing.plan(sizes, 4096)
+    assert bins <= 1.1 * sum(s * n for s, n in sizes.items()) / 4096 + 1
+
+
+def test_pii(spark):
+    text = "mail a.b@x.com, x@y +45 12 34 56 78, 10.0.0.1 300.1.1.1 card 4111 1111 1111 1111; IBAN: DE89370400440532013000 http://a.b/c password=hunter2hunter"
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    valid = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda m: 12 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d),
+        "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    texts = [text, None, "", *(r.text for r in spark.read.parquet(str(SF / "documents.parquet")).collect())] if SF.exists() else [text, None, ""]
+    got = {r.doc_id: r for r in pii.find_pii(_docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        base = sorted((m.start(), n, kind, m.end()) for n, (kind, p) in enumerate(patterns.items()) for m in re.finditer(p, t or "") if valid[kind](m[0]))
+        listed = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in base)
+        assert got[k].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), t
+    assert {"url", "iban", "secret"} <= {s.split(":")[0] for s in got[0].spans.split(",")}
+    clean = pii.redact_pii(_docs(spark, [text, None])).orderBy("doc_id").collect()
+    assert "@x.com" not in clean[0].text and clean[1].text is None
+
+
+def _similarity(a, b):
+    bags = []
+    for t in (a, b):
+        w = t.lower().split()
+        bags.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter())
+    return sum((bags[0] & bags[1]).values()) / max(1, sum((bags[0] | bags[1]).values()))
+
+
+def test_near_duplicates(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(12):
+        base = rng.choice(words, 80).tolist()
+        for _ in range(6):
+            texts.append(" ".join(base))
+            base[int(rng.integers(80))] = "new"
+    texts += ["one two", "one two", "", None, "one two three"]
+    rows = neardup.classes(_docs(spark, texts)).collect()
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            same = (texts[a] or "") == (texts[b] or "")
+            if same or _similarity(texts[a] or "", texts[b] or "") >= 0.8:
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {k: min(j for j, r in enumerate(root) if r == root[k]) for k in range(len(texts))}
+    assert {r.doc_id: r.class_id for r in rows} == want
+    assert {r.doc_id for r in rows if r.kept} == set(want.values())
+    assert neardup.classes(_docs(spark, [])).count() == 0
+
+
+def test_mixing(spark):
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "en" if k % 3 else None, f"s{k % 5}") for k in range(300)], "doc_id long, text string, lang string, source string")
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    got = mixing.mix(docs, levels, [{"en": 3}, {}], F.lit(900), max_epochs=2)
+    total = got.agg(F.sum("tokens")).first()[0]
+    assert 850 <= total <= 900 and got.groupBy("doc_id", "epoch").count().where("count > 1").count() == 0
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, mixing.mix(docs, levels, [{"en": 3}, {}], F.lit(900), max_epochs=2).collect()), key=str)
+    assert mixing.mix(docs.where("false"), levels, [{}, {}], F.lit(900)).count() == 0
+
+
+def test_urls(spark):
+    rules = [urls.Rule("block", "com/en/"), urls.Rule("allow", "example.com/en/7")]
+    rows = [(1, "http://A.Example.com/en/75?x"), (2, "http://b.com/en/x"), (3, "https://xcom/en/"), (4, None), (5, "no url"), (6, "http://com/en/#f"), (7, "http://c.com")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got[1] == ("a.example.com", "/en/75", "example.com/en/7", "allow") and got[2] == ("b.com", "/en/x", "com/en/", "block")
+    assert got[3][2:] == (None, "allow") and got[4] == got[5] == ("", "", None, "allow") and got[6][3] == "block" and got[7][1:] == ("", None, "allow")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no driver tables")
+def test_toxicity(spark):
+    sf = str(SF.parent / "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.score_documents(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.predicted == r.toxic for r in rows]) >= 0.9
+    assert toxicity.score_documents(docs.where("false"), labels).count() == 0
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no driver tables")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for p in SF.glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
+    got, want = QUERIES[name](spark, str(SF)), con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(tuple(r[c] for c in columns) for r in map(lambda r: r.asDict(), got.collect())) == sorted(want.fetchall()) or sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no driver tables")
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, str(SF))
+    assert rows.columns[:2] == ["doc_id", "piece"] and rows.count() > 0
