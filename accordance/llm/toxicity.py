@@ -15,8 +15,9 @@ empty sentence.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -79,7 +80,7 @@ def bag(text: str) -> list[list[str]]:
     return [words for words in found if words]
 
 
-def _fit(bags: list[list[list[str]]], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-5, chi2: float = 25.0, lift: float = 2.0) -> Model:
+def _fit(bags: Iterable[list[list[str]]], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-5, chi2: float = 25.0, lift: float = 2.0) -> Model:
     """Adam on the mean log-loss of documents, toxic ones counted ``lift`` times.
 
     Only words and beginnings that more of the toxic documents have, by a chi-square of at least ``chi2``,
@@ -87,13 +88,13 @@ def _fit(bags: list[list[list[str]]], labels: np.ndarray, rounds: int = 150, rat
     """
     toxic = labels.astype(bool)
     words: dict[str, int] = {}
-    docs, sentence_of, word_of = [], [], []
+    docs, sentence_of, word_of = array("q"), array("q"), array("q")
     in_docs: tuple[Counter, Counter] = (Counter(), Counter())
     for d, sentences_ in enumerate(bags):
         in_docs[int(toxic[d])].update({f for ws in sentences_ for w in ws for f in features(w)})
         for ws in sentences_:
-            word_of += [words.setdefault(w, len(words)) for w in ws]
-            sentence_of += [len(docs)] * len(ws)
+            word_of.extend(words.setdefault(w, len(words)) for w in ws)
+            sentence_of.extend([len(docs)] * len(ws))
             docs.append(d)
     n, n1 = len(labels), int(toxic.sum())
     names = sorted(in_docs[1])
@@ -110,10 +111,10 @@ def _fit(bags: list[list[list[str]]], labels: np.ndarray, rounds: int = 150, rat
         word = np.bincount(of_word, weights[of_column], minlength=len(words))
         score = np.bincount(sentence_of, word[word_of], minlength=len(docs)) + bias
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        clean = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags))  # log of the chance that no sentence is toxic
+        clean = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)  # log of the chance that no sentence is toxic
         clean = np.minimum(clean, -1e-9)
         pull = np.where(toxic, lift * np.exp(clean) / np.expm1(clean), 1.0)  # of the loss, by a sentence's log-odds over p
-        grad = pull[docs] * p / len(bags)
+        grad = pull[docs] * p / n
         by_word = np.bincount(word_of, grad[sentence_of], minlength=len(words))
         full = np.append(np.bincount(of_column, by_word[of_word], minlength=len(column)) + decay * weights, grad.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text:
     got = sorted(short.select("doc_id", "toxic", bags("text").alias("bag")).collect(), key=lambda r: (r.doc_id, r.bag))
     if len({r.toxic for r in got}) < 2:
         return Model({}, -5.0)  # nothing to tell apart
-    return _fit([[s.split(" ") for s in r.bag] for r in got], np.array([r.toxic for r in got]))
+    return _fit(([s.split(" ") for s in r.bag] for r in got), np.array([r.toxic for r in got]))
 
 
 def _sentence_scores(parts: list[str], weights: _Weights) -> np.ndarray:
