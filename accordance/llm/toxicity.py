@@ -16,8 +16,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordance.llm.storage import staged
+
 #: The labelled documents that a model is fitted on at most, and the longest of them in characters.
 MAX_TRAIN, MAX_TRAIN_CHARS = 6000, 100_000
 _SENTENCE = re.compile(r"[.!?;:\n\r  。！？]+")
@@ -80,71 +81,81 @@ def bag(text: str) -> list[list[str]]:
     return [words for words in found if words]
 
 
-def _fit(bags: Iterable[list[list[str]]], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-5, chi2: float = 25.0, lift: float = 2.0) -> Model:
+def _fit(names: list[str], bags: list[tuple[int, list[list[int]]]], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-5, lift: float = 2.0) -> Model:
     """Adam on the mean log-loss of documents, toxic ones counted ``lift`` times.
 
-    Only words and beginnings that more of the toxic documents have, by a chi-square of at least ``chi2``,
-    get a weight: a clean word can't make up for a toxic one, and chance goes with the rest.
+    ``bags``: for each document how many sentences have none of the ``names``, and which each other one has.
     """
     toxic = labels.astype(bool)
-    words: dict[str, int] = {}
-    docs, sentence_of, word_of = array("q"), array("q"), array("q")
-    in_docs: tuple[Counter, Counter] = (Counter(), Counter())
-    for d, sentences_ in enumerate(bags):
-        in_docs[int(toxic[d])].update({f for ws in sentences_ for w in ws for f in features(w)})
-        for ws in sentences_:
-            word_of.extend(words.setdefault(w, len(words)) for w in ws)
-            sentence_of.extend([len(docs)] * len(ws))
+    docs, times, sentence_of, column_of = array("q"), array("q"), array("q"), array("q")
+    for d, (others, found) in enumerate(bags):
+        for many, columns in [(others, []), *((1, columns) for columns in found)]:
+            column_of.extend(columns)
+            sentence_of.extend([len(docs)] * len(columns))
             docs.append(d)
-    n, n1 = len(labels), int(toxic.sum())
-    names = sorted(in_docs[1])
-    a, b = (np.array([x[f] for f in names], dtype=float) for x in (in_docs[1], in_docs[0]))
-    gap = a * (n - n1) - b * n1  # above 0 if more of the toxic documents have it
-    stat = n * gap**2 / np.maximum(1, (a + b) * (n - a - b) * n1 * (n - n1))
-    column = {names[k]: c for c, k in enumerate(np.flatnonzero((gap > 0) & (stat >= chi2)))}
-    pairs = [(k, column[f]) for w, k in words.items() for f in features(w) if f in column]
-    of_word, of_column = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    docs, sentence_of, word_of = np.array(docs), np.array(sentence_of), np.array(word_of)
-    weights, bias = np.zeros(len(column)), -5.0
-    m, v = np.zeros(len(column) + 1), np.zeros(len(column) + 1)
+            times.append(many)
+    docs, times, sentence_of, column_of = (np.array(x, dtype=np.int64) for x in (docs, times, sentence_of, column_of))
+    n, weights, bias = len(labels), np.zeros(len(names)), -5.0
+    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):
-        word = np.bincount(of_word, weights[of_column], minlength=len(words))
-        score = np.bincount(sentence_of, word[word_of], minlength=len(docs)) + bias
+        score = np.bincount(sentence_of, weights[column_of], minlength=len(docs)) + bias
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        clean = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)  # log of the chance that no sentence is toxic
+        clean = np.bincount(docs, times * np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)  # log of the chance that no sentence is toxic
         clean = np.minimum(clean, -1e-9)
         pull = np.where(toxic, lift * np.exp(clean) / np.expm1(clean), 1.0)  # of the loss, by a sentence's log-odds over p
-        grad = pull[docs] * p / n
-        by_word = np.bincount(word_of, grad[sentence_of], minlength=len(words))
-        full = np.append(np.bincount(of_column, by_word[of_word], minlength=len(column)) + decay * weights, grad.sum())
+        grad = pull[docs] * p * times / n
+        full = np.append(np.bincount(column_of, grad[sentence_of], minlength=len(names)) + decay * weights, grad.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - move[-1]
-    return Model({f: float(weights[k]) for f, k in column.items()}, float(bias))
+    return Model(dict(zip(names, weights.tolist())), float(bias))
+
+
+def _telling(rows: DataFrame, n: int, n1: int, chi2: float) -> list[str]:
+    """The features that more of the toxic documents have, by a chi-square of at least ``chi2``; counted on the executors.
 
+    Only they get a weight: a clean word can't make up for a toxic one, and chance goes with the rest.
+    """
+
+    @F.pandas_udf("array<string>")
+    def known(texts: pd.Series) -> pd.Series:
+        return pd.Series([list({f for words in bag(t) for w in words for f in features(w)}) for t in texts])
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text: str = "text") -> Model:
+    counts = rows.select("toxic", F.explode(known("text")).alias("feature")).groupBy("feature").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("of"))
+    gap = F.col("a") * n - F.col("of") * n1  # above 0 if more of the toxic documents have it
+    spread = F.greatest(F.lit(1.0), F.col("of") * (n - F.col("of")) * float(n1 * (n - n1)))
+    return sorted(r.feature for r in counts.where((gap > 0) & (n * gap * gap / spread >= chi2)).select("feature").collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2: float = 25.0, text: str = "text") -> Model:
     """Fits a model to ``labels`` (doc_id, toxic) of rows that aren't held out.
 
     At most ``max_train`` labelled documents are taken, by a hash of their ids, and of these the ones of at
-    most MAX_TRAIN_CHARS; the distinct words of their sentences go to the driver. Null labels and ids are left out, an id with several labels is toxic if one is.
+    most MAX_TRAIN_CHARS. Words are counted on the executors; the driver gets the telling ones and, of each
+    sentence, the numbers of those it has. Null labels and ids are left out, an id with several labels is toxic if one is.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-
-    @F.pandas_udf("array<string>")
-    def bags(texts: pd.Series) -> pd.Series:
-        return pd.Series([[" ".join(words) for words in bag(t)] for t in texts])
-
-    short = rows.where(F.length("text") <= MAX_TRAIN_CHARS)
-    got = sorted(short.select("doc_id", "toxic", bags("text").alias("bag")).collect(), key=lambda r: (r.doc_id, r.bag))
-    if len({r.toxic for r in got}) < 2:
+    rows = staged(rows.where(F.length("text") <= MAX_TRAIN_CHARS).repartition(16, "doc_id"), "training")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n1 in (0, n):
         return Model({}, -5.0)  # nothing to tell apart
-    return _fit(([s.split(" ") for s in r.bag] for r in got), np.array([r.toxic for r in got]))
+    names = _telling(rows, n, n1, chi2)
+    shared = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(names)})
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        column = shared.value
+        for part in batches:
+            bags = [[[column[f] for w in words for f in features(w) if f in column] for words in bag(t)] for t in part["text"]]
+            found = [[columns for columns in b if columns] for b in bags]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "others": [len(b) - len(f) for b, f in zip(bags, found)], "found": found})
+
+    got = sorted(rows.mapInPandas(numbered, "doc_id long, toxic int, others long, found array<array<int>>").collect())
+    return _fit(names, [(r.others, r.found) for r in got], np.array([r.toxic for r in got]))
 
 
 def _sentence_scores(parts: list[str], weights: _Weights) -> np.ndarray:
