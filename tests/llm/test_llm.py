@@ -197,6 +197,22 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_of_odd_rows(spark):
+    texts = [f"a calm text about thing {k % 9}. and more" if k % 4 else f"a calm text about thing {k % 9}. you vile wretch" for k in range(200)]
+    docs = _docs(spark, [*texts, *ODD, *ODD, "vile wretch. " + "calm " * 40_000]).withColumn("toxic", F.lit("clash")).withColumn("score", F.lit(-1))
+    rows = [(k, int(k % 4 == 0)) for k in range(200)] + [(200, 0), (201, 0), (None, 1), (1, None), (4, 0), (4, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "vile" in model.weights and "calm" not in model.weights
+    got = sorted(toxicity.score_documents(docs, labels).collect())
+    assert len(got) == len(texts) + 2 * len(ODD) + 1 and all(0 <= r.score <= 1 for r in got)
+    assert [r.predicted for r in got[:200]] == [int(k % 4 == 0) for k in range(200)] and got[-1].predicted == 1
+    assert len({got[200 + k].score for k in (0, 1)}) == 1  # empty and null
+    where = toxicity.locate(docs.where("doc_id = 8"), model).collect()
+    assert [texts[8][r.start : r.end].strip() for r in where] == ["you vile wretch"]
+    assert toxicity.train(docs, labels.where("toxic = 0")).weights == toxicity.train(docs, labels.where("false")).weights == {}
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
