@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of its words; the document
-is toxic if at least one sentence is, so its score is the noisy-or of theirs, 1 - prod(1 - p). Training
+is toxic if at least one sentence is, so its score is the noisy-or of theirs, 1 - prod(1 - p). Sentences
+with the same telling words are one, as are all those without any. Only the worst and those that are
+toxic rather than not enter the noisy-or: many harmless ones don't add up, however long the text. Training
 uses labels of documents only: the gradient of their log-likelihood passes through the noisy-or and falls
 mostly on the sentences that explain the label. The trained model then scores all texts, and says which
 sentence offends.
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -48,19 +50,18 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) >= n)] if word else []
 
 
-class _Weights(dict):
-    """The weights of the words that a worker has met, up to a bound."""
+class _Known(dict):
+    """The features that a model has, of the words that a worker has met, up to a bound."""
 
-    def __init__(self, model: Model):
+    def __init__(self, names: Container[str]):
         super().__init__()
-        self.model = model
+        self.names = names
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> list[str]:
         if len(self) > 500_000:
             self.clear()
-        known = self.model.weights
-        self[word] = w = sum(known.get(f, 0.0) for f in features(word))
-        return w
+        self[word] = found = [f for f in features(word) if f in self.names]
+        return found
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -81,29 +82,41 @@ def bag(text: str) -> list[list[str]]:
     return [words for words in found if words]
 
 
-def _fit(names: list[str], bags: list[tuple[int, list[list[int]]]], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-5, lift: float = 2.0) -> Model:
+def _telling_sentences(text: str, known: _Known) -> list[tuple[str, ...]]:
+    """The known features of each sentence that has any, equal ones once."""
+    found = {tuple(sorted(f for w in {*part.split()} for f in known[w])) for part in _SENTENCE.split(text.lower())}
+    return sorted(found - {()})
+
+
+def _counts(odds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which sentences enter the noisy-or of their document in training; ``starts``: the first one of each document."""
+    worst = np.repeat(np.maximum.reduceat(odds, starts), np.diff(np.append(starts, len(odds))))
+    return (odds >= 0) | (odds == worst)
+
+
+def _fit(names: list[str], bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-5, lift: float = 2.0) -> Model:
     """Adam on the mean log-loss of documents, toxic ones counted ``lift`` times.
 
-    ``bags``: for each document how many sentences have none of the ``names``, and which each other one has.
+    ``bags``: for each document which of the ``names`` its sentences have that have any; the rest is one more, without.
     """
     toxic = labels.astype(bool)
-    docs, times, sentence_of, column_of = array("q"), array("q"), array("q"), array("q")
-    for d, (others, found) in enumerate(bags):
-        for many, columns in [(others, []), *((1, columns) for columns in found)]:
+    docs, sentence_of, column_of = array("q"), array("q"), array("q")
+    for d, found in enumerate(bags):
+        for columns in [[], *found]:
             column_of.extend(columns)
             sentence_of.extend([len(docs)] * len(columns))
             docs.append(d)
-            times.append(many)
-    docs, times, sentence_of, column_of = (np.array(x, dtype=np.int64) for x in (docs, times, sentence_of, column_of))
+    docs, sentence_of, column_of = (np.array(x, dtype=np.int64) for x in (docs, sentence_of, column_of))
+    starts = np.searchsorted(docs, np.arange(len(labels)))
     n, weights, bias = len(labels), np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):
         score = np.bincount(sentence_of, weights[column_of], minlength=len(docs)) + bias
-        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        clean = np.bincount(docs, times * np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)  # log of the chance that no sentence is toxic
+        p = np.where(_counts(score, starts), 1 / (1 + np.exp(-np.clip(score, -30, 30))), 0.0)
+        clean = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)  # log of the chance that no sentence is toxic
         clean = np.minimum(clean, -1e-9)
         pull = np.where(toxic, lift * np.exp(clean) / np.expm1(clean), 1.0)  # of the loss, by a sentence's log-odds over p
-        grad = pull[docs] * p * times / n
+        grad = pull[docs] * p / n
         full = np.append(np.bincount(column_of, grad[sentence_of], minlength=len(names)) + decay * weights, grad.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -148,24 +161,23 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2:
     shared = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(names)})
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        column = shared.value
+        column, known = shared.value, _Known(shared.value)
         for part in batches:
-            bags = [[[column[f] for w in words for f in features(w) if f in column] for words in bag(t)] for t in part["text"]]
-            found = [[columns for columns in b if columns] for b in bags]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "others": [len(b) - len(f) for b, f in zip(bags, found)], "found": found})
+            found = [[[column[f] for f in s] for s in _telling_sentences(t, known)] for t in part["text"]]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "found": found})
 
-    got = sorted(rows.mapInPandas(numbered, "doc_id long, toxic int, others long, found array<array<int>>").collect())
-    return _fit(names, [(r.others, r.found) for r in got], np.array([r.toxic for r in got]))
+    got = sorted(rows.mapInPandas(numbered, "doc_id long, toxic int, found array<array<int>>").collect())
+    return _fit(names, [r.found for r in got], np.array([r.toxic for r in got]))
 
 
-def _sentence_scores(parts: list[str], weights: _Weights) -> np.ndarray:
-    """Log-odds of sentences in lower case."""
-    get = weights.__getitem__
-    return np.array([sum(map(get, sorted({*p.split()}))) for p in parts]) + weights.model.bias
+def _log_odds(found: list[tuple[str, ...]], model: Model) -> np.ndarray:
+    """Of sentences, by their known features."""
+    return np.array([sum(model.weights[f] for f in s) for s in found]) + model.bias
 
 
-def _score(text: str, weights: _Weights) -> float:
-    odds = _sentence_scores([p for p in _SENTENCE.split(text.lower()) if p and not p.isspace()] or [""], weights)
+def _score(text: str, known: _Known, model: Model) -> float:
+    odds = _log_odds([(), *_telling_sentences(text, known)], model)
+    odds = odds[odds >= 0] if odds.max() >= 0 else odds.max(keepdims=True)
     return float(-np.expm1(-np.logaddexp(0, np.clip(odds, -30, 30)).sum()))
 
 
@@ -175,9 +187,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights = _Weights(shared.value)
+        model = shared.value
+        known = _Known(model.weights)
         for texts in batches:
-            yield pd.Series([_score(t or "", weights) for t in texts])
+            yield pd.Series([_score(t or "", known, model) for t in texts])
 
     return scored(F.col(text))
 
@@ -187,12 +200,13 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, odds = _Weights(shared.value), np.log(least / (1 - least))
+        model, odds = shared.value, np.log(least / (1 - least))
+        known = _Known(model.weights)
         for rows in batches:
             found = []
             for doc, text in zip(rows["doc_id"], rows["text"]):
                 at = sentences(text)
-                each = _sentence_scores([text[a:b].lower() for a, b in at], weights)
+                each = _log_odds([tuple(sorted(f for w in {*text[a:b].lower().split()} for f in known[w])) for a, b in at], model)
                 found += [(doc, a, b, float(1 / (1 + np.exp(-s)))) for (a, b), s in zip(at, each) if s >= odds]
             yield pd.DataFrame(found, columns=["doc_id", "start", "end", "score"]).astype({"doc_id": "Int64"})
 

@@ -213,6 +213,19 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.train(docs, labels.where("toxic = 0")).weights == toxicity.train(docs, labels.where("false")).weights == {}
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    texts = [f"a calm text about thing {k % 9}. and more" if k % 4 else f"a calm text about thing {k % 9}. you vile wretch" for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    clean = " ".join(f"a calm text about thing {k}." for k in range(100_000))
+    docs = _docs(spark, [*texts, clean, clean + " you vile wretch.", "a calm text about thing 1."])
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+    assert [got[200 + k].predicted for k in range(3)] == [0, 1, 0] and got[200].score == got[202].score
+    model = toxicity.Model({f"odd{k}": 2.0 for k in range(300)} | {"vile": 8.0}, -4.0)
+    weak = " ".join(f"an odd{k} thing." for k in range(300))
+    one, all_, bad = (toxicity._score(t, toxicity._Known(model.weights), model) for t in ("an odd1 thing", weak, weak + " vile."))
+    assert abs(one - 1 / (1 + np.exp(2))) < 1e-9 and all_ == one and bad > 0.9
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
