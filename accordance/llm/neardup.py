@@ -238,10 +238,10 @@ def _across(key, rows: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
     made = pd.DataFrame({"leader": pd.Series(dtype="int64"), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64")})
     if rows.empty or guests.empty:
         return made
-    both = pd.concat([guests.assign(guest=True), rows.assign(guest=False)]).drop_duplicates("tid")
+    both = pd.concat([rows, guests]).drop_duplicates("tid")
     block = _Block(both["tid"].to_numpy(), both["units"].tolist(), both["sketch"].tolist())
-    home = np.flatnonzero(~both["guest"].to_numpy())
-    for a in np.flatnonzero(both["guest"].to_numpy()):
+    home = np.flatnonzero(both["tid"].isin(rows["tid"]).to_numpy())
+    for a in np.flatnonzero(both["tid"].isin(guests["tid"]).to_numpy()):
         block.compare(a, home)
     return pd.DataFrame({"leader": key[0], "a": [a for a, _ in block.edges], "b": pd.array([b for _, b in block.edges], dtype="Int64")}) if block.edges else made
 

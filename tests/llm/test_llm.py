@@ -169,6 +169,17 @@ def test_near_duplicates(spark):
     assert neardup.classes(_docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_several_blocks(spark, monkeypatch):
+    passage = [f"p{k}" for k in range(104)]
+    texts = []
+    for k in range(30):  # a pair has one shingle more in common than texts of different pairs, which aren't similar
+        texts += [" ".join([*passage, f"pair{k}", *(f"t{k}{half}{j}" for j in range(12))]) for half in "ab"]
+    assert _similarity(texts[0], texts[1]) >= 0.8 > _similarity(texts[0], texts[2])
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
+    got = {r.doc_id: r.class_id for r in neardup.classes(_docs(spark, texts)).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "en" if k % 3 else None, f"s{k % 5}") for k in range(300)], "doc_id long, text string, lang string, source string")
     levels = {"lang": F.col("lang"), "source": F.col("source")}
