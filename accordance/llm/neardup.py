@@ -10,7 +10,7 @@ text's weight are looked at; a text that leaves a coordinate empty is looked at
 Texts that agree in all coordinates of a band meet. Each meets its bucket's smallest text, the leader;
 members of a leader's buckets are compared exactly, in blocks of bounded size. What a block doesn't
 connect to its leader is compared with all its other members, and if the leader has several blocks also
-with those of the others, so no link between texts that share a bucket is lost, and no text is compared
+with those of the others, a block of guests with a block at a time, so no link between texts that share a bucket is lost, and no text is compared
 with members of its own class. Classes are the components of the links.
 
 Equal texts are one text from the start (by MD5); null texts are empty ones. Texts of one to four words
@@ -215,6 +215,7 @@ class _Block:
 
 
 _EDGES = "leader long, a long, b long"
+_PAIR = ("leader", "block", "part")
 
 
 def _within(rows: pd.DataFrame) -> pd.DataFrame:
@@ -234,18 +235,39 @@ def _within(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _across(key, rows: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
-    """Links of texts left over in other blocks with this block's."""
+    """Links of a block's texts with a part of those left over in other blocks."""
     made = pd.DataFrame({"leader": pd.Series(dtype="int64"), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64")})
     if rows.empty or guests.empty:
         return made
-    both = pd.concat([rows, guests]).drop_duplicates("tid")
+    both = pd.concat([rows, guests])
     block = _Block(both["tid"].to_numpy(), both["units"].tolist(), both["sketch"].tolist())
-    home = np.flatnonzero(both["tid"].isin(rows["tid"]).to_numpy())
-    for a in np.flatnonzero(both["tid"].isin(guests["tid"]).to_numpy()):
+    home = np.arange(len(rows))
+    for a in range(len(rows), len(both)):
         block.compare(a, home)
     return pd.DataFrame({"leader": key[0], "a": [a for a, _ in block.edges], "b": pd.array([b for _, b in block.edges], dtype="Int64")}) if block.edges else made
 
 
+def _bytes(size: Column) -> Column:
+    return F.sum(4 * size + 200)
+
+
+def _home(blocks: Column) -> Column:
+    """The block of a leader's member."""
+    return F.pmod(F.xxhash64("tid"), blocks).cast("int")
+
+
+def _pairs(full: DataFrame, apart: DataFrame, blocks: DataFrame, sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts at home and guests of each ``_PAIR``: a block of a leader, and a part of the texts left over in its other blocks.
+
+    The leftovers are dealt to parts of BLOCK_BYTES too, so neither side of a pair grows with the leader's group.
+    """
+    parts = apart.join(texts.select("tid", "size"), "tid").groupBy("leader").agg(F.ceil(_bytes(F.col("size")) / BLOCK_BYTES).cast("int").alias("parts"))
+    homes = full.join(parts, "leader").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    guests = apart.join(blocks, "leader").join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("tid", F.lit(1)), "parts").cast("int")).drop("parts")
+    guests = guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("block") != _home(F.col("blocks")))
+    return homes, guests.join(sets, "tid")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) for every node of ``edges`` (a, b), by large and small stars.
 
@@ -289,8 +311,8 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     buckets = banded.groupBy("band").agg(F.min("tid").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = staged(banded.join(buckets, "band").where("tid <> leader").select("leader", "tid").distinct(), "members")
     sizes = members.join(texts.select("tid", "size"), "tid")
-    blocks = sizes.groupBy("leader").agg(F.ceil(F.sum(4 * F.col("size") + 200) / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    blocks = sizes.groupBy("leader").agg(F.ceil(_bytes(F.col("size")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "leader").withColumn("block", _home(F.col("blocks")))
     dealt = dealt.select("leader", "tid", "blocks", "block").union(blocks.select("leader", F.col("leader").alias("tid"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
 
     wanted = members.select("tid").union(members.select("leader")).distinct().join(texts.select("tid", "key", "doc_id"), "tid").select("tid", _row_key().alias("row"))
@@ -303,9 +325,8 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     apart = links.where("b is null").select("leader", F.col("a").alias("tid"))
     edges = links.where("b is not null").select("a", "b")
     if not apart.isEmpty():
-        guests = fresh(apart.join(blocks, "leader").join(sets, "tid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        keys = ("leader", "block")
-        more = full.join(apart.select("leader").distinct(), "leader", "left_semi").groupBy(*keys).cogroup(guests.groupBy(*keys)).applyInPandas(_across, _EDGES)
+        homes, guests = _pairs(full, apart, blocks, sets, texts)
+        more = homes.groupBy(*_PAIR).cogroup(fresh(guests).groupBy(*_PAIR)).applyInPandas(_across, _EDGES)
         edges = edges.union(more.select("a", "b"))
 
     rooted = texts.select("tid", "key", "doc_id").join(components(edges), F.col("tid") == F.col("node"), "left").select("tid", "key", "doc_id", F.coalesce("root", "tid").alias("root"))

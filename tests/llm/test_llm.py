@@ -180,6 +180,21 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch):
     assert got == {k: k - k % 2 for k in range(len(texts))}
 
 
+def test_near_duplicates_bound_both_sides_of_a_comparison(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 6000)
+    n, size = 200, 100  # texts of one leader, each 600 bytes, none connected to it: 20 blocks
+    texts = spark.range(1, n + 1).select(F.col("id").alias("tid"), F.lit(size).alias("size"))
+    sets = texts.select("tid", F.lit(b"1234" * size).alias("units"), F.lit(b"s").alias("sketch"))
+    blocks = spark.createDataFrame([(0, 20)], "leader long, blocks int")
+    full = texts.select(F.lit(0).cast("long").alias("leader"), "tid", F.lit(20).alias("blocks"), neardup._home(F.lit(20)).alias("block")).join(sets, "tid")
+    homes, guests = neardup._pairs(full, texts.select(F.lit(0).cast("long").alias("leader"), "tid"), blocks, sets, texts)
+    for side in (homes, guests):
+        assert side.groupBy(*neardup._PAIR).count().agg(F.max("count")).first()[0] <= 25
+    met = homes.select(*neardup._PAIR, F.col("tid").alias("home")).join(guests.select(*neardup._PAIR, "tid"), [*neardup._PAIR])
+    within = full.select("block", "tid").join(full.select("block", F.col("tid").alias("home")), "block")
+    assert met.select("home", "tid").union(within.select("home", "tid")).distinct().count() == met.count() + within.count() == n * n
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "en" if k % 3 else None, f"s{k % 5}") for k in range(300)], "doc_id long, text string, lang string, source string")
     levels = {"lang": F.col("lang"), "source": F.col("source")}
