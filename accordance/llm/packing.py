@@ -144,13 +144,11 @@ def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k
         end = np.array([end_id], dtype="<u4").tobytes()
         for rows in batches:
             found = []
-            for begin in range(0, len(rows), 1000):
-                part = rows.iloc[begin : begin + 1000]
-                for doc, ids in zip(part["doc_id"], encoder(path).pack(part["text"].tolist())):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
-                        found.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            for doc, ids in zip(rows["doc_id"], encoder(path).ids(rows["text"].tolist())):
+                packed = ids.tobytes() + end
+                for k, at in enumerate(range(0, len(packed), 4 * capacity)):
+                    piece = packed[at : at + 4 * capacity]
+                    found.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             made = pd.DataFrame(found, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield made.astype({"doc_id": "Int64"})
 

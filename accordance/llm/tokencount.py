@@ -5,6 +5,10 @@ what it makes of their own two strings. So the encoding of a prefix ends with th
 which the encoding of what comes before t ends with a token that t may follow, and its length is
 one more than that of the shorter prefix. One pass over a piece gives the count at each prefix.
 
+The tokens that end at a place come from an automaton of the vocabulary, the longest first, so a
+piece of any length takes time in proportion to it. Where the normalizer composes characters, a
+prefix that ends among them is counted from the state at the safe place before.
+
 Counts are kept as one signed byte a character, the step from the prefix one shorter; the counts
 are the running sums. Null texts are empty ones; the empty prefix has no tokens.
 """
@@ -14,7 +18,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -22,9 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accordance.llm.encoding import Kept, tokenizer_path
+from accordance.llm.encoding import Kept, chunks, tokenizer_path
 
-#: Characters that the normalizer keeps one for one (but for case), and the split pattern for them and for white space.
+#: Characters that the normalizer keeps one for one (but for case), white space, and the split pattern for them.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _SPACES = re.compile("([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+)")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\s|[^\sa-z0-9ß-öø-ÿ]+")
@@ -39,26 +46,55 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _joins(char: str) -> bool:
+    """If a normalizer may compose it with what is before: marks, and the later letters of Korean syllables."""
+    return char >= "\u0300" and (unicodedata.category(char)[0] == "M" or "\u1160" <= char <= "\u11ff" or "\ud7b0" <= char <= "\ud7ff")
+
+
+def _byte_ends(text: str) -> np.ndarray:
+    """The bytes of each prefix."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))
+
+
+def _steps(counts) -> bytes:
+    return np.diff(counts).astype(np.int8).tobytes()
+
+
 class PrefixCounter:
-    """The counts of prefixes for a tokenizers file with a byte pair model and a mark of word ends."""
+    """The counts of prefixes for a tokenizers file with a byte level byte pair model and a mark of word ends."""
 
     def __init__(self, path: str):
+        import ahocorasick
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         model = json.loads(self.tokenizer.to_str())["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.tokens = set(model["vocab"])
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {pair: k for k, pair in enumerate(pairs)}
-        self.longest = max(map(len, self.tokens))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")" if self.special else "(?!)()")
+        forms: dict[str, list] = {}  # of each string: its token inside a piece, and the one at the piece's end
+        for token in set(model["vocab"]).difference(self.special):
+            ended = bool(self.end) and token.endswith(self.end)
+            form = forms.setdefault(token.removesuffix(self.end) if ended else token, [None, None])
+            form[int(ended)] = token
+            if not self.end:
+                form[1] = token
+        forms.pop("", None)
+        self.longest = max(map(len, forms))
+        self.automaton = ahocorasick.Automaton()
+        for text, (inside, last) in forms.items():
+            self.automaton.add_word(text, (len(text), inside, last))
+        self.automaton.make_automaton()
         self.follows: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.pieces: dict[str, bytes] = {}
-        self.states: dict[str, tuple[str, int, int]] = {}
+        self.norms: dict[str, str] = {}
         self.chars = _byte_chars()
-        self.kept = Kept(lambda cuts: [b"\0" + self.steps(w) if w and not w[0].isspace() else self.steps(" " + w) for w in cuts])
+        spaced = lambda cuts: [b"\0" + self.steps(w) if w and not w[0].isspace() else self.steps(" " + w) for w in cuts]
+        self.kept = Kept(lambda cuts: list(map(self.steps, cuts)), spaced, "i1")
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Byte pair encoding of a few symbols."""
@@ -76,66 +112,66 @@ class PrefixCounter:
         return [*chars[:-1], chars[-1] + self.end] if ended else chars
 
     def _may_follow(self, left: str, right: str) -> bool:
-        key = left, right
-        if key not in self.follows:
-            if len(self.follows) > 1_000_000:
-                self.follows.clear()
-            self.follows[key] = self.merge(self._symbols(left) + self._symbols(right)) == [left, right]
-        return self.follows[key]
+        if len(self.follows) > 1_000_000:
+            self.follows.clear()
+        self.follows[left, right] = fits = self.merge(self._symbols(left) + self._symbols(right)) == [left, right]
+        return fits
 
     def _reached(self, token: str) -> bool:
-        if token not in self.whole:
-            self.whole[token] = token in self.tokens and len(self.merge(self._symbols(token))) == 1
-        return self.whole[token]
+        """If the model makes this one token of its string."""
+        fits = self.whole.get(token)
+        if fits is None:
+            fits = self.whole[token] = len(self.merge(self._symbols(token))) == 1
+        return fits
 
-    def word(self, word: str) -> list[int]:
-        """Tokens of word[:k], taken as a whole word, for k from 0; word is in the model's own characters.
+    def _word(self, word: str, known: int = 0, last: list[str] | None = None, inside: array | None = None) -> tuple[list[str], array, array]:
+        """For each k: the last token of word[:k] in the middle of a piece, how many it has there, and how many as a whole piece.
 
-        What is known of a prefix (its last token and count inside a longer word, its count as a word) is
-        kept for the words that share it.
+        ``word`` is in the model's own characters. ``last`` and ``inside`` may give what is ``known`` of the first ones.
         """
-        states, tokens, follows, end = self.states, self.tokens, self.follows, self.end
-        if len(states) > 300_000:
-            states.clear()
-        known, keep = len(word), len(word) <= 64
-        while known and not (keep and word[:known] in states):
-            known -= 1
-        found = [("", 0, 0), *(states[word[:k]] for k in range(1, known + 1))]
-        for k in range(known + 1, len(word) + 1):
-            state = []
-            for mark in (end, "") if end else ("",):
-                for at in range(max(0, k - self.longest), k):
-                    token = word[at:k] + mark
-                    if token in tokens:
-                        if at:
-                            fits = follows.get((found[at][0], token))
-                            if fits is None:
-                                fits = self._may_follow(found[at][0], token)
-                        else:
-                            fits = self._reached(token)
-                        if fits:
+        last, inside, total = [""] if last is None else last, array("q", [0]) if inside is None else inside, array("q", [0])
+        follows, reached, may_follow = self.follows, self._reached, self._may_follow
+        for end, found in groupby(self.automaton.iter(word), itemgetter(0)):
+            if end < known:
+                continue
+            token, n, whole = "", -1, -1
+            for _, (size, inner, final) in found:
+                at = end + 1 - size
+                before = last[at]
+                if n < 0 and inner is not None:
+                    fits = follows.get((before, inner)) if at else reached(inner)
+                    if may_follow(before, inner) if fits is None else fits:
+                        token, n = inner, inside[at] + 1
+                        if whole >= 0:
+                            break
+                if whole < 0 and final is not None:
+                    fits = follows.get((before, final)) if at else reached(final)
+                    if may_follow(before, final) if fits is None else fits:
+                        whole = inside[at] + 1
+                        if n >= 0:
                             break
-                state.append((token, found[at][1] + 1))
-            found.append((state[-1][0], state[-1][1], state[0][1]))
-            if keep:
-                states[word[:k]] = found[-1]
-        return [x[2] for x in found]
+            last.append(token)
+            inside.append(n)
+            total.append(whole)
+        return last, inside, total
+
+    def _chars(self, text: str) -> str:
+        return "".join(map(self.chars.__getitem__, text.encode()))
 
     def count(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def piece(self, text: str) -> bytes:
-        """The steps over a piece of the split pattern, or over a white space character."""
-        if text.isspace():
-            return bytes(len(text))
+        """The steps over a piece of the split pattern."""
         if text[0] == "'" and len(text) > 1 and text[1].isalpha():
-            counts = [self.count(text[:k]) for k in range(len(text) + 1)]  # a prefix of 're is cut otherwise
-        else:
-            raw = text.encode()
-            counts = self.word("".join(map(self.chars.__getitem__, raw)))
-            if len(raw) > len(text):
-                counts = [counts[len(text[:k].encode())] for k in range(len(text) + 1)]
-        return np.diff(counts).astype(np.int8).tobytes()
+            return _steps([self.count(text[:k]) for k in range(len(text) + 1)])  # a prefix of 're is cut otherwise
+        return self._piece(text)[0]
+
+    def _piece(self, text: str) -> tuple[bytes, tuple[str, list[str], array], np.ndarray]:
+        """The steps over a piece that isn't cut otherwise, what _longer needs, and the bytes of each prefix."""
+        chars, ends = self._chars(text), _byte_ends(text)
+        last, inside, total = self._word(chars)
+        return _steps(np.array(total)[ends]), (chars, last, inside), ends
 
     def steps(self, cut: str) -> bytes:
         """The steps over the characters of a cut."""
@@ -145,7 +181,7 @@ class PrefixCounter:
         for text in _PIECES.findall(cut.lower()):
             at = pieces.get(text)
             if at is None:
-                at = self.piece(text)
+                at = b"\0" if text in " \t\n\r" else self.piece(text)
                 if len(pieces) > 400_000:
                     pieces.clear()
                 if len(text) <= 64:
@@ -154,26 +190,78 @@ class PrefixCounter:
         return b"".join(out)
 
     def _odd_steps(self, cut: str) -> bytes:
-        """As steps, by the library's own normalizer and split. Where these change the number of characters
-        (marks that compose, letters with a longer lower case, special tokens), the library counts each prefix;
-        that takes the square of the length of such a run without white space."""
-        out = []
-        for k, run in enumerate(_SPACES.split(cut)):
-            norm = self.tokenizer.normalizer.normalize_str(run)
+        """As steps, by the library's own normalizer and split. A special token is plain text up to its last character."""
+        out, before = [], ""
+        for k, part in enumerate(self.specials.split(cut)):
             if k % 2:
-                out.append(bytes(len(run)))
-            elif len(norm) != len(run) or len(run.lower()) != len(run) or not unicodedata.is_normalized("NFC", run) or any(s in run for s in self.special):
-                out.append(np.diff([self.count(run[:k]) for k in range(len(run) + 1)]).astype(np.int8).tobytes())
+                begun = self._runs(_SPACES.split(before)[-1] + part[:-1])[1 - len(part) :]
+                out += [begun, _steps([np.frombuffer(begun, np.int8).sum(dtype=np.int64), 1])]
             else:
-                out += [self.piece(norm[a:b]) for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm)]
+                out.append(self._runs(part))
+                before = part
         return b"".join(out)
 
-    def texts(self, texts: list[str]) -> list[bytes]:
+    def _runs(self, text: str) -> bytes:
+        return b"".join(bytes(len(run)) if k % 2 else self._run(run) for k, run in enumerate(_SPACES.split(text)) if run)
+
+    def _norm(self, text: str) -> str:
+        if text not in self.norms:
+            if len(self.norms) > 100_000:
+                self.norms.clear()
+            self.norms[text] = self.tokenizer.normalizer.normalize_str(text)
+        return self.norms[text]
+
+    def _run(self, run: str) -> bytes:
+        """The steps over a run without white space."""
+        safe = [0, *(k for k, c in enumerate(run) if k and not _joins(c)), len(run)]
+        parts = [self._norm(run[a:b]) for a, b in zip(safe, safe[1:])]
+        norm = "".join(parts)
+        if norm != self.tokenizer.normalizer.normalize_str(run):  # composed over a place that seemed safe
+            return _steps([self.count(run[:k]) for k in range(len(run) + 1)])
+        pieces = [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm)]
+        plain = len(parts) == len(run) == len(norm)
+        long = {} if plain else {a: self._piece(norm[a:b]) for a, b in pieces if b - a > 64}
+        steps = b"".join(long[a][0] if a in long else self.piece(norm[a:b]) for a, b in pieces)
+        if plain:
+            return steps
+        done = np.append(0, np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)).tolist()
+        counts, at, p = [0], 0, 0
+        for a, b, part in zip(safe, safe[1:], parts):
+            if b == a + 1:
+                at += len(part)
+                counts.append(done[at])
+                continue
+            while p + 1 < len(pieces) and pieces[p + 1][0] < at:
+                p += 1
+            first = pieces[p][0]
+            if p and norm[pieces[p - 1][0] : first] == "'":  # it may be cut otherwise with other letters after it
+                first = pieces[p - 1][0]
+            for k in range(a + 1, b):  # prefixes that end among characters that compose
+                more = self._norm(run[a:k])
+                if at - first <= 64 or first not in long:
+                    counts.append(done[first] + self.count(norm[first:at] + more))
+                    continue
+                # so long a piece has characters of one kind, of which ``more`` may begin with some
+                joins = max(0, self.tokenizer.pre_tokenizer.pre_tokenize_str(norm[at - 2 : at] + more)[0][1][1] - 2)
+                _, states, ends = long[first]
+                n = self._longer(int(ends[at - first]), self._chars(more[:joins]), *states) if joins else done[at] - done[first]
+                counts.append(done[first] + n + (self.count(more[joins:]) if more[joins:] else 0))
+            at += len(part)
+            counts.append(done[at])
+        return _steps(counts)
+
+    def _longer(self, upto: int, more: str, chars: str, last: list[str], inside: array) -> int:
+        """The count of chars[:upto] + more as a whole piece, from the states of ``chars``."""
+        begin = max(0, upto - self.longest)
+        return self._word(chars[begin:upto] + more, upto - begin, last[begin : upto + 1], inside[begin : upto + 1])[2][-1]
+
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The steps over each text."""
-        out = []
-        for begin in range(0, len(texts), 200):
-            out += [self.steps(first) + b"".join(rest) for first, rest in self.kept.parts(texts[begin : begin + 200])]
-        return out
+        for part in chunks(texts):
+            flat, bounds = self.kept.items(part)
+            bounds = bounds.tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                yield flat[a:b]
 
 
 def counter(path: str) -> PrefixCounter:
@@ -189,7 +277,7 @@ def prefix_steps(path: str) -> Column:
     @F.pandas_udf(T.BinaryType())
     def steps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(counter(path).texts(texts.fillna("").tolist()))
+            yield pd.Series([s.tobytes() for s in counter(path).texts(texts.fillna("").tolist())])
 
     return steps
 
@@ -220,10 +308,11 @@ def count_tokens(docs: DataFrame, limit: int = 2048, tokenizer: str = "word_bpe_
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            steps = counter(path).texts(rows["text"].tolist())
-            counts = [np.cumsum(np.frombuffer(s, np.int8), dtype=np.int64) for s in steps]
-            total = [int(c[-1]) if len(c) else 0 for c in counts]
-            fits = [len(c) if n <= limit else int(np.flatnonzero(np.append(0, c) <= limit)[-1]) for c, n in zip(counts, total)]
+            total, fits = [], []
+            for steps in counter(path).texts(rows["text"].tolist()):
+                counts = np.cumsum(steps, dtype=np.int64)
+                total.append(int(counts[-1]) if len(counts) else 0)
+                fits.append(len(counts) if total[-1] <= limit else int(np.flatnonzero(np.append(0, counts) <= limit)[-1]))
             yield pd.DataFrame({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": total, "over_limit": [n > limit for n in total], "limit_chars": fits})
 
     whole = F.coalesce(F.col(text), F.lit(""))

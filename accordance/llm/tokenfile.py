@@ -110,17 +110,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = TaskContext.get().partitionId()
-        width, end = np.dtype(dtype).itemsize, np.array([end_id], dtype=dtype).tobytes()
+        end = np.array([end_id], dtype=dtype).tobytes()
         keys, sizes = [], []
 
         def ids():
             for rows in batches:
-                for begin in range(0, len(rows), 1000):
-                    part = rows.iloc[begin : begin + 1000]
-                    found = [x + end for x in encoder(path, dtype).pack(part["text"].tolist())]
-                    keys.extend(None if pd.isna(k) else int(k) for k in part["key"])
-                    sizes.extend(len(x) // width for x in found)
-                    yield b"".join(found)
+                keys.extend(None if pd.isna(k) else int(k) for k in rows["key"])
+                for found in encoder(path, dtype).ids(rows["text"].tolist()):
+                    sizes.append(len(found) + 1)
+                    yield found.tobytes() + end
 
         stream = ids()
         first = next(stream, None)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -16,7 +17,7 @@ from accordance.llm.encoding import tokenizer_path
 from accordance.llm.queries import ORACLE_SQL, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
-ODD = ["", None, "a", "  two  spaces ", "l\n\n\tx y", "it's <|endoftext|> we're", "Æblegrød 12345 ½ ﬁ İstanbul é", "word " * 30 + "end", "x" * 300, "日本語 テキスト。", "tab\tand 'll don't"]
+ODD = ["", None, "a", "  two  spaces ", "l\n\n\tx y", "it's <|endoftext|> we're", "Æblegrød 12345 ½ ﬁ İstanbul é", "word " * 30 + "end", "x" * 300, "日本語 テキスト。", "tab\tand 'll don't", "\x1c", "a\x1fb \x1d c", "が日本語é" * 30, "'re\u0301 !'s"]
 
 
 def _docs(spark, texts):
@@ -75,9 +76,9 @@ def test_tokens(spark):
         assert got[k].n_tokens == len(word.encode(t or "", add_special_tokens=False).ids), t
         assert got[k].n_bytes == len((t or "").encode())
     counter = tokencount.counter(tokenizer_path("word_bpe_49k.json"))
-    for t in filter(None, ODD):
-        steps = np.cumsum(np.frombuffer(counter.texts([t])[0], np.int8))
-        assert [0, *steps] == [len(word.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)], t
+    for t, steps in zip(ODD, counter.texts([t or "" for t in ODD])):
+        t = t or ""
+        assert [0, *np.cumsum(steps)] == [len(word.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)], t
     start = 0
     for r in sorted(tokenfile.encode_and_read(docs).collect(), key=lambda r: r.doc_id):
         ids = [*byte.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids, 2]
@@ -85,6 +86,37 @@ def test_tokens(spark):
         start += len(ids)
 
 
+def test_prefix_counts_of_any_text():
+    word = _tokenizer("word_bpe_49k.json")
+    counter = tokencount.counter(tokenizer_path("word_bpe_49k.json"))
+    rng = np.random.default_rng(4)
+    parts = ["a", "B", " ", "  ", "\n", "\u00e9", "e\u0301", "'s", "'re", "!'", "1", "\u00bd", "\x1c", "\x1f", "\u3000", "\u65e5\u672c", "\u304b\u3099", "\u0130", "\ufb01", "<|endoftext|>", "<|end", "the", "\u1100\u1161\u11a8", "\u0301", "\u0e44\u0e17\u0e22"]
+    for _ in range(400):
+        t = "".join(rng.choice(parts, rng.integers(0, 12))) + "\u304b\u3099\u65e5" * int(rng.integers(0, 30))
+        (steps,) = counter.texts([t])
+        assert [0, *np.cumsum(steps)] == [len(word.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)], repr(t)
+
+
+def test_counts_of_long_runs_take_time_in_proportion():
+    counter, took = tokencount.counter(tokenizer_path("word_bpe_49k.json")), []
+    for n in (20_000, 200_000):
+        begun = time.process_time()
+        (steps,) = counter.texts(["\u65e5" * n + "e\u0301"])
+        took.append(time.process_time() - begun)
+        assert steps.sum(dtype=int) == counter.count("\u65e5" * n + "e\u0301")
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_prefix_functions(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    count = lambda t: len(_tokenizer("word_bpe_49k.json").encode(t, add_special_tokens=False).ids)
+    text = "Counting tokens of the beginnings of texts, unhurriedly."
+    docs = _docs(spark, [text, None, ""]).withColumn("steps", tokencount.prefix_steps(path)("text"))
+    got = docs.select("doc_id", tokencount.tokens_before("steps", F.lit(20)).alias("n"), tokencount.longest_within("steps", F.lit(5)).alias("most")).orderBy("doc_id").collect()
+    most = max(k for k in range(len(text) + 1) if count(text[:k]) <= 5)
+    assert [tuple(r) for r in got] == [(0, count(text[:20]), most), (1, 0, 0), (2, 0, 0)]
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     made = tokenfile.PerfectHash.of(keys)
