@@ -5,20 +5,19 @@ product. Queries and points are dealt to tiles and shards of bounded size; each
 shard is one task's product, of which only each query's best k leave the task. Products are made in
 doubles where they are exact there (below 2**53), else in Python's integers.
 
-Rows with a null id or a null, empty or non-finite vector take no part; vectors of another length than
-the query's are no candidates; a repeated query id is answered once.
+Every row is a candidate, repeated ones too: a row stored seven times is found seven times. A query finds
+no row of its own id. An id that several query rows have is answered once, for the smallest of their
+vectors (compared component by component). Rows with a null id or a null, empty or non-finite vector take
+no part; vectors of another length than the query's are no candidates. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordance.llm.vectors import BLOCK_CELLS, apart, best_of_block, lists, matrix, merged, taking_part
-
-_OUT = "query_id long, part long, ids array<long>, scores array<long>"
+from accordance.llm.vectors import all_pairs, best_of_block, merged, taking_part
 
 
 def _product(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -30,7 +29,7 @@ def _wide(queries: np.ndarray, points: np.ndarray) -> bool:
     return most[0] * most[1] * max(1, points.shape[1]) >= 2.0**53
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, tile: int = 2048) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best of all rows but its own, ties to smaller vec_id.
 
     ``vectors`` has vec_id and embedding; ``is_query`` says which rows are queries. The queries meet every
@@ -38,33 +37,21 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     """
     vec = F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & taking_part(vec)).select(
-        F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("is_query"), F.transform(vec, lambda x: F.floor(F.lit(scale) * x)).alias("vec"), F.size(vec).alias("dim")
-    )
-    sizes = rows.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), F.max("dim").alias("d")).first()
-    shards = max(1, -(-sizes.n * (sizes.d or 1) // BLOCK_CELLS))
-    tiles = max(1, -(-(sizes.q or 0) // tile))
-    points = rows.select("vec_id", "vec", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
-    queries = (
-        rows.where("is_query").dropDuplicates(["vec_id"])
-        .select("vec_id", "vec", "dim", F.pmod(F.xxhash64("vec_id", F.lit("tile")), F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+        F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.transform(vec, lambda x: F.floor(F.lit(scale) * x)).alias("vec"), F.size(vec).alias("dim")
     )
+    ends = F.max(F.greatest(F.array_max("vec").cast("double"), -F.array_min("vec").cast("double")))
+    sizes = rows.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), F.max("dim").alias("d"), ends.alias("high")).first()
+    vec = F.col("vec").cast("array<int>" if (sizes.high or 0) < 2**31 - 1 else "array<long>").alias("vec")
+    points = rows.select(F.col("vec_id").alias("key"), "vec_id", vec, "dim", F.monotonically_increasing_id().alias("spread"))
+    queries = rows.where("is_query").groupBy(F.col("vec_id").alias("query")).agg(F.min("vec").alias("vec")).select("query", F.col("query").alias("own"), vec, F.size("vec").alias("dim"))
 
-    def search(key, mine: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.int64()))})
-        if not mine.num_rows or not asked.num_rows:  # the side that a group lacks comes without columns
-            return empty
-        x, q = matrix(mine["vec"]), matrix(asked["vec"])
-        ids, own = mine["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
+    def block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray):
         if _wide(q, x):
-            row, found, score = _by_integers(q, x, ids, own, k)
-        else:
-            row, found, score = best_of_block(q.astype(np.float64), x.astype(np.float64), ids, own, k, _product)
-        at = pa.array(lists(row, len(q)))
-        return pa.table({"query_id": own, "part": np.full(len(q), key[2].as_py()), "ids": pa.ListArray.from_arrays(at, pa.array(found)), "scores": pa.ListArray.from_arrays(at, pa.array(score))})
+            return _by_integers(q, x, ids, own, k)
+        return best_of_block(q.astype(np.float64), x.astype(np.float64), ids, own, k, _product)
 
-    keys = ("dim", "tile", "shard")
-    parts = points.groupBy(*keys).cogroup(apart(queries).groupBy(*keys)).applyInArrow(search, _OUT)
-    return merged(parts, k)
+    found = merged(all_pairs(points, queries, sizes.n, sizes.q or 0, sizes.d or 1, k, "long", block), k, distinct=False)
+    return found.select(F.col("query").alias("query_id"), F.posexplode("found").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
 def _by_integers(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
@@ -74,8 +61,8 @@ def _by_integers(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray,
     points = [list(map(int, v)) for v in x]
     for r, v in enumerate(q):
         v = list(map(int, v))
-        each = sorted((-min(high, max(low, sum(a * b for a, b in zip(v, p)))), i) for p, i in zip(points, ids.tolist()) if i != own[r])[:k]
+        each = sorted((-min(high, max(low, sum(a * b for a, b in zip(v, p)))), i, at) for at, (p, i) in enumerate(zip(points, ids.tolist())) if i != own[r])[:k]
         row += [r] * len(each)
-        found += [i for _, i in each]
-        scores += [-s for s, _ in each]
+        found += [at for _, _, at in each]
+        scores += [-s for s, _, _ in each]
     return np.array(row, np.int64), np.array(found, np.int64), np.array(scores, np.int64)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordance.llm import ann, mixing, neardup, packing, pii, tokencount, tokenfile, topk, toxicity, urls
+from accordance.llm import mixing, neardup, packing, pii, tokencount, tokenfile, toxicity, urls
 from accordance.llm.encoding import tokenizer_path
 from accordance.llm.queries import ORACLE_SQL, QUERIES
 
@@ -31,43 +31,6 @@ def _tokenizer(name):
     return Tokenizer.from_file(tokenizer_path(name))
 
 
-def _vectors(spark, n=600, dim=16):
-    x = np.random.default_rng(3).normal(size=(n, dim)).astype("float32")
-    x[7], x[9] = x[8], x[8]  # ties
-    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(n, None, 0), (n + 20, [0.0] * dim, 0), (n + 40, [float("nan")] * dim, 0), (n + 60, [None] * dim, 0)]
-    return x.astype(float), spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-
-
-def test_nearest(spark):
-    x, table = _vectors(spark)
-    found = {}
-    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, k=20).collect():
-        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    hits = total = 0
-    for q in range(0, len(x), 20):
-        score = x @ x[q]
-        want = sorted((-s, k) for k, s in enumerate(score) if k != q)[:20]
-        mine = sorted(found[q])
-        assert [m[0] for m in mine] == list(range(1, len(mine) + 1))
-        assert all(abs(s - score[k]) < 1e-9 for _, k, s in mine)
-        assert [(m[1]) for m in mine] == [k for _, k in sorted((-s, k) for _, k, s in mine)]
-        hits, total = hits + len({k for _, k in want} & {m[1] for m in mine}), total + 20
-    assert hits / total >= 0.9 and set(found) == set(range(0, len(x), 20))
-
-
-def test_exact_top_k(spark):
-    x, table = _vectors(spark)
-    v = np.floor(256 * x).astype(np.int64)
-    want = []
-    for q in range(0, len(v), 50):
-        best = sorted((-int(s), k) for k, s in enumerate(v @ v[q]) if k != q)[:5]
-        want += [(q, r, k, -s) for r, (s, k) in enumerate(best, 1)]
-    zero = len(v)  # the zero vector takes part here, as candidate and, its id allowing, as query
-    got = [tuple(r) for r in topk.exact_top_k(table.where(f"vec_id <> {zero + 20}"), F.col("vec_id") % 50 == 0, k=5).collect()]
-    assert sorted(got) == sorted(want)
-    assert topk.exact_top_k(table.where("false"), F.col("vec_id") % 50 == 0).count() == 0
-
-
 def test_tokens(spark):
     docs = _docs(spark, ODD)
     word, byte = _tokenizer("word_bpe_49k.json"), _tokenizer("byte_bpe_50k.json")
