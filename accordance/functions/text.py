@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as it is stripped from both ends of values and lines: Unicode's and the four separators.
 SPACE = r"[\s\x1c-\x1f]"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Characters of typeset reports and what plain text has for them.
 REPLACEMENTS = {
     "µ": "u",
@@ -25,7 +26,7 @@ REPLACEMENTS = {
 
 def strip(c: Column) -> Column:
     """``c`` without white space at its ends."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def plain_characters(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from accordance.functions.fields import field_type, is_skipped
 from accordance.functions.values import token_f1, tolerance_match
+from accordance.operators.stats import mean_of_rounded
 
 #: Complete units from which on alpha counts as reliable.
 MIN_UNITS = 10
@@ -131,7 +132,7 @@ def pairwise_summary(fields: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.sum("n_pairs").alias("n_pairs"),
         percent("n_exact").alias("exact_percent"),
         F.when(F.col("field_type") == "numeric", percent("n_tolerance")).alias("tolerance_percent"),
-        F.round(F.avg(F.when(F.col("field_type") == "free_text", F.col("mean_f1"))), 3).alias("mean_f1"),
+        mean_of_rounded(F.when(F.col("field_type") == "free_text", F.col("mean_f1"))).alias("mean_f1"),
     )
 
 

@@ -30,7 +30,7 @@ def _numeric() -> Column:
 
 
 def _strict(side: str) -> Column:
-    """A value as a number where it is one, with a decimal comma if need be; booleans are none."""
+    """A value as a number where it is one, with a decimal comma if need be; booleans are none. To be a column, since it is used often."""
     return F.when(F.col(f"{side}_kind") != "bool", F.coalesce(f"{side}_num", to_number(F.replace(F.col(f"{side}_txt"), F.lit(","), F.lit(".")))))
 
 
@@ -45,11 +45,11 @@ def compare_fields(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("
     value missing on one side disagrees. Free text agrees from an F1 of ``least_f1`` on. Numbers agree if
     equal, and have a tolerance match and their difference; where one can't be read, texts are compared.
     """
-    rows = aligned(left, right, keys).withColumn("field_type", field_type(F.col("path"), _numeric()))
+    rows = aligned(left, right, keys).withColumns({"field_type": field_type(F.col("path"), _numeric()), "_a": _strict("l"), "_b": _strict("r")})
     no_l, no_r = F.col("l_kind") == "null", F.col("r_kind") == "null"
     status = F.when(no_l & no_r, "both_missing").when(no_l, "left_missing").when(no_r, "right_missing").otherwise("filled")
     filled = F.col("status") == "filled"
-    a, b = _strict("l"), _strict("r")
+    a, b = F.col("_a"), F.col("_b")
     numbers = filled & (F.col("field_type") == "numeric") & a.isNotNull() & b.isNotNull()
     rows = rows.withColumns({"topic": topic(F.col("path")), "status": status})
     rows = rows.withColumn("f1", F.when(filled & (F.col("field_type") == "free_text"), token_f1(F.col("l_txt"), F.col("r_txt"))["f1"]))
@@ -75,9 +75,9 @@ def score_fields(model: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("m
     Null where the truth is missing; 0 where only the model's value is. Free text: F1 to three decimals.
     Numbers: 1 if equal, .7 within the tolerance, else 0. The rest: 1 if equal, else 0.
     """
-    rows = aligned(model, truth, keys).withColumn("field_type", field_type(F.col("path"), _numeric()))
+    rows = aligned(model, truth, keys).withColumns({"field_type": field_type(F.col("path"), _numeric()), "_a": _strict("l"), "_b": _strict("r")})
     no_m, no_t = F.col("l_kind") == "null", F.col("r_kind") == "null"
-    a, b = _strict("l"), _strict("r")
+    a, b = F.col("_a"), F.col("_b")
     numbers = (F.col("field_type") == "numeric") & a.isNotNull() & b.isNotNull()
     score = (
         F.when(no_t, None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordance.functions.values import hms_to_minutes, normalized, to_boolean, to_flag_text
+from accordance.functions.values import hms_to_minutes, to_boolean, to_flag_text, with_normalized
 
 # Paths that ground truth repair gives a type.
 FLAG_PATHS = ("oget_muskelaktivitet_rem.chin", "oget_muskelaktivitet_rem.tib", "oget_muskelaktivitet_rem.fds")
@@ -62,8 +62,7 @@ def flatten(parsed: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
 
 def with_values(leaves: DataFrame) -> DataFrame:
     """``leaves`` with kind, num and txt of each value instead of raw and jtype."""
-    value = leaves.withColumn("_v", normalized(F.col("raw"), F.col("jtype")))
-    return value.select(*(c for c in leaves.columns if c not in ("raw", "jtype")), "_v.kind", "_v.num", "_v.txt")
+    return with_normalized(leaves, "raw", "jtype").drop("raw", "jtype")
 
 
 def annotations(records: DataFrame, keys: list[str], raw: str = "raw", depth: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,13 @@ def _rate(a: str | Column, b: str | Column, digits: int = 3) -> Column:
     return F.round(F.try_divide(a, b), digits)
 
 
+def mean_of_rounded(c: str | Column, digits: int = 3) -> Column:
+    """The mean of numbers of so many decimals, rounded half up to as many: sums of whole numbers, so no order of rows matters."""
+    c = F.col(c) if isinstance(c, str) else c
+    total, n = F.sum(F.round(c * 10**digits).cast("long")), F.count(c)
+    return F.floor(F.try_divide((2 * total + n).cast("decimal(38,0)"), (2 * n).cast("decimal(20,0)"))).cast("double") / 10**digits
+
+
 def field_stats(compared: DataFrame, order: str | None = None) -> DataFrame:
     """Counters and rates of each path over all pairs.
 
@@ -52,7 +59,7 @@ def topic_stats(fields: DataFrame) -> DataFrame:
 
 def grand_totals(fields: DataFrame) -> DataFrame:
     """One row over all fields: sums, percentages to one decimal, and the mean of the fields' mean F1."""
-    sums = fields.agg(F.count("*").alias("n_fields"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS if not c.startswith("f1")), F.round(F.avg("mean_f1"), 3).alias("mean_f1"))
+    sums = fields.agg(F.count("*").alias("n_fields"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS if not c.startswith("f1")), mean_of_rounded("mean_f1").alias("mean_f1"))
     percent = lambda c: F.round(F.try_divide(100 * F.col(c), F.col("n_compared")), 1)
     return sums.withColumns({"agree_percent": percent("n_agree"), "disagree_percent": percent("n_disagree")})
 
@@ -104,18 +111,18 @@ def model_field_stats(scores: DataFrame) -> DataFrame:
         F.count("score").alias("n_scored"),
         F.count_if(F.col("model_missing") & ~F.col("truth_missing")).alias("n_missing"),
         F.count_if(F.col("model_missing") & F.col("truth_missing")).alias("n_both_missing"),
-        F.round(F.avg("score"), 3).alias("mean_score"),
+        mean_of_rounded("score").alias("mean_score"),
     )
 
 
 def model_topic_stats(scores: DataFrame) -> DataFrame:
     """model, topic: mean over records; topics without a score keep a row."""
-    return scores.groupBy("model", "topic").agg(F.count("score").alias("n_scored"), F.round(F.avg("score"), 3).alias("mean_score"))
+    return scores.groupBy("model", "topic").agg(F.count("score").alias("n_scored"), mean_of_rounded("score").alias("mean_score"))
 
 
 def model_totals(fields: DataFrame) -> DataFrame:
     """model and score: the mean of the fields' rounded means, to three decimals."""
-    return fields.groupBy("model").agg(F.round(F.avg("mean_score"), 3).alias("score"))
+    return fields.groupBy("model").agg(mean_of_rounded("mean_score").alias("score"))
 
 
 def ranked(totals: DataFrame, models: list[str] | None = None) -> DataFrame:
@@ -127,7 +134,7 @@ def ranked(totals: DataFrame, models: list[str] | None = None) -> DataFrame:
 
 def radar(fields: DataFrame) -> DataFrame:
     """model, topic: the mean of the fields' means (not of the records)."""
-    return fields.groupBy("model", "topic").agg(F.round(F.avg("mean_score"), 3).alias("mean_score"))
+    return fields.groupBy("model", "topic").agg(mean_of_rounded("mean_score").alias("mean_score"))
 
 
 def cross_model(fields: DataFrame) -> DataFrame:
@@ -138,7 +145,7 @@ def cross_model(fields: DataFrame) -> DataFrame:
     scored = fields.where("mean_score is not null").groupBy("path").agg(
         F.min("topic").alias("topic"),
         F.count("*").alias("n_models"),
-        F.round(F.avg("mean_score"), 3).alias("mean_score"),
+        mean_of_rounded("mean_score").alias("mean_score"),
         F.round(F.max("mean_score") - F.min("mean_score"), 3).alias("spread"),
         F.array_sort(F.collect_list(F.struct((-F.col("mean_score")).alias("minus"), "model"))).alias("_all"),
         F.min(F.struct("mean_score", "model")).alias("_worst"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordance.functions.text import last_segments, progress_bar, shortened, symbol, traffic_light
+from accordance.operators.stats import mean_of_rounded
 
 
 def heat_cell(status: Column, agrees: Column, f1: Column) -> Column:
@@ -52,7 +53,7 @@ def topic_pivot(topics: DataFrame, models: list[str]) -> DataFrame:
 
 def metric_by_trial(metrics: DataFrame, trials: list, metric: str = "metric", trial: str = "trial", value: str = "value") -> DataFrame:
     """A row for each metric, a column for each trial, and their mean (nulls left out, to three decimals)."""
-    means = metrics.groupBy(metric).agg(F.round(F.avg(value), 3).alias("mean"))
+    means = metrics.groupBy(metric).agg(mean_of_rounded(value).alias("mean"))
     return metrics.groupBy(metric).pivot(trial, trials).agg(F.first(value)).join(means, metric)
 
 

@@ -29,6 +29,11 @@ def _query(sql: str | None = None):
     return add
 
 
+def _mean(c: str) -> str:
+    """SQL of stats.mean_of_rounded with three decimals."""
+    return f"floor((2 * sum(round({c} * 1000)::bigint) + count({c})) / nullif(2 * count({c}), 0)) / 1000"
+
+
 def _tables(spark: SparkSession, sf: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in names}
 
@@ -144,7 +149,7 @@ select id,
 from n
 """)
 def normalize_value_cascade(spark, sf):
-    return _sql(spark, sf, _RAW, "part").withColumn("v", V.normalized(F.col("raw"))).select("id", "v.kind", "v.num", "v.txt")
+    return V.with_normalized(_sql(spark, sf, _RAW, "part")).drop("raw")
 
 
 @_query("""
@@ -368,7 +373,7 @@ def group_stats(spark, sf):
 
 
 @_query(f"""{_FIELD_STATS} select count(*) as n_fields, sum(n_compared)::bigint as n_compared, sum(n_agree)::bigint as n_agree, sum(n_disagree)::bigint as n_disagree, sum(n_left_missing)::bigint as n_left_missing,
-  sum(n_right_missing)::bigint as n_right_missing, sum(n_both_missing)::bigint as n_both_missing, round(avg(round(f1_sum / nullif(f1_n, 0), 3)), 3)::double as mean_f1,
+  sum(n_right_missing)::bigint as n_right_missing, sum(n_both_missing)::bigint as n_both_missing, {_mean('round(f1_sum / nullif(f1_n, 0), 3)')}::double as mean_f1,
   round(100 * sum(n_agree) / sum(n_compared), 1)::double as agree_percent, round(100 * sum(n_disagree) / sum(n_compared), 1)::double as disagree_percent from fields""")
 def grand_totals(spark, sf):
     return stats.grand_totals(stats.field_stats(_compared(spark, sf)))
@@ -449,11 +454,11 @@ def pairwise_exact(spark, sf):
 
 #: A score of each event's value against the smallest value of its user; the event's type is the model, the user the field.
 _SCORES = """
-select event_type as model, 'f' || cast(user_id % 40 as string) || '.x' as path, 'g' || cast(user_id % 4 as string) as topic, cast(event_id % 101 as double) / 101 as s, event_id % 17 = 0 as model_missing, event_id % 13 = 0 as truth_missing from events
+select event_type as model, 'f' || cast(user_id % 40 as string) || '.x' as path, 'g' || cast(user_id % 4 as string) as topic, round(cast(event_id % 101 as double) / 101, 3) as s, event_id % 17 = 0 as model_missing, event_id % 13 = 0 as truth_missing from events
 """
 _MODELS = f"""
 with s as (select *, case when truth_missing then null when model_missing then 0.0 else s end as score from ({_SCORES})),
-fields as (select model, path, min(topic) as topic, count(*) as n, count(score) as n_scored, count_if(model_missing and not truth_missing)::bigint as n_missing, count_if(model_missing and truth_missing)::bigint as n_both_missing, round(avg(score), 3)::double as mean_score from s group by model, path)
+fields as (select model, path, min(topic) as topic, count(*) as n, count(score) as n_scored, count_if(model_missing and not truth_missing)::bigint as n_missing, count_if(model_missing and truth_missing)::bigint as n_both_missing, {_mean('score')}::double as mean_score from s group by model, path)
 """
 
 
@@ -467,17 +472,17 @@ def model_scores(spark, sf):
     return stats.model_field_stats(_scores(spark, sf))
 
 
-@_query(f"{_MODELS}, t as (select model, round(avg(mean_score), 3)::double as score from fields group by model) select model, score, row_number() over (order by coalesce(score, 0) desc, model)::integer as rank from t")
+@_query(f"{_MODELS}, t as (select model, {_mean('mean_score')}::double as score from fields group by model) select model, score, row_number() over (order by coalesce(score, 0) desc, model)::integer as rank from t")
 def model_ranking(spark, sf):
     return stats.ranked(stats.model_totals(stats.model_field_stats(_scores(spark, sf))))
 
 
-@_query(f"{_MODELS} select model, topic, count(score) as n_scored, round(avg(score), 3)::double as mean_score from s group by model, topic")
+@_query(f"{_MODELS} select model, topic, count(score) as n_scored, {_mean('score')}::double as mean_score from s group by model, topic")
 def model_group_scores(spark, sf):
     return stats.model_topic_stats(_scores(spark, sf))
 
 
-_CROSS = f"""{_MODELS}, x as (select path, min(topic) as topic, count(*) as n_models, round(avg(mean_score), 3)::double as mean_score, round(max(mean_score) - min(mean_score), 3)::double as spread,
+_CROSS = f"""{_MODELS}, x as (select path, min(topic) as topic, count(*) as n_models, {_mean('mean_score')}::double as mean_score, round(max(mean_score) - min(mean_score), 3)::double as spread,
   min({{'s': -mean_score, 'm': model}}).m as best_model, min({{'s': mean_score, 'm': model}}).m as worst_model from fields where mean_score is not null group by path having count(*) > 1)
 """
 
@@ -499,6 +504,6 @@ def spread_fields(spark, sf):
     return stats.spread_fields(stats.cross_model(stats.model_field_stats(_scores(spark, sf))), 0.05).drop("scores")
 
 
-@_query(f"{_MODELS} select model, topic, round(avg(mean_score), 3)::double as mean_score from fields group by model, topic")
+@_query(f"{_MODELS} select model, topic, {_mean('mean_score')}::double as mean_score from fields group by model, topic")
 def radar_groups(spark, sf):
     return stats.radar(stats.model_field_stats(_scores(spark, sf)))
