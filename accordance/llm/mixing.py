@@ -10,8 +10,12 @@ A leaf gives whole epochs and, of the next, the prefix that fits: its documents
 seeded hash of epoch and id, as far as their tokens add up to at most what is left. The prefix is found
 from sums over slices of that order, so no leaf, however large, is sorted in one task.
 
+Documents are never cut: a leaf gives less than its share by what is left before the first document of
+its order that doesn't fit, and that rest goes to no one else.
+
 Null levels form a child of their own named "". Documents of one id have one place and are taken or
-left together; documents without tokens come with the prefix they lie in. Empty tables give no rows.
+left together; documents without tokens come with the prefix they lie in. Null and empty texts have
+no tokens. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -84,11 +88,12 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
     """The chosen rows of ``docs`` with epoch (from 0) and tokens, once for each epoch they are chosen in.
 
     ``levels``: names and columns of the tree's levels from the top. ``budget``: tokens to give, as a column
-    of total (all tokens). Columns of ``docs`` named epoch or tokens are replaced.
+    of total (all tokens). Columns of ``docs`` named epoch or tokens are replaced; others of any name stay as they are.
     """
     names = [f"_{name}" for name in levels]
-    docs = docs.drop("epoch", "tokens")
-    placed = docs.withColumns({f"_{name}": F.coalesce(column.cast("string"), F.lit("")) for name, column in levels.items()} | {"tokens": word_count() if tokens is None else tokens})
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("epoch", "tokens"))).alias("row")  # so that no name of ours meets one of the table's
+    measure = word_count() if tokens is None else tokens
+    placed = docs.select(row, F.col("doc_id").alias("doc_id"), measure.alias("tokens"), *(F.coalesce(column.cast("string"), F.lit("")).alias(f"_{name}") for name, column in levels.items()))
     thin = staged(placed.select(*names, "doc_id", "tokens"), "sizes")
     leaves = allocate(thin.groupBy(*names).agg(F.sum("tokens").alias("tokens")), names, weights, budget, max_epochs)
     leaves = leaves.select(*names, F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.lit(0)).alias("whole"), F.when(F.col("tokens") > 0, F.expr("share % tokens")).otherwise(F.lit(0)).alias("rest"))
@@ -106,4 +111,4 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
     chosen = leaves.join(last, names, "left").withColumn("last", F.coalesce("last", F.lit("")))
     epochs = F.col("whole") + ((F.col("rest") > 0) & (_place(seed, F.col("whole")) <= F.col("last"))).cast("long")
     found = placed.join(small(staged(chosen, "chosen")), names).withColumn("_epochs", epochs).where("_epochs > 0")
-    return found.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_epochs") - 1).cast("int")))).select(*docs.columns, "epoch", "tokens")
+    return found.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_epochs") - 1).cast("int")))).select("row.*", "epoch", "tokens")

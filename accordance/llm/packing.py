@@ -28,8 +28,10 @@ from accordance.llm.storage import staged
 Run = tuple[int, int, int, int, int]
 #: Rows of one length for each salt.
 SALT_ROWS = 200_000
-#: Runs of a plan have four numbers; this bounds what is broadcast (32 MB). A plan has a few runs for each length.
+#: Runs of a plan have four numbers; this bounds what is broadcast (32 MB). A plan has a few runs for each length. More are joined.
 MAX_RUNS = 1_000_000
+#: Ranks to a key of that join.
+RANKS = 256
 
 
 class _Stock:
@@ -56,12 +58,32 @@ class _Stock:
             at -= 1
         return self.sizes[at] if at >= 0 else None
 
-    def two_smallest(self, size: int) -> float:
-        """The sum of the two smallest pieces besides one of ``size``."""
+    def smallest(self, size: int, n: int) -> float:
+        """The sum of the n smallest pieces besides one of ``size``; infinite without so many."""
         rest: list[int] = []
-        for s in self.sizes[:3]:
+        for s in self.sizes[: n + 1]:
+            rest += [s] * min(n, self.left[s] - (s == size))
+        return sum(rest[:n]) if len(rest) >= n else float("inf")
+
+    def best_pair(self, size: int, room: int) -> int:
+        """The largest sum within ``room`` of two pieces besides one of ``size``; 0 without any."""
+        best, high = 0, bisect.bisect_right(self.sizes, room) - 1
+        left = lambda s: self.left[s] - (s == size)
+        for low, s in enumerate(self.sizes):
+            while high >= low and (s + self.sizes[high] > room or left(self.sizes[high]) < 1 + (self.sizes[high] == s)):
+                high -= 1
+            if high < low:
+                break
+            if left(s) > 0:
+                best = max(best, s + self.sizes[high])
+        return best
+
+    def above(self, size: int, least: int, room: int) -> bool:
+        """If two pieces longer than ``least``, besides one of ``size``, fit in ``room``."""
+        at, rest = bisect.bisect_right(self.sizes, least), []
+        for s in self.sizes[at : at + 3]:
             rest += [s] * min(2, self.left[s] - (s == size))
-        return rest[0] + rest[1] if len(rest) > 1 else float("inf")
+        return len(rest) > 1 and rest[0] + rest[1] <= room
 
 
 def _reduce(stock: _Stock, capacity: int) -> tuple[list[Run], int]:
@@ -70,23 +92,47 @@ def _reduce(stock: _Stock, capacity: int) -> tuple[list[Run], int]:
     For a piece j let k be the largest piece that fits beside it. If there is none, j lies alone. If j
     and k fill a sequence, or no two pieces fit beside j, then any other set with j can be changed for
     {j, k} and the pieces set free fit where k was: {j, k} is fixed, as often as there are such pieces.
+    Where two pieces fit beside j but no three, {j, k} is fixed if k is as long as any two of them
+    together; else {j, k, b}, with the longest b that still fits, if no two pieces both longer than b do:
+    then of each other set with j one piece is at most k and the other at most b.
     """
     runs, bins, changed = [], 0, True
     while changed:
         changed = False
         for j in reversed(stock.sizes.copy()):
             while stock.left.get(j):
-                n, k = stock.left[j], stock.partner(j, capacity - j)
-                if k is not None and j + k < capacity and j + stock.two_smallest(j) <= capacity:
+                chosen = _dominating(stock, j, capacity - j)
+                if chosen is None:
                     break
-                times = n if k is None else n // 2 if k == j else min(n, stock.left[k])
-                runs.append((j, stock.take(j, times), bins, 0, times))
-                if k is not None:
-                    runs.append((k, stock.take(k, times), bins, j, times))
+                # as often as there are such pieces; what goes makes no new sets possible
+                times = min(stock.left[s] // chosen.count(s) for s in chosen)
+                at = 0
+                for s in chosen:
+                    runs.append((s, stock.take(s, times), bins, at, times))
+                    at += s
                 bins, changed = bins + times, True
     return runs, bins
 
 
+def _dominating(stock: _Stock, j: int, room: int) -> list[int] | None:
+    """The sizes of a set with j that dominates all others, j first, if one of at most three is known to."""
+    k = stock.partner(j, room)
+    if k is None:
+        return [j]
+    if k == room or stock.smallest(j, 2) > room:
+        return [j, k]
+    if stock.smallest(j, 3) <= room:
+        return None
+    if k >= stock.best_pair(j, room):
+        return [j, k]
+    stock.left[k] -= 1  # what fits beside both
+    try:
+        b = next((s for s in reversed(stock.sizes[: bisect.bisect_right(stock.sizes, room - k)]) if stock.left[s] - (s == j) > 0), None)
+    finally:
+        stock.left[k] += 1
+    return [j, k, b] if b is not None and not stock.above(j, b, room) else None
+
+
 def _best_fit(stock: _Stock, capacity: int, bins: int) -> tuple[list[Run], int]:
     """Best fit by decreasing length. Sequences with the same room are handled together: as many as are
     needed take as many pieces each as fit, which is what placing the pieces one by one does."""
@@ -162,26 +208,37 @@ def pack(items: DataFrame, capacity: int = 4096, order: tuple[str, ...] = ("doc_
     if any(not 0 < size <= capacity for size in histogram):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     runs, _ = plan(histogram, capacity)
-    if len(runs) > MAX_RUNS:
-        raise ValueError("the plan is larger than MAX_RUNS; use a smaller capacity")
-    runs.sort()
-    size, rank, first, offset = (np.array([r[k] for r in runs], dtype=np.int64) for k in range(4))
-    stride = max(histogram.values(), default=0) + 1
-    shared = items.sparkSession.sparkContext.broadcast((size * stride + rank, rank, first, offset))
-
     salts = max(1, -(-max(histogram.values(), default=0) // SALT_ROWS))
     salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     base = salted.groupBy("length", "_salt").count().withColumn("_base", F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).drop("count")
     ranked = salted.join(F.broadcast(base) if len(histogram) * salts <= 100_000 else base, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
 
+    placed = _by_broadcast(ranked, runs, max(histogram.values(), default=0) + 1) if len(runs) <= MAX_RUNS else _by_join(ranked, runs)
+    return placed.select(*items.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+
+
+def _by_broadcast(ranked: DataFrame, runs: list[Run], stride: int) -> DataFrame:
+    """``ranked`` (length, _rank) with _at, where each lies."""
+    size, rank, first, offset = (np.array(x, dtype=np.int64) for x in zip(*(r[:4] for r in sorted(runs)))) if runs else [np.zeros(0, np.int64)] * 4
+    shared = ranked.sparkSession.sparkContext.broadcast((size * stride + rank, rank, first, offset))
+
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         keys, ranks, firsts, offsets = shared.value
         at = np.searchsorted(keys, length.to_numpy() * stride + rank.to_numpy(), side="right") - 1
         return pd.DataFrame({"sequence_id": firsts[at] + rank.to_numpy() - ranks[at], "offset": offsets[at]})
 
-    placed = ranked.withColumn("_at", place("length", "_rank"))
-    return placed.select(*items.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    return ranked.withColumn("_at", place("length", "_rank"))
+
+
+def _by_join(ranked: DataFrame, runs: list[Run]) -> DataFrame:
+    """As _by_broadcast, the runs being a table: cut at every RANKS ranks, they meet their pieces by length and block of ranks."""
+    table = ranked.sparkSession.createDataFrame(pd.DataFrame(runs, columns=["length", "_from", "_first", "_offset", "_n"]))
+    blocks = F.sequence(F.floor(F.col("_from") / RANKS), F.floor((F.col("_from") + F.col("_n") - 1) / RANKS))
+    table = table.withColumn("_block", F.explode(blocks))
+    met = ranked.withColumn("_block", F.floor(F.col("_rank") / RANKS)).join(table, ["length", "_block"])
+    met = met.where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_n")))
+    return met.withColumn("_at", F.struct((F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset")))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, text: str = "text") -> DataFrame:
