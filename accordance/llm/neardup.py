@@ -10,8 +10,9 @@ text's weight are looked at; a text that leaves a coordinate empty is looked at
 Texts that agree in all coordinates of a band meet. Each meets its bucket's smallest text, the leader;
 members of a leader's buckets are compared exactly, in blocks of bounded size. What a block doesn't
 connect to its leader is compared with all its other members, and if the leader has several blocks also
-with those of the others, a block of guests with a block at a time, so no link between texts that share a bucket is lost, and no text is compared
-with members of its own class. Classes are the components of the links.
+with those of the others, a block of guests with a block at a time. So every two texts that share a bucket
+and aren't of one class yet are compared; a pair whose signatures agree in so few coordinates that a link has
+a chance of 1e-11 isn't counted out. Classes are the components of the links.
 
 Equal texts are one text from the start (by MD5); null texts are empty ones. Texts of one to four words
 have one shingle, their words. Texts without words have none and equal only the same text. Null ids are
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordance.llm.storage import staged
+from accordance.llm.storage import discard, staged
 from accordance.llm.vectors import apart as fresh
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -36,8 +37,8 @@ BANDS, ROWS = 28, 5
 K = BANDS * ROWS
 #: Bytes of shingles to a block of a leader's members.
 BLOCK_BYTES = 8 << 20
-#: Five standard deviations below SIMILAR in the share of K coordinates that agree.
-_SKETCH_LEAST = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
+#: Eight standard deviations below SIMILAR in the share of K coordinates that agree: fewer agree with a chance of 1e-11.
+_SKETCH_LEAST = SIMILAR - 8 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -272,7 +273,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) for every node of ``edges`` (a, b), by large and small stars.
 
     Each round hangs the larger neighbours of every node on its smallest neighbour, then the smaller ones;
-    a few rounds make stars of all components. Rounds are written, so none is computed twice.
+    a few rounds make stars of all components. Rounds are written, so none is computed twice, and a round's
+    table goes when the next one is there.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, mark = staged(now, "edges"), None
@@ -282,7 +284,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = staged(small.distinct(), "edges")
+        before, now = now, staged(small.distinct(), "edges")
+        discard(before)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if was == mark:
             break

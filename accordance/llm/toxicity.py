@@ -17,6 +17,7 @@ empty sentence.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Container, Iterator
 from typing import NamedTuple
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from accordance.llm.storage import staged
 
-#: The labelled documents that a model is fitted on at most, and the longest of them in characters.
-MAX_TRAIN, MAX_TRAIN_CHARS = 6000, 100_000
+#: The labelled documents that a model is fitted on at most, and the different telling sentences of each.
+MAX_TRAIN, MAX_SENTENCES = 6000, 2000
 _SENTENCE = re.compile(r"[.!?;:\n\r  。！？]+")
 _EDGES = " \t,\"'()[]{}<>|*_~`«»“”‘’¡¿…-#$%&"
 
@@ -88,6 +89,11 @@ def _telling_sentences(text: str, known: _Known) -> list[tuple[str, ...]]:
     return sorted(found - {()})
 
 
+def _some(found: list[tuple[str, ...]], most: int) -> list[tuple[str, ...]]:
+    """At most so many of the sentences, by their hash."""
+    return found if len(found) <= most else sorted(found, key=lambda s: (zlib.crc32(" ".join(s).encode()), s))[:most]
+
+
 def _counts(odds: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which sentences enter the noisy-or of their document in training; ``starts``: the first one of each document."""
     worst = np.repeat(np.maximum.reduceat(odds, starts), np.diff(np.append(starts, len(odds))))
@@ -140,12 +146,12 @@ def _telling(rows: DataFrame, n: int, n1: int, chi2: float) -> list[str]:
     return sorted(r.feature for r in counts.where((gap > 0) & (n * gap * gap / spread >= chi2)).select("feature").collect())
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2: float = 25.0, text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2: float = 25.0, text: str = "text", max_sentences: int = MAX_SENTENCES) -> Model:
     """Fits a model to ``labels`` (doc_id, toxic) of rows that aren't held out.
 
-    At most ``max_train`` labelled documents are taken, by a hash of their ids, and of these the ones of at
-    most MAX_TRAIN_CHARS. Words are counted on the executors; the driver gets the telling ones and, of each
-    sentence, the numbers of those it has. Null labels and ids are left out, an id with several labels is toxic if one is.
+    At most ``max_train`` labelled documents are taken, by a hash of their ids, and of each at most
+    ``max_sentences`` different sentences with telling words, by a hash of these. Words are counted on the
+    executors, in whole texts; the driver gets the telling ones and, of each sentence, the numbers of those it has. Null labels and ids are left out, an id with several labels is toxic if one is.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -153,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = staged(rows.where(F.length("text") <= MAX_TRAIN_CHARS).repartition(16, "doc_id"), "training")
+    rows = staged(rows.repartition(16, "doc_id"), "training")
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if n1 in (0, n):
         return Model({}, -5.0)  # nothing to tell apart
@@ -163,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2:
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         column, known = shared.value, _Known(shared.value)
         for part in batches:
-            found = [[[column[f] for f in s] for s in _telling_sentences(t, known)] for t in part["text"]]
+            found = [[[column[f] for f in s] for s in _some(_telling_sentences(t, known), max_sentences)] for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "found": found})
 
     got = sorted(rows.mapInPandas(numbered, "doc_id long, toxic int, found array<array<int>>").collect())

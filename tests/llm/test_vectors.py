@@ -37,7 +37,7 @@ def test_repeated_rows_are_candidates_each(spark):
     assert _found(ann.nearest(table, F.col("vec_id") % 20 == 0, k=8, target=1.0).collect()) == want
     whole = _brute(np.floor(256 * x), ids, 20, 8)
     got = _found(topk.exact_top_k(table, F.col("vec_id") % 20 == 0, k=8).collect())
-    assert got == whole and any([i for i, _ in v].count(7) == 7 for v in got.values())
+    assert got == whole and any([i for i, _ in v].count(7) == 6 for v in got.values())
 
 
 def test_small_tables_give_all_candidates(spark):
