@@ -89,6 +89,11 @@ def no_apnoea(c: Column) -> Column:
     return F.coalesce(c.rlike(r"(?i)\b(0|ingen)\s+(apn[øo]|hypopn[øo])"), F.lit(False))
 
 
+def zero_if_none(value: Column, none: Column) -> Column:
+    """An empty respiration field as 0 where a text says that there are none."""
+    return F.coalesce(value, F.when(none, 0.0))
+
+
 def low_saturation_row(rows: Column) -> Column:
     """Of rows with a band, duration and percent, the one of the band 88-90 %."""
     return F.try_element_at(F.filter(rows, lambda r: F.replace(F.replace(r["band"], F.lit(" "), F.lit("")), F.lit("–"), F.lit("-")).rlike(r"^88-90%?$")), F.lit(1))

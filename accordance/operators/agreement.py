@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordance.functions.fields import field_type, is_skipped
-from accordance.functions.values import token_f1, tolerance_match
+from accordance.functions.values import lenient_number, token_f1, tolerance_match
+from accordance.operators.match import complete_trials
 from accordance.operators.stats import mean_of_rounded
 
 #: Complete units from which on alpha counts as reliable.
@@ -57,10 +58,11 @@ def alpha_interval(ratings: DataFrame, unit: str, value: str, by: tuple[str, ...
     return sums.select(*by, "n_values", _alpha(F.col("observed"), 2 * (n * F.col("square") - F.col("first") ** 2), n).alias("alpha"))
 
 
-def unit_counts(ratings: DataFrame, unit: str, value: str, n_raters: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, n_complete, n_empty and n_partial units, and reliable. A rater that a unit has no row of gave no value."""
-    n_raters = F.lit(n_raters) if isinstance(n_raters, int) else n_raters
-    units = ratings.groupBy(*by, unit).agg(F.count(value).alias("m"))
+def unit_counts(ratings: DataFrame, unit: str, value: str, n_raters: int | Column | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, n_complete, n_empty and n_partial units, and reliable. A rater that a unit has no row of gave no value; with None
+    for ``n_raters`` every unit has a row of each."""
+    n_raters = F.lit(n_raters) if isinstance(n_raters, int) else F.col("_rows") if n_raters is None else n_raters
+    units = ratings.groupBy(*by, unit).agg(F.count(value).alias("m"), F.count("*").alias("_rows"))
     full, none = F.col("m") >= n_raters, F.col("m") == 0
     counts = units.groupBy(*by).agg(F.count_if(full).alias("n_complete"), F.count_if(none).alias("n_empty"), F.count_if(~full & ~none).alias("n_partial"))
     return counts.withColumn("reliable", F.col("n_complete") >= MIN_UNITS)
@@ -77,15 +79,17 @@ def coverage(ratings: DataFrame, unit: str, rater: str, value: str, by: tuple[st
 def rater_pairs(ratings: DataFrame, unit: str, rater: str, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Every two raters of a unit (a_ and b_ columns, the smaller rater first).
 
-    A unit meets its raters only, a few; the pairs are made inside an array, so a unit's rows are read once.
+    A join of the ratings with themselves by unit, so that no unit's pairs are held in one row.
     """
-    entry = F.struct(rater, *columns)
-    units = ratings.groupBy(*by, unit).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    pair = F.flatten(
-        F.transform("_all", lambda a, i: F.transform(F.filter("_all", lambda b: b[rater] > a[rater]), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    )
-    pairs = units.select(*by, unit, F.explode(pair).alias("_p"))
-    return pairs.select(*by, unit, *(F.col(f"_p.{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in (rater, *columns)))
+    keys = [*by, unit]
+    sides = [ratings.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in (rater, *columns))) for s in "ab"]
+    return sides[0].join(sides[1], keys).where(F.col(f"a_{rater}") < F.col(f"b_{rater}"))
+
+
+def rating_number(kind: Column, num: Column, txt: Column) -> Column:
+    """A rater's value of a numeric field: booleans are 1 and 0, texts what is left of them without all but digits, points and
+    minus signs (a decimal comma is a point); null where that is no number."""
+    return F.when(kind == "bool", (F.lower(txt) == "true").cast("double")).when(kind == "num", num).when(kind == "str", lenient_number(F.replace(txt, F.lit(","), F.lit("."))))
 
 
 def typed(ann: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -102,49 +106,67 @@ def densified(ann: DataFrame, raters: DataFrame, rater: str, by: tuple[str, ...]
     return out.withColumn("kind", F.coalesce("kind", F.lit("null")))
 
 
+def _value(kind: str = "kind", num: str = "num", txt: str = "txt", numeric: Column | None = None) -> tuple[Column, Column]:
+    """Of a rating: its number, where the field is numeric, and its text, where it isn't; null for a missing or unreadable one."""
+    numeric = F.col("field_type") == "numeric" if numeric is None else numeric
+    number = F.when(numeric, rating_number(F.col(kind), F.col(num), F.col(txt)))
+    return number, F.when(~numeric & (F.col(kind) != "null"), F.lower(F.trim(F.col(txt))))
+
+
 def pairwise_fields(ann: DataFrame, rater: str, by: tuple[str, ...] = (), tolerance: float = 0.05) -> DataFrame:
-    """For each field, over all pairs of raters that don't both miss it: n_pairs, n_exact, n_tolerance and mean_f1.
+    """For each field, over all pairs of raters that don't both miss it: n_pairs, n_exact, n_tolerance, f1_sum and mean_f1.
 
-    ``ann`` is densified. A value against none is a mismatch. exact_match: if all pairs match; null without pairs.
+    ``ann`` is densified. Numeric fields are compared by rating_number; a value that isn't readable is missing. A value
+    against none is a mismatch. exact_match and tolerance_match: if all pairs match; null without pairs.
     """
-    pairs = rater_pairs(ann, "path", rater, ["kind", "num", "txt"], (*by, "field_type"))
-    none_a, none_b = F.col("a_kind") == "null", F.col("b_kind") == "null"
-    pairs = pairs.where(~(none_a & none_b))
-    kind = F.col("field_type")
-    image = lambda s: F.lower(F.trim(F.col(f"{s}_txt")))
-    exact = F.when(none_a | none_b, False).when(kind == "numeric", F.coalesce(F.col("a_num") == F.col("b_num"), image("a") == image("b"))).otherwise(image("a") == image("b"))
-    near = F.when(kind == "numeric", F.coalesce(tolerance_match(F.col("a_num"), F.col("b_num"), tolerance), exact & ~(none_a | none_b), F.lit(False)))
-    f1 = F.when(kind == "free_text", token_f1(F.col("a_txt"), F.col("b_txt"))["f1"])
+    number, image = _value()
+    rows = ann.select(*by, "path", "field_type", rater, number.alias("v"), image.alias("t"), F.when(F.col("kind") != "null", F.col("txt")).alias("txt"))
+    pairs = rater_pairs(rows, "path", rater, ["v", "t", "txt"], (*by, "field_type"))
+    numeric, free = F.col("field_type") == "numeric", F.col("field_type") == "free_text"
+    both_missing = F.when(numeric, F.col("a_v").isNull() & F.col("b_v").isNull()).otherwise(F.col("a_t").isNull() & F.col("b_t").isNull())
+    pairs = pairs.where(~both_missing)
+    exact = F.coalesce(F.when(numeric, F.col("a_v") == F.col("b_v")).otherwise(F.col("a_t") == F.col("b_t")), F.lit(False))
+    near = F.when(numeric, F.coalesce(tolerance_match(F.col("a_v"), F.col("b_v"), tolerance), F.lit(False)))
+    f1 = F.when(free, token_f1(F.col("a_txt"), F.col("b_txt"))["f1"])
     fields = pairs.select(*by, "path", "field_type", exact.alias("exact"), near.alias("near"), f1.alias("f1")).groupBy(*by, "path", "field_type")
     return fields.agg(
         F.count("*").alias("n_pairs"),
         F.count_if("exact").alias("n_exact"),
         F.count_if("near").alias("n_tolerance"),
         F.every("exact").alias("exact_match"),
+        F.every("near").alias("tolerance_match"),
+        F.sum("f1").alias("f1_sum"),
         F.round(F.avg("f1"), 3).alias("mean_f1"),
     )
 
 
 def pairwise_summary(fields: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, field_type, n_pairs and the percentages of exact and tolerance matches to one decimal."""
+    """by, field_type, n_pairs, the percentages of exact and tolerance matches to one decimal, and the mean F1 of all pairs."""
     percent = lambda c: F.round(F.try_divide(100 * F.sum(c), F.sum("n_pairs")), 1)
     return fields.groupBy(*by, "field_type").agg(
         F.sum("n_pairs").alias("n_pairs"),
         percent("n_exact").alias("exact_percent"),
         F.when(F.col("field_type") == "numeric", percent("n_tolerance")).alias("tolerance_percent"),
-        mean_of_rounded(F.when(F.col("field_type") == "free_text", F.col("mean_f1"))).alias("mean_f1"),
+        F.when(F.col("field_type") == "free_text", F.round(F.try_divide(F.sum("f1_sum"), F.sum("n_pairs")), 3)).alias("mean_f1"),
     )
 
 
-def alpha_report(ann: DataFrame, n_raters: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+def values_by_rater(ann: DataFrame, rater: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, path, field_type and values, a map from each rater to its text (null if missing). A rater that comes twice counts with its largest text."""
+    once = ann.groupBy(*by, "path", "field_type", rater).agg(F.max(F.when(F.col("kind") != "null", F.col("txt"))).alias("txt"))
+    return once.groupBy(*by, "path", "field_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(rater, "txt")))).alias("values"))
+
+
+def alpha_report(ann: DataFrame, n_raters: int | Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """by, level (nominal or interval), alpha to three decimals, unit counts and reliable, of densified ratings.
 
-    Nominal: fields of that type by their text. Interval: all numeric fields pooled, on their own scales;
-    booleans and texts among them are missing there.
+    Nominal: fields of that type by their text. Interval: all numeric fields pooled, on their own scales, by rating_number.
+    ``n_raters``: of a set; None: as many as a unit has rows, which densified ratings have of every rater.
     """
     out = None
-    for level, kind, value in (("nominal", "nominal", F.lower("txt")), ("interval", "numeric", F.col("num"))):
-        rows = ann.where(F.col("field_type") == kind).withColumn("_v", F.when(F.col("kind") != "null", value)).withColumn("_set", F.lit(level))
+    for level, kind in (("nominal", "nominal"), ("interval", "numeric")):
+        value = _value(numeric=F.lit(level == "interval"))[level == "nominal"]
+        rows = ann.where(F.col("field_type") == kind).withColumn("_v", value).withColumn("_set", F.lit(level))
         keys = ("_set", *by)
         alpha = (alpha_nominal if level == "nominal" else alpha_interval)(rows, "path", "_v", keys)
         counts = unit_counts(rows, "path", "_v", n_raters, keys)
@@ -153,6 +175,11 @@ def alpha_report(ann: DataFrame, n_raters: int | Column, by: tuple[str, ...] = (
     return out
 
 
+def alpha_text(alpha: Column, reliable: Column) -> Column:
+    """Alpha with three decimals, and a warning sign if it isn't reliable."""
+    return F.when(alpha.isNull(), "N/A").otherwise(F.concat(F.format_string("%.3f", alpha), F.when(reliable, "").otherwise(" ⚠")))
+
+
 def file_pairs(ann: DataFrame, rater: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``ann`` once for each pair of a set's raters that its row belongs to, with scope (``a vs b``).
 
@@ -161,3 +188,36 @@ def file_pairs(ann: DataFrame, rater: str, by: tuple[str, ...] = ()) -> DataFram
     raters = ann.select(*by, rater).distinct().withColumn("_set", F.lit(1))
     pairs = rater_pairs(raters, "_set", rater, [], by).select(*by, F.concat_ws(" vs ", f"a_{rater}", f"b_{rater}").alias("scope"), F.explode(F.array(f"a_{rater}", f"b_{rater}")).alias(rater))
     return ann.join(pairs, [*by, rater])
+
+
+def report(ann: DataFrame, rater: str, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The agreement of all raters of a set, and of each two of them: tables by ``by`` and scope (``all`` or ``a vs b``).
+
+    ``ann``: by, rater, path, kind, num, txt. coverage, alpha, fields, values and summary; field types and paths are those
+    of the whole set throughout.
+    """
+    of_set = typed(ann, by)
+    dense = densified(of_set, of_set, rater, by)
+    rows = dense.withColumn("scope", F.lit("all")).unionByName(file_pairs(dense, rater, by))
+    keys = (*by, "scope")
+    value = F.when(F.col("kind") != "null", F.coalesce("txt", F.col("num").cast("string")))
+    fields = pairwise_fields(rows, rater, keys)
+    return {
+        "coverage": coverage(rows.withColumn("_v", value), "path", rater, "_v", keys),
+        "alpha": alpha_report(rows, None, keys),
+        "fields": fields,
+        "values": values_by_rater(rows, rater, keys),
+        "summary": pairwise_summary(fields, keys),
+    }
+
+
+def trial_report(ann: DataFrame, n_folders: int = 3, trial: str = "trial", folder: str = "folder") -> dict[str, DataFrame]:
+    """report of every trial that all folders have, the folders being the raters; and means, each level's alpha and
+    each type's percentages over the trials, by scope, of the rounded values (nulls left out, to three decimals)."""
+    both = complete_trials(ann, n_folders, trial, folder)
+    tables = report(both, folder, (trial,))
+    alpha = tables["alpha"].select("scope", F.concat(F.lit("alpha_"), "level").alias("metric"), F.col("alpha").alias("value"))
+    shares = tables["summary"].select("scope", "field_type", F.explode(F.create_map(*(x for c in ("exact_percent", "tolerance_percent", "mean_f1") for x in (F.lit(c), F.col(c))))).alias("name", "value"))
+    metrics = alpha.unionByName(shares.select("scope", F.concat_ws("_", "field_type", "name").alias("metric"), "value"))
+    means = metrics.where("value is not null").groupBy("scope", "metric").agg(mean_of_rounded("value").alias("mean"), F.count("*").alias("n_trials"))
+    return tables | {"means": means}

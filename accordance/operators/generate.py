@@ -25,19 +25,37 @@ def prompt(text: Column, system: str, user: str, suffix: str = "") -> Column:
     return F.concat(F.lit(f"{system}\n\n{before}"), F.coalesce(text, F.lit("")), F.lit(after + suffix))
 
 
+def within_tokens(prompts: DataFrame, make: Callable[[], object], most: int) -> DataFrame:
+    """``prompts`` with prompt cut to its first ``most`` tokens and n_tokens, how many it had.
+
+    ``make`` builds a tokenizer with encode(text) -> ids and decode(ids) -> text, once a task.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = make()
+        for rows in batches:
+            ids = [tokenizer.encode(t or "") for t in rows["prompt"]]
+            texts = [t if len(x) <= most else tokenizer.decode(x[:most]) for t, x in zip(rows["prompt"], ids)]
+            yield rows.assign(prompt=texts, n_tokens=[len(x) for x in ids])
+
+    columns = [c for c in prompts.columns if c != "n_tokens"]
+    schema = prompts.select(*columns).schema.add("n_tokens", "long")
+    return prompts.select(*columns).mapInPandas(cut, schema)
+
+
 def generate(prompts: DataFrame, make: Callable[[], Generator], key: str = "doc_id", attempts: int = 3, batch: int = 8) -> DataFrame:
     """key, response, tokens, seconds, attempts and error of every prompt.
 
-    ``make`` builds the model once a worker process task. A batch that raises is tried again one by one, each
-    up to ``attempts`` times; what still fails is a row with the error, not a failed job.
+    ``make`` builds the model once a worker process task. A batch that raises, or has another number of responses than
+    prompts, is tried again one by one, each up to ``attempts`` times in all; what still fails is a row with the error, not a failed job.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
 
-        def one(text: str):
-            begun, error = time.monotonic(), None
-            for attempt in range(1, attempts + 1):
+        def one(text: str, error: str):
+            begun = time.monotonic()
+            for attempt in range(2, attempts + 1):  # the batch was the first
                 try:
                     response, tokens = model([text])[0]
                     return response, tokens, time.monotonic() - begun, attempt, None
@@ -51,10 +69,12 @@ def generate(prompts: DataFrame, make: Callable[[], Generator], key: str = "doc_
                 texts, begun = rows["prompt"].iloc[at : at + batch].tolist(), time.monotonic()
                 try:
                     made = model(texts)
+                    if len(made) != len(texts):
+                        raise ValueError(f"{len(made)} responses to {len(texts)} prompts")
                     each = (time.monotonic() - begun) / len(texts)
                     found += [(r, n, each, 1, None) for r, n in made]
-                except Exception:
-                    found += [one(t) for t in texts]
+                except Exception as e:
+                    found += [one(t, f"{type(e).__name__}: {e}"[:2000]) for t in texts]
             made = pd.DataFrame(found, columns=["response", "tokens", "seconds", "attempts", "error"])
             yield pd.concat([rows[[key]].reset_index(drop=True), made], axis=1)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +23,69 @@ STAGE_MINUTES = r"^soevnstadier\.[^.]+\.(latens_min|varighed_min)$"
 YES_NO_PATHS = ("sammenfatning.anfald", "sammenfatning.fokal", "sammenfatning.paroksystisk_aktivitet")
 
 
-def parse(records: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
+def parse(records: DataFrame, raw: str = "raw", fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records whose text is a JSON object, with it as the column v; and the others, with a reason, for a dead letter table.
 
-    Texts with a repeated key or NaN are no JSON here. Null texts are dead letters too.
+    Texts with a repeated key or NaN are no JSON here. Null texts are dead letters too. ``fail_fast``: the first text that
+    is no JSON ends the job.
     """
-    parsed = records.withColumn("v", F.try_parse_json(F.col(raw)))
+    parsed = records.withColumn("v", F.parse_json(F.col(raw)) if fail_fast else F.try_parse_json(F.col(raw)))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     reason = F.when(F.col(raw).isNull(), "no text").when(F.col("v").isNull(), "no JSON").otherwise("no object")
     return parsed.where(is_object).drop(raw), parsed.where(~is_object).withColumn("reason", reason).drop("v")
 
 
+def with_context(dead: DataFrame, raw: str = "raw", lines: int = 2) -> DataFrame:
+    """``dead`` with error, line, column and context: what is wrong with each text, where, and so many lines before and after. Null if nothing is."""
+
+    @F.pandas_udf("error string, line int, column int, context string")
+    def explain(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for text in texts:
+            try:
+                json.loads(text or "")
+                found.append((None, None, None, None))
+            except json.JSONDecodeError as e:
+                all_lines = (text or "").split("\n")
+                first = max(0, e.lineno - 1 - lines)
+                context = "\n".join(f"{k:5d}: {t}" for k, t in enumerate(all_lines[first : e.lineno + lines], first + 1))
+                found.append((e.msg, e.lineno, e.colno, context))
+        return pd.DataFrame(found, columns=["error", "line", "column", "context"]).astype({"line": "Int32", "column": "Int32"})
+
+    return dead.withColumn("_e", explain(F.col(raw))).select(*dead.columns, "_e.*")
+
+
+def nested(leaves: DataFrame, keys: list[str], raw: str = "raw", jtype: str = "jtype", depth: int = 4) -> DataFrame:
+    """keys and raw, the JSON text of each record, from its leaves (path, raw, jtype), as flatten gives them; keys of an object in order.
+
+    ``depth``: levels of names that a path has at most; what is deeper keeps its points. Objects without leaves aren't made.
+    """
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, F.length(F.to_json(F.array(c))) - 2)
+    plain = F.col(jtype).rlike("^(ARRAY|OBJECT|BOOLEAN|BIGINT|DECIMAL|DOUBLE|FLOAT|INT)")
+    value = F.when(F.col(raw).isNull() | (F.col(jtype) == "VOID"), "null").when(plain, F.col(raw)).otherwise(quoted(F.col(raw)))
+    rows = leaves.select(*keys, F.struct(F.split("path", r"\.", depth).alias("names"), value.alias("value")).alias("leaf"))
+
+    def entries(found: Column, level: int) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["names"][level])))
+        return F.concat(F.lit("{"), F.array_join(F.transform(names, lambda name: member(found, name, level)), ","), F.lit("}"))
+
+    def member(found: Column, name: Column, level: int) -> Column:
+        own = F.filter(found, lambda x: x["names"][level] == name)
+        leaf = F.filter(own, lambda x: F.size(x["names"]) == level + 1)
+        inner = entries(own, level + 1) if level + 1 < depth else F.lit("null")
+        return F.concat(quoted(name), F.lit(":"), F.when(F.size(leaf) > 0, leaf[0]["value"]).otherwise(inner))
+
+    return rows.groupBy(*keys).agg(F.collect_list("leaf").alias("_all")).select(*keys, entries(F.col("_all"), 0).alias("raw"))
+
+
+def repaired_records(records: DataFrame, keys: list[str], raw: str = "raw", depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The repaired records as JSON (keys, raw), the log of changes, and the records that can't be read."""
+    good, bad = parse(records, raw)
+    repaired = repair(flatten(good, keys, depth))
+    made = nested(repaired.select(*keys, "path", F.col("new_raw").alias("raw"), F.col("new_jtype").alias("jtype")), keys, depth=depth + 1)
+    return made, change_log(repaired, keys), bad
+
+
 def flatten(parsed: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
     """keys, path (dotted), raw (the leaf's text) and jtype of every leaf of the objects in v.
 

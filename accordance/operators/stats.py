@@ -72,8 +72,8 @@ def rollup_stats(compared: DataFrame) -> DataFrame:
 
 
 def by_disagreement(fields: DataFrame, n: int | None = None) -> DataFrame:
-    """Fields with most disagreements first, of these the ones with the lowest rate, then by path."""
-    out = fields.where("n_compared > 0").orderBy(F.desc("n_disagree"), F.coalesce("agreement_rate", F.lit(1.0)), "path")
+    """Fields with any disagreement, the most first, of these the ones with the lowest rate, then by path."""
+    out = fields.where("n_disagree > 0").orderBy(F.desc("n_disagree"), F.coalesce("agreement_rate", F.lit(1.0)), "path")
     return out if n is None else out.limit(n)
 
 
@@ -137,6 +137,13 @@ def radar(fields: DataFrame) -> DataFrame:
     return fields.groupBy("model", "topic").agg(mean_of_rounded("mean_score").alias("mean_score"))
 
 
+def radar_table(fields: DataFrame, models: list[str]) -> DataFrame:
+    """A row for each topic and a column for each of ``models``, 0 where one has no score; no rows for fewer than three topics."""
+    table = radar(fields).groupBy("topic").pivot("model", models).agg(F.first("mean_score")).na.fill(0.0)
+    n = table.agg(F.count("*").alias("_n"))
+    return table.crossJoin(F.broadcast(n)).where("_n >= 3").drop("_n")  # one row
+
+
 def cross_model(fields: DataFrame) -> DataFrame:
     """For each path that at least two models have a score of: mean, spread, best and worst model, and all scores.
 

@@ -36,6 +36,12 @@ def status_shares(topics: DataFrame) -> DataFrame:
     return topics.select("topic", "n_agree", F.greatest(F.lit(0), F.col("n_disagree") - F.col("n_left_missing")).alias("n_differ"), F.col("n_left_missing").alias("n_missing"))
 
 
+def status_total(topics: DataFrame) -> DataFrame:
+    """n_agree, n_differ and n_missing over all topics; n_differ is at least 0 as a whole, not topic by topic."""
+    sums = topics.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_agree", "n_disagree", "n_left_missing")))
+    return sums.select("n_agree", F.greatest(F.lit(0), F.col("n_disagree") - F.col("n_left_missing")).alias("n_differ"), F.col("n_left_missing").alias("n_missing"))
+
+
 def deviations(fields: DataFrame, n: int = 20) -> DataFrame:
     """Numeric fields with the largest mean deviation, and how many of their pairs are within the tolerance."""
     return fields.where("mean_deviation is not null").orderBy(F.desc("mean_deviation"), "path").limit(n).select("path", "mean_deviation", "tolerance_rate")

@@ -385,7 +385,7 @@ def rollup_stats(spark, sf):
     return stats.rollup_stats(_compared(spark, sf))
 
 
-@_query(f"{_FIELD_STATS} select path, n_disagree, round(n_agree / n_compared, 3)::double as agreement_rate from fields where n_compared > 0 order by n_disagree desc, n_agree / n_compared, path limit 3")
+@_query(f"{_FIELD_STATS} select path, n_disagree, round(n_agree / n_compared, 3)::double as agreement_rate from fields where n_disagree > 0 order by n_disagree desc, n_agree / n_compared, path limit 3")
 def top_disagreements(spark, sf):
     return stats.by_disagreement(stats.field_stats(_compared(spark, sf)), 3).select("path", "n_disagree", "agreement_rate")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +47,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listed(found: DataFrame, paths: DataFrame) -> DataFrame:
-    """The files of ``found`` that a path list names; named files that don't exist are silently left out."""
-    name = F.regexp_replace("file_path", "^file:/+", "/")
-    return found.join(paths.select(F.col("path").alias("_p")).distinct(), name == F.col("_p"), "left_semi")
+    """The files of ``found`` that a path list names, with or without their store; named files that don't exist are silently left out.
+
+    ``file:///a``, ``hdfs://host:8020/a`` and ``/a`` are one path, if the list names no store; percent codes are read.
+    """
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), "^/+", "/")
+    whole = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    path = F.try_url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    named = paths.select(F.col("path").alias("_p")).distinct().select(F.when(F.col("_p").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), whole(F.col("_p"))).otherwise(bare(F.col("_p"))).alias("_p"))
+    keyed = found.withColumn("_names", F.array(whole(path), bare(path)))
+    met = keyed.select("file_path", F.explode("_names").alias("_p")).join(named, "_p", "left_semi").select("file_path").distinct()
+    return keyed.drop("_names").join(met, "file_path", "left_semi").select(*found.columns)
 
 
 def wrapped(name: Column, body: Column) -> Column:
@@ -53,15 +65,39 @@ def wrapped(name: Column, body: Column) -> Column:
     return F.concat(F.lit("=== PSG RAPPORT ===\nFilnavn: "), name, F.lit("\n\n"), body, F.lit("\n\n=== SLUT ==="))
 
 
-def write_texts(df: DataFrame, folder: str, name: str = "file_name", text: str = "text") -> None:
-    """One text file for each name, in a folder of that name; a name that comes twice keeps one of its largest texts."""
-    one = df.groupBy(name).agg(F.max(text).alias("value"))
-    one.write.mode("overwrite").option("lineSep", "\n").partitionBy(name).text(folder)
+def _write_each(df: DataFrame, folder: str) -> int:
+    """Writes value to a file called name for each row, each at once and whole; returns how many."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        for rows in batches:
+            for name, value in zip(rows["name"], rows["value"]):
+                own = f"{at}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write((value or "").encode())
+                store.move(own, f"{at}/{name}")
+            yield pd.DataFrame({"n": [len(rows)]})
+
+    return df.select("name", "value").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_texts(df: DataFrame, folder: str, name: str = "file_name", text: str = "text", order: str | None = None, suffix: str = ".txt") -> int:
+    """A UTF-8 file stem.txt in ``folder`` for each different stem of the names; returns how many.
+
+    Of rows with one stem the last in ``order`` stays, the largest text without it, as if written one after another. Tasks
+    write, to any store that Arrow knows; a file appears whole or not at all. Null names are left out, null texts are empty.
+    """
+    stem = F.concat(F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", ""), F.lit(suffix))
+    last = F.max_by(text, order) if order else F.max(text)
+    return _write_each(df.where(F.col(name).isNotNull()).groupBy(stem.alias("name")).agg(last.alias("value")), folder)
 
 
-def write_json(df: DataFrame, folder: str, name: str = "file_name", raw: str = "raw") -> None:
-    """The JSON texts, one for each name; never over their own input."""
-    write_texts(df.select(name, F.col(raw).alias("value")), folder, name, "value")
+def write_json(df: DataFrame, folder: str, name: str = "file_name", raw: str = "raw", order: str | None = None) -> int:
+    """As write_texts, the JSON texts as stem.json; never over their own input."""
+    return write_texts(df, folder, name, raw, order, ".json")
 
 
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:

@@ -1,6 +1,7 @@
 """Operators over small tables with known results."""
 
 import io
+import json
 import zipfile
 
 import pytest
@@ -167,15 +168,111 @@ def test_docx(spark, tmp_path):
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
     cell = lambda t, merge="": f"<w:tc><w:tcPr>{merge}</w:tcPr>{p(t)}</w:tc>"
     table = f"<w:tbl><w:tr>{cell('')}{cell('A')}{cell('')}{cell('B')}</w:tr><w:tr>{cell('x', '<w:vMerge/>')}{cell('C')}</w:tr><w:tr>{cell('')}</w:tr></w:tbl>"
-    box = f"<w:p><w:r><w:txbxContent>{p('boxed')}</w:txbxContent></w:r></w:p>"
+    wps, wpc = ("http://schemas.microsoft.com/office/word/2010/wordprocessing" + kind for kind in ("Shape", "Canvas"))
+    box = f'<w:p><w:r><w:t>own</w:t><x:txbx xmlns:x="{wps}"><w:txbxContent>{p("boxed")}</w:txbxContent></x:txbx><x:txbx xmlns:x="{wpc}">{p("canvas")}</x:txbx></w:r></w:p>'
+    inner = f"<w:tbl><w:tr>{cell('in1')}{cell('in2')}</w:tr></w:tbl>"
+    outer = f"<w:tbl><w:tr><w:tc>{p('o')}{inner}</w:tc>{cell('x')}{cell('y', '<w:hMerge w:val=&quot;continue&quot;/>'.replace('&quot;', chr(34)))}</w:tr></w:tbl>"
+    link = "<w:p><w:hyperlink><w:r><w:t>li</w:t></w:r></w:hyperlink><w:r><w:noBreakHyphen/><w:t>nk</w:t></w:r></w:p>"
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{p("first")}{table}{p("first")}{box}</w:body></w:document>')
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{p("first")}{table}{p("first")}{box}{outer}{link}</w:body></w:document>')
+        z.writestr("word/header1.xml", f'<w:hdr xmlns:w="{w}">{p("head")}</w:hdr>')
     (tmp_path / "r.docx").write_bytes(data.getvalue())
     (tmp_path / "broken.docx").write_bytes(b"no zip")
     found = {r.file_name: r for r in docx.read_docx(files.documents(spark, str(tmp_path))).collect()}
-    assert found["r.docx"].text == "=== PSG RAPPORT ===\nFilnavn: r.docx\n\nfirst\nA | — | B\nC\nboxed\n\n=== SLUT ==="
+    assert found["r.docx"].text == "=== PSG RAPPORT ===\nFilnavn: r.docx\n\nfirst\nA | — | B\nC\nown\no | x\nli-nk\n[TEKSTBOKSE]\nboxed\ncanvas\n\n=== SLUT ==="
     assert found["broken.docx"].text is None and found["broken.docx"].error.startswith("BadZipFile")
+    fast = {r.file_name: r.text for r in docx.read_docx(files.documents(spark, str(tmp_path)), fast=True).collect()}
+    assert fast["r.docx"] == "=== PSG RAPPORT ===\nFilnavn: r.docx\n\nheadfirstABxCfirstownboxedcanvasoin1in2xylink\n\n=== SLUT ==="
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a.docx", "old", 1), ("a.doc", "new", 2), ("b.c.txt", None, 1), (None, "x", 1)], "file_name string, text string, at int")
+    assert files.write_texts(rows, str(tmp_path / "t"), order="at") == 2
+    assert {f.name: f.read_text() for f in (tmp_path / "t").iterdir()} == {"a.txt": "new", "b.c.txt": ""}
+    assert files.write_json(rows.where("file_name = 'a.doc'"), str(tmp_path / "j"), raw="text") == 1 and (tmp_path / "j" / "a.json").read_text() == "new"
+    table = spark.createDataFrame([(1, None)], "k int, v string")
+    files.write_report({"fields": table}, str(tmp_path / "r"))
+    assert files.read_report(spark, str(tmp_path / "r"), "fields").collect() == table.collect()
+    for _ in range(2):
+        files.log_errors(table, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    names = spark.createDataFrame([("hdfs://host:8020/a/b%20c.txt",), ("file:/x.txt",)], "file_path string")
+    for path, n in (("/a/b c.txt", 1), ("hdfs://host:8020/a/b c.txt", 1), ("hdfs://other/a/b c.txt", 0), ("file:///x.txt", 1), ("/x.txt", 1)):
+        assert files.listed(names, spark.createDataFrame([(path,), (path,)], "path string")).count() == n, path
+    for k in (1, 2):
+        folder = tmp_path / f"f{k}"
+        folder.mkdir()
+        (folder / "output-trial7.json").write_text("{}")
+        (folder / "other.json").write_text("{}")
+    assert sorted((r.source, r.trial) for r in files.trial_records(spark, [str(tmp_path / "f1"), str(tmp_path / "f2")]).collect()) == [("0", 7), ("1", 7)]
+
+
+def test_nested_records(spark):
+    raw = '{"patient": {"navn": "A \\"b\\"", "BMI": 5, "x": [1, {"y": 2}]}, "oget_muskelaktivitet_rem": {"chin": "Ja"}, "n": null, "deep": {"a": {"b": {"c": 1}}}}'
+    rows = spark.createDataFrame([(1, raw), (2, "{"), (3, '{"patient": {\n"navn": }}')], "id int, raw string")
+    made, log, bad = records.repaired_records(rows, ["id"])
+    want = json.loads(raw)
+    want["oget_muskelaktivitet_rem"]["chin"] = True
+    assert [(r.id, json.loads(r.raw)) for r in made.collect()] == [(1, want)]
+    assert [tuple(r) for r in log.collect()] == [(1, "oget_muskelaktivitet_rem.chin", "Ja", "true")]
+    dead = {r.id: r for r in records.with_context(rows).collect()}
+    assert dead[1].error is None and dead[3].line == 2 and "    2: \"navn\": }}" in dead[3].context and dead[2].line == 1
+    with pytest.raises(Exception):
+        records.parse(rows, fail_fast=True)[0].collect()
+
+
+def test_reports_of_raters(spark):
+    values = {"A": ("10", True, "ja", "a b"), "B": ("ca 10,5", True, "Ja ", "a c"), "C": (None, False, "nej", "a b")}
+    rows = []
+    for trial in (1, 2):
+        for rater, (n, flag, word, text) in values.items():
+            if trial == 2 and rater == "C":
+                continue
+            rows += [(trial, rater, "s.n", "null" if n is None else "num" if n == "10" else "str", 10.0 if n == "10" else None, n), (trial, rater, "s.flag", "bool", None, str(flag).lower()), (trial, rater, "hjerte.x", "str", None, word), (trial, rater, "konklusion_og_plan.plan", "str", None, text)]
+    ann = spark.createDataFrame(rows, "trial int, folder string, path string, kind string, num double, txt string")
+    tables = agreement.trial_report(ann, 3)
+    fields = {(r.scope, r.path): r for r in tables["fields"].collect()}
+    assert {s for s, _ in fields} == {"all", "A vs B", "A vs C", "B vs C"} and {r.trial for r in tables["fields"].collect()} == {1}
+    assert (fields["A vs B", "s.n"].n_exact, fields["A vs B", "s.n"].n_tolerance, fields["A vs C", "s.n"].tolerance_match) == (0, 1, False)
+    assert fields["all", "s.flag"].field_type == "numeric" and fields["all", "s.flag"].n_exact == 1
+    assert fields["all", "hjerte.x"].n_exact == 1 and fields["all", "konklusion_og_plan.plan"].mean_f1 == pytest.approx(0.667)
+    assert {(r.scope, r.folder, r.n_filled, r.n_units) for r in tables["coverage"].where("scope = 'all'").collect()} == {("all", "A", 4, 4), ("all", "B", 4, 4), ("all", "C", 3, 4)}
+    assert next(r.values for r in tables["values"].where("scope = 'B vs C' and path = 's.n'").select(F.col("values").alias("values")).collect()) == {"B": "ca 10,5", "C": None}
+    alphas = {(r.scope, r.level): r for r in tables["alpha"].collect()}
+    assert alphas["all", "nominal"].n_complete == 1 and not alphas["all", "interval"].reliable
+    means = {(r.scope, r.metric): r["mean"] for r in tables["means"].collect()}
+    assert means["all", "free_text_mean_f1"] == pytest.approx(0.667) and ("A vs B", "numeric_exact_percent") in means
+    texts = spark.createDataFrame([(0.5, True), (0.25, False), (None, True)], "a double, r boolean").select(agreement.alpha_text(F.col("a"), F.col("r"))).collect()
+    assert [t[0] for t in texts] == ["0.500", "0.250 ⚠", "N/A"]
+
+
+def test_means_of_rounded_values(spark):
+    rows = spark.createDataFrame([(k, v) for k, vs in enumerate(([0.432, 0.433], [0.4325 - 0.0005, 0.433, 0.432, 0.433], [1.0], [None], [-0.001, -0.002])) for v in vs], "k int, v double")
+    assert [r.m for r in rows.groupBy("k").agg(stats.mean_of_rounded("v").alias("m")).orderBy("k").collect()] == [0.433, 0.433, 1.0, None, -0.001]
+
+
+def test_prompts_within_tokens(spark):
+    def make():
+        class Words:
+            encode = staticmethod(lambda text: text.split())
+            decode = staticmethod(" ".join)
+
+        return Words
+
+    rows = spark.createDataFrame([(1, "a b c d"), (2, "a"), (3, None)], "doc_id int, prompt string")
+    assert [tuple(r) for r in generate.within_tokens(rows, make, 3).orderBy("doc_id").collect()] == [(1, "a b c", 4), (2, "a", 1), (3, None, 0)]
+    few = lambda: lambda prompts: [("{}", 1)] * max(1, len(prompts) - 1)
+    made = generate.generate(spark.createDataFrame([(k, "x") for k in range(5)], "doc_id int, prompt string").coalesce(1), few)
+    assert [(r.doc_id, r.response, r.attempts) for r in made.orderBy("doc_id").collect()] == [(k, "{}", 2) for k in range(5)]
+
+
+def test_latest_scores(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01 10:00:00", "a", 0.5), ("2024-01-01 11:00:00", "a", 1.0)], "at string, model string, score double").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("at timestamp, model string, score double").json(str(tmp_path / "in"))
+    query = incremental.latest_scores(stream).writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(r.model, r.n, r.mean_score) for r in spark.table("latest").collect()] == [("a", 2, 0.75)]
 
 
 def test_files_and_streams(spark, tmp_path):
