@@ -6,7 +6,7 @@ validates (address parts, Luhn, IBAN remainder, digit counts). Time is linear in
 
 The base kinds (email, ip, card, phone) give the leftmost non-overlapping matches of their patterns,
 of which those that fail validation are dropped. The further kinds are url, iban, ssn and secret
-(the value after a cue word). Null and empty texts have no spans; offsets count code points.
+(the value after a cue word, or a key of a public format). Cue words count in any case. Null and empty texts have no spans; offsets count code points.
 """
 
 from __future__ import annotations
@@ -31,10 +31,19 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,15}\Z")
 _URL = re.compile(r"[^\s<>\"']+")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_LINE = re.compile(r"[\n\r]|[.!?](?=\s)")
 _SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}([\"']?)([^\s\"']{8,})")
-#: Cue words and what follows them.
+# Beginnings of public key formats, in lower case, and the whole key.
+KEYS = {
+    "akia": re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    "asia": re.compile(r"(?<![A-Za-z0-9])ASIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    "ghp_": re.compile(r"(?<![A-Za-z0-9])ghp_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
+    "xoxb-": re.compile(r"(?<![A-Za-z0-9])xoxb-[A-Za-z0-9-]{20,200}"),
+    "-----begin": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+}
+#: Cue words, in any case, and what follows them: a secret at once, a number in the same line or sentence.
 CUES = {
     "secret": ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "private_key"),
     "iban": ("iban",),
@@ -54,8 +63,9 @@ def _automaton():
             made.add_word(mark, "digit" if mark.isdigit() else mark)
         for kind, words in CUES.items():
             for word in words:
-                for form in {word, word.upper(), word.capitalize()}:
-                    made.add_word(form, kind)
+                made.add_word(word, kind)
+        for word in KEYS:
+            made.add_word(word, word)
         made.make_automaton()
         _found.append(made)
     return _found[0]
@@ -71,11 +81,29 @@ def _iban(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _number(kind: str, text: str, start: int, stop: int) -> tuple[int, int] | None:
+    """Where the first valid number of this kind lies. An account may be followed by a word in capitals: its longest valid beginning counts."""
+    for m in (_IBAN if kind == "iban" else _SSN).finditer(text, start, stop):
+        if kind == "ssn":
+            return m.span()
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] != " " and not text[end : end + 1].isalnum() and _iban(text[m.start() : end]):
+                return m.start(), end
+    return None
+
+
+def _lower(text: str) -> str:
+    """In lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of what is found, by start, then kind."""
     out = []
     mail = ip = card = phone = url = run = other = 0  # where the next match of a kind may start
-    for last, mark in _automaton().iter(text):
+    none = {"iban": 0, "ssn": 0}
+    for last, mark in _automaton().iter(_lower(text)):
         if mark == "digit":
             if last >= run:  # a new run of digits
                 run = _DIGITS.match(text, last).end()
@@ -107,18 +135,24 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 end = last + 1 + len(m[0].rstrip(".,;:!?)]}"))
                 if end > last + 1:
                     out.append(("url", s.start(), end))
-        elif last >= other:
-            if mark == "secret" and (m := _SECRET.match(text, last + 1)):
+        elif mark in KEYS:
+            if last >= other and (m := KEYS[mark].match(text, last + 1 - len(mark))):
                 other = m.end()
-                out.append(("secret", m.start(2), m.start(2) + len(m[2].rstrip(".,;"))))
-            elif mark != "secret":
-                pattern = _IBAN if mark == "iban" else _SSN
-                for k in range(last + 1, min(last + 13, len(text))):  # past a colon, "no." and the like
-                    if (m := pattern.match(text, k)) and not text[k - 1].isalnum():
-                        if mark == "ssn" or _iban(m[0]):
-                            other = m.end()
-                            out.append((mark, k, other))
-                        break
+                out.append(("secret", m.start(), other))
+        elif last >= other:
+            if mark == "secret":
+                if m := _SECRET.match(text, last + 1):
+                    other = m.end()
+                    out.append(("secret", m.start(2), m.start(2) + len(m[2].rstrip(".,;"))))
+            elif last >= none[mark]:
+                stop = _LINE.search(text, last + 1)
+                stop = stop.start() if stop else len(text)
+                found = _number(mark, text, last + 1, stop)
+                if found:
+                    other = found[1]
+                    out.append((mark, *found))
+                else:
+                    none[mark] = stop  # nor does a later cue of this line
     return sorted(out, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
