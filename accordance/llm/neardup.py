@@ -339,11 +339,12 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each class, with the columns of ``docs``: the one with the smallest doc_id."""
+    """One row of each class, with the columns of ``docs``: the one with the smallest doc_id. Of rows with one id and text any one stays."""
     kept = staged(classes(docs, text).where("kept").groupBy(_row_key().alias("_row")).count(), "kept")
-    rows = docs.withColumn("_row", F.concat_ws(":", F.hex(_key(text)), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))))
+    row = F.concat_ws(":", F.hex(_key(text)), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).alias("_row")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), row)  # so that no name of ours meets one of the table's
     once = rows.join(kept.where("count = 1").select("_row"), "_row", "left_semi")
     repeated = kept.where("count > 1").select("_row")
     if not repeated.isEmpty():  # the same id and text in several rows
         once = once.unionByName(rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
-    return once.select(*docs.columns)
+    return once.select("doc.*")

@@ -275,11 +275,3 @@ def test_sql(spark, name):
     got, want = QUERIES[name](spark, str(SF)), con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(tuple(r[c] for c in columns) for r in map(lambda r: r.asDict(), got.collect())) == sorted(want.fetchall()) or sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
-
-
-@pytest.mark.skipif(not SF.exists(), reason="no driver tables")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, str(SF))
-    assert rows.columns[:2] == ["doc_id", "piece"] and rows.count() > 0

@@ -40,31 +40,40 @@ def _shared(budget, children):
     return share
 
 
-def _brute(rows, budget, max_epochs, seed):
-    docs = [(d, (lang or "", source or ""), len((t or "").split())) for d, t, lang, source in rows]
+def brute(docs, weights, budget, max_epochs, seed):
+    """doc_id, tokens and epoch of what mix chooses of ``docs`` (doc_id, levels, tokens)."""
     leaves = Counter()
     for _, leaf, n in docs:
         leaves[leaf] += n
-    caps = {leaf: n * max_epochs for leaf, n in leaves.items()}
-    langs = sorted({lang for lang, _ in leaves})
-    top = _shared(min(budget, sum(caps.values())), [(sum(c for (g, _), c in caps.items() if g == lang), WEIGHTS[0].get(lang, 1), lang) for lang in langs])
-    chosen = []
-    for lang in langs:
-        children = [(caps[leaf], WEIGHTS[1].get(leaf[1], WEIGHTS[1]["*"]), leaf[1]) for leaf in sorted(leaves) if leaf[0] == lang]
-        for source, share in _shared(top[lang], children).items():
-            total = leaves[lang, source]
-            whole, rest = divmod(share, total) if total else (0, 0)
-            mine = [(d, n) for d, leaf, n in docs if leaf == (lang, source)]
-            chosen += [(d, n, e) for e in range(whole) for d, n in mine]
-            place = lambda d: hashlib.md5(f"{seed}:{whole}:{d}".encode()).hexdigest()  # noqa: B023, E731
-            done = 0
-            for _, same in itertools.groupby(sorted(mine, key=lambda x: place(x[0])) if rest else [], key=lambda x: place(x[0])):
-                same = list(same)
-                done += sum(n for _, n in same)
-                if done > rest:
-                    break
-                chosen += [(d, n, whole) for d, n in same]
-    return sorted(chosen)
+
+    def cap(above):
+        return max_epochs * sum(n for leaf, n in leaves.items() if leaf[: len(above)] == above)
+
+    def down(above, share):
+        if len(above) < len(weights):
+            names = sorted({leaf[len(above)] for leaf in leaves if leaf[: len(above)] == above})
+            level = weights[len(above)]
+            given = _shared(share, [(cap((*above, x)), level.get(x, level.get("*", 1)), x) for x in names])
+            return [c for x in names for c in down((*above, x), given[x])]
+        total = leaves[above]
+        whole, rest = divmod(share, total) if total else (0, 0)
+        mine = [(d, n) for d, leaf, n in docs if leaf == above]
+        chosen = [(d, n, e) for e in range(whole) for d, n in mine]
+        place = lambda x: hashlib.md5(f"{seed}:{whole}:{x[0]}".encode()).hexdigest()
+        done = 0
+        for _, same in itertools.groupby(sorted(mine, key=place) if rest else [], key=place):
+            same = list(same)
+            done += sum(n for _, n in same)
+            if done > rest:
+                break
+            chosen += [(d, n, whole) for d, n in same]
+        return chosen
+
+    return sorted(down((), min(budget, cap(()))))
+
+
+def _brute(rows, budget, max_epochs, seed):
+    return brute([(d, (lang or "", source or ""), len((t or "").split())) for d, t, lang, source in rows], WEIGHTS, budget, max_epochs, seed)
 
 
 @pytest.mark.parametrize("budget,epochs", [(0, 1), (150, 1), (400, 2), (900, 2), (6000, 1), (10**6, 3)])
