@@ -5,7 +5,8 @@ A folder holds payloads ``ids-N.bin`` (nothing but ids, little-endian, in ascend
 ``index-N.mph``. Keys are dealt to index files by hash. Each has a minimal perfect hash function (a
 cascade of bit arrays: a key alone at its bit stays there, keys that meet go on to the next array;
 its number is the count of bits before) and, in the order of those numbers, a fingerprint of each
-key and where its documents lie. An access reads one place of one index file and one of a payload.
+key and where its documents lie. An access reads one place of one index file and one of a payload;
+documents that are neighbours in a payload are read together.
 
 Rows with a null key are kept under the null key, repeated keys under one entry for each payload file
 that holds them; null texts are empty ones and consist of the end id.
@@ -29,6 +30,8 @@ from accordance.llm.storage import shared_dir, staged
 
 #: Keys to an index file.
 INDEX_KEYS = 250_000
+#: Bytes of neighbouring documents that are read at once.
+READ_BYTES = 8 << 20
 _ENTRIES = "key long, shard int, first_doc long, n_docs long, first_token long, n_tokens long"
 _LEVELS, _ROOM = 40, 2
 
@@ -194,6 +197,18 @@ def look_up(keys: DataFrame, folder: str, n_files: int, key: str = "key") -> Dat
     return dealt.groupBy("file").applyInPandas(find, _ENTRIES)
 
 
+def _runs(docs: list[tuple], starts: np.ndarray) -> Iterator[list[tuple]]:
+    """The documents (key, number), in order, in runs of neighbours of about READ_BYTES, to be read at once."""
+    run: list[tuple] = []
+    for key, doc in docs:
+        if run and (doc > run[-1][1] + 1 or starts[doc + 1] - starts[run[0][1]] > READ_BYTES):
+            yield run
+            run = []
+        run.append((key, doc))
+    if run:
+        yield run
+
+
 def read_tokens(found: DataFrame, folder: str, dtype: str = "<u2", with_ids: bool = False) -> DataFrame:
     """The documents of entries: key, shard, offset (ids of the file before), n_tokens, ids_crc32 (over 4-byte ids), ids if asked for."""
     out = "key long, shard int, offset long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -204,12 +219,15 @@ def read_tokens(found: DataFrame, folder: str, dtype: str = "<u2", with_ids: boo
         with store.open_input_file(f"{at}/ids-{shard:06d}.off") as file:
             starts = np.frombuffer(file.read(), "<i8")
         rows, made = rows.sort_values("first_doc"), []
+        docs = [(key, doc) for key, first, n in zip(rows["key"], rows["first_doc"], rows["n_docs"]) for doc in range(first, first + n)]
         with store.open_input_file(f"{at}/ids-{shard:06d}.bin") as file:
-            for key, first, n in zip(rows["key"], rows["first_doc"], rows["n_docs"]):
-                for doc in range(first, first + n):
+            for run in _runs(docs, starts * width):
+                first, last = int(starts[run[0][1]]), int(starts[run[-1][1] + 1])
+                ids = np.frombuffer(file.read_at((last - first) * width, first * width), dtype).astype("<u4")
+                for key, doc in run:
                     begin, stop = int(starts[doc]), int(starts[doc + 1])
-                    ids = np.frombuffer(file.read_at((stop - begin) * width, begin * width), dtype).astype("<u4")
-                    made.append((key, shard, begin, stop - begin, zlib.crc32(ids.tobytes()), *([ids.astype(np.int32)] if with_ids else [])))
+                    mine = ids[begin - first : stop - first]
+                    made.append((key, shard, begin, stop - begin, zlib.crc32(mine.tobytes()), *([mine.astype(np.int32)] if with_ids else [])))
         names = ["key", "shard", "offset", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
         return pd.DataFrame(made, columns=names).astype({"key": "Int64"})
 

@@ -86,6 +86,29 @@ def test_perfect_hash():
     assert sorted(made.number(keys)) == list(range(5000))
 
 
+def test_token_files_of_odd_tables(spark, tmp_path, monkeypatch):
+    docs = _docs(spark, ODD).withColumn("key", F.lit("clash")).withColumn("shard", F.lit(9))
+    twice = docs.union(docs).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    byte = _tokenizer("byte_bpe_50k.json")
+    sizes = [len(byte.encode(t or "", add_special_tokens=False).ids) + 1 for t in ODD]
+    got = tokenfile.encode_and_read(twice).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got if r.doc_id is not None) == sorted(list(enumerate(sizes)) * 2) and len(got) == 2 * len(ODD) + 1
+    assert sorted(r.start for r in got) == np.append(0, np.cumsum([r.n_tokens for r in sorted(got, key=lambda r: r.start)]))[:-1].tolist()
+    assert tokenfile.encode_and_read(docs.where("false")).count() == 0
+    # a few documents by key, not neighbours, with their ids
+    monkeypatch.setattr(tokenfile, "READ_BYTES", 40)
+    folder = f"{tmp_path}/files"
+    n_files = tokenfile.write_index(tokenfile.write_tokens(docs, folder), folder).count()
+    wanted = spark.createDataFrame([(2,), (3,), (7,), (9,), (5000,)], "key long")
+    rows = tokenfile.read_tokens(tokenfile.look_up(wanted, folder, n_files), folder, with_ids=True).collect()
+    assert {r.key: r.ids for r in rows} == {k: [*byte.encode(ODD[k], add_special_tokens=False).ids, 2] for k in (2, 3, 7, 9)}
+
+
+def test_token_counts_of_odd_tables(spark):
+    docs = _docs(spark, ODD).withColumn("n_bytes", F.lit("clash")).withColumn("limit", F.lit(1))
+    assert tokencount.count_tokens(docs.union(docs)).count() == 2 * len(ODD) and tokencount.count_tokens(docs.where("false")).count() == 0
+
+
 def test_packing(spark):
     docs = _docs(spark, [*ODD, "lorem ipsum " * 6000])
     rows = packing.pack_documents(docs).collect()
