@@ -20,8 +20,6 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -85,11 +83,16 @@ class PrefixCounter:
         forms.pop("", None)
         self.longest = max(map(len, forms))
         self.automaton = ahocorasick.Automaton()
-        for text, (inside, last) in forms.items():
-            self.automaton.add_word(text, (len(text), inside, last))
+        # tokens have numbers from 1; 0 is what is before a piece, and the token that a string lacks
+        self.names = [""]
+        for text, pair in forms.items():
+            numbers = []
+            for token in pair:
+                numbers.append(len(self.names) if token else 0)
+                self.names += [token] if token else []
+            self.automaton.add_word(text, (len(text), *numbers))
         self.automaton.make_automaton()
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.follows: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.norms: dict[str, str] = {}
         self.chars = _byte_chars()
@@ -111,48 +114,46 @@ class PrefixCounter:
         chars = list(token[: len(token) - len(self.end)] if ended else token)
         return [*chars[:-1], chars[-1] + self.end] if ended else chars
 
-    def _may_follow(self, left: str, right: str) -> bool:
+    def _may_follow(self, left: int, right: int) -> bool:
+        """If the model makes these two tokens of their strings together (of the right one's alone, at a piece's start)."""
         if len(self.follows) > 1_000_000:
             self.follows.clear()
-        self.follows[left, right] = fits = self.merge(self._symbols(left) + self._symbols(right)) == [left, right]
+        pair = [self.names[k] for k in (left, right) if k]
+        fits = self.follows[left << 20 | right] = self.merge([x for token in pair for x in self._symbols(token)]) == pair
         return fits
 
-    def _reached(self, token: str) -> bool:
-        """If the model makes this one token of its string."""
-        fits = self.whole.get(token)
-        if fits is None:
-            fits = self.whole[token] = len(self.merge(self._symbols(token))) == 1
-        return fits
-
-    def _word(self, word: str, known: int = 0, last: list[str] | None = None, inside: array | None = None) -> tuple[list[str], array, array]:
+    def _word(self, word: str, known: int = 0, last: list[int] | None = None, inside: list[int] | array | None = None) -> tuple:
         """For each k: the last token of word[:k] in the middle of a piece, how many it has there, and how many as a whole piece.
 
         ``word`` is in the model's own characters. ``last`` and ``inside`` may give what is ``known`` of the first ones.
         """
-        last, inside, total = [""] if last is None else last, array("q", [0]) if inside is None else inside, array("q", [0])
-        follows, reached, may_follow = self.follows, self._reached, self._may_follow
-        for end, found in groupby(self.automaton.iter(word), itemgetter(0)):
-            if end < known:
-                continue
-            token, n, whole = "", -1, -1
-            for _, (size, inner, final) in found:
+        numbers = list if len(word) < 10_000 else lambda x: array("q", x)
+        last, inside, total = [0] if last is None else last, numbers([0]) if inside is None else inside, numbers([0])
+        follows, may_follow = self.follows.get, self._may_follow
+        now, token, n, whole = known, 0, -1, -1
+        for end, (size, inner, final) in self.automaton.iter(word):
+            if end != now:
+                if end < known:
+                    continue
+                last.append(token)
+                inside.append(n)
+                total.append(whole)
+                now, token, n, whole = end, 0, -1, -1
+            if n < 0 and inner:
                 at = end + 1 - size
                 before = last[at]
-                if n < 0 and inner is not None:
-                    fits = follows.get((before, inner)) if at else reached(inner)
-                    if may_follow(before, inner) if fits is None else fits:
-                        token, n = inner, inside[at] + 1
-                        if whole >= 0:
-                            break
-                if whole < 0 and final is not None:
-                    fits = follows.get((before, final)) if at else reached(final)
-                    if may_follow(before, final) if fits is None else fits:
-                        whole = inside[at] + 1
-                        if n >= 0:
-                            break
-            last.append(token)
-            inside.append(n)
-            total.append(whole)
+                fits = follows(before << 20 | inner)
+                if may_follow(before, inner) if fits is None else fits:
+                    token, n = inner, inside[at] + 1
+            if whole < 0 and final:
+                at = end + 1 - size
+                before = last[at]
+                fits = follows(before << 20 | final)
+                if may_follow(before, final) if fits is None else fits:
+                    whole = inside[at] + 1
+        last.append(token)
+        inside.append(n)
+        total.append(whole)
         return last, inside, total
 
     def _chars(self, text: str) -> str:
@@ -165,9 +166,17 @@ class PrefixCounter:
         """The steps over a piece of the split pattern."""
         if text[0] == "'" and len(text) > 1 and text[1].isalpha():
             return _steps([self.count(text[:k]) for k in range(len(text) + 1)])  # a prefix of 're is cut otherwise
-        return self._piece(text)[0]
-
-    def _piece(self, text: str) -> tuple[bytes, tuple[str, list[str], array], np.ndarray]:
+        if len(text) > 64:
+            return self._piece(text)[0]
+        total = self._word(self._chars(text))[2]
+        if not text.isascii():
+            at, all_, total = 0, total, [0]
+            for c in text:
+                at += len(c.encode())
+                total.append(all_[at])
+        return bytes([(b - a) & 255 for a, b in zip(total, total[1:])])
+
+    def _piece(self, text: str) -> tuple[bytes, tuple, np.ndarray]:
         """The steps over a piece that isn't cut otherwise, what _longer needs, and the bytes of each prefix."""
         chars, ends = self._chars(text), _byte_ends(text)
         last, inside, total = self._word(chars)
@@ -250,7 +259,7 @@ class PrefixCounter:
             counts.append(done[at])
         return _steps(counts)
 
-    def _longer(self, upto: int, more: str, chars: str, last: list[str], inside: array) -> int:
+    def _longer(self, upto: int, more: str, chars: str, last: list[int], inside: list[int] | array) -> int:
         """The count of chars[:upto] + more as a whole piece, from the states of ``chars``."""
         begin = max(0, upto - self.longest)
         return self._word(chars[begin:upto] + more, upto - begin, last[begin : upto + 1], inside[begin : upto + 1])[2][-1]
