@@ -212,12 +212,13 @@ def report(ann: DataFrame, rater: str, by: tuple[str, ...] = ()) -> dict[str, Da
 
 
 def trial_report(ann: DataFrame, n_folders: int = 3, trial: str = "trial", folder: str = "folder") -> dict[str, DataFrame]:
-    """report of every trial that all folders have, the folders being the raters; and means, each level's alpha and
-    each type's percentages over the trials, by scope, of the rounded values (nulls left out, to three decimals)."""
+    """report of every trial that all folders have, the folders being the raters; metrics (trial, scope, metric, value), each
+    level's alpha and each type's percentages; and means of these rounded values over the trials (nulls left out, to three
+    decimals) by scope and metric. A pair has the same scope in all trials, which is how its values are found across them."""
     both = complete_trials(ann, n_folders, trial, folder)
     tables = report(both, folder, (trial,))
-    alpha = tables["alpha"].select("scope", F.concat(F.lit("alpha_"), "level").alias("metric"), F.col("alpha").alias("value"))
-    shares = tables["summary"].select("scope", "field_type", F.explode(F.create_map(*(x for c in ("exact_percent", "tolerance_percent", "mean_f1") for x in (F.lit(c), F.col(c))))).alias("name", "value"))
-    metrics = alpha.unionByName(shares.select("scope", F.concat_ws("_", "field_type", "name").alias("metric"), "value"))
-    means = metrics.where("value is not null").groupBy("scope", "metric").agg(mean_of_rounded("value").alias("mean"), F.count("*").alias("n_trials"))
-    return tables | {"means": means}
+    alpha = tables["alpha"].select(trial, "scope", F.concat(F.lit("alpha_"), "level").alias("metric"), F.col("alpha").alias("value"))
+    shares = tables["summary"].select(trial, "scope", "field_type", F.explode(F.create_map(*(x for c in ("exact_percent", "tolerance_percent", "mean_f1") for x in (F.lit(c), F.col(c))))).alias("name", "value"))
+    metrics = alpha.unionByName(shares.select(trial, "scope", F.concat_ws("_", "field_type", "name").alias("metric"), "value")).where("value is not null")
+    means = metrics.groupBy("scope", "metric").agg(mean_of_rounded("value").alias("mean"), F.count("*").alias("n_trials"))
+    return tables | {"metrics": metrics, "means": means}

@@ -243,6 +243,8 @@ def test_reports_of_raters(spark):
     assert alphas["all", "nominal"].n_complete == 1 and not alphas["all", "interval"].reliable
     means = {(r.scope, r.metric): r["mean"] for r in tables["means"].collect()}
     assert means["all", "free_text_mean_f1"] == pytest.approx(0.667) and ("A vs B", "numeric_exact_percent") in means
+    by_trial = views.metric_by_trial(tables["metrics"].where("scope = 'A vs B'"), [1, 2]).where("metric = 'free_text_mean_f1'").first()
+    assert (by_trial["1"], by_trial["2"], by_trial["mean"]) == (0.5, None, 0.5)
     texts = spark.createDataFrame([(0.5, True), (0.25, False), (None, True)], "a double, r boolean").select(agreement.alpha_text(F.col("a"), F.col("r"))).collect()
     assert [t[0] for t in texts] == ["0.500", "0.250 ⚠", "N/A"]
 
