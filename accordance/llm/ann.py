@@ -19,7 +19,7 @@ Equal vectors are one from the start, however many rows have them: of each the k
 (with up to k repeated rows each), which is all that a query can find. Each repeated row is a candidate of
 its own. A query finds no row of its own id; an id that several query rows have is answered once. Rows with
 a null id or a null, empty, zero or non-finite vector take no part; vectors of another length than the
-query's are no candidates. Other columns aren't read.
+query's are no candidates. Other columns aren't read. Without queries, or rows, there are no results.
 """
 
 from __future__ import annotations

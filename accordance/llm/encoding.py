@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Spaces that a text isn't cut at.
 _HELD = re.compile(r"(?<!\S) | (?!\S)")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -31,17 +32,28 @@ CHUNK_CHARS = 8_000_000
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
-def chunks(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, in lists of about CHUNK_CHARS characters."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts of about CHUNK_CHARS, cut before a space that it can be cut at."""
+    at = 0
+    while len(text) - at > CHUNK_CHARS and (cut := _CUT.search(text, at + CHUNK_CHARS)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def _chunks(texts: list[str]) -> Iterator[list[tuple[str, bool]]]:
+    """The parts of the texts in order, and if they are a text's last, in lists of about CHUNK_CHARS characters."""
+    chunk, size = [], 0
+    for text in texts:
+        for part in _parts(text):
+            if chunk and size + len(part) > CHUNK_CHARS:
+                yield chunk
+                chunk, size = [], 0
+            chunk.append((part, False))
+            size += len(part)
+        chunk[-1] = chunk[-1][0], True
+    if chunk:
+        yield chunk
 
 
 class Kept:
@@ -125,6 +137,19 @@ class Kept:
         return found, np.append(0, np.append(0, ends)[bounds[1:]])
 
 
+    def each(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The items of each text."""
+        before: list[np.ndarray] = []
+        for chunk in _chunks(texts):
+            flat, bounds = self.items([part for part, _ in chunk])
+            bounds = bounds.tolist()
+            for (_, last), a, b in zip(chunk, bounds, bounds[1:]):
+                before.append(flat[a:b])
+                if last:
+                    yield np.concatenate(before) if len(before) > 1 else before[0]
+                    before = []
+
+
 def _split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The different parts between the spaces of the texts, which of them white space begins or ends (or nothing is in),
     which of them follow one another, and where each text's begin."""
@@ -198,11 +223,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for part in chunks(texts):
-            flat, bounds = self.kept.items(part)
-            bounds = bounds.tolist()
-            for a, b in zip(bounds, bounds[1:]):
-                yield flat[a:b]
+        return self.kept.each(texts)
 
 
 def encoder(path: str, dtype: str = "<u4") -> Encoder:

@@ -15,7 +15,8 @@ its order that doesn't fit, and that rest goes to no one else.
 
 Null levels form a child of their own named "". Documents of one id have one place and are taken or
 left together; documents without tokens come with the prefix they lie in. Null and empty texts have
-no tokens. Empty tables give no rows.
+no tokens. Repeated rows
+count each. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ a chance of 1e-11 isn't counted out. Classes are the components of the links.
 
 Equal texts are one text from the start (by MD5); null texts are empty ones. Texts of one to four words
 have one shingle, their words. Texts without words have none and equal only the same text. Null ids are
-kept; a class takes its smallest id. Words are runs between white space, in lower case.
+kept; a class takes its smallest id. Words are runs between white space, in lower case. Texts of any length are
+compared whole. Every row is answered, repeated ones too; an empty table has no classes. Other columns aren't read, and
+``without_near_duplicates`` gives them back under any name.
 """
 
 from __future__ import annotations

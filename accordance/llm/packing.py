@@ -6,7 +6,8 @@ the number of documents: it is made on the driver from that histogram, as runs "
 length with these ranks lie in sequences from this one on, at this offset". Ranks come from a
 window in salted groups, so no length, however frequent, meets in one task.
 
-Null and empty texts give one piece (the end id). Repeated rows are packed each for itself.
+Null and empty texts give one piece (the end id). Repeated rows and null ids are packed each for itself; which of them
+comes first is left open. An empty table gives no rows. Other columns of the documents aren't read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ validates (address parts, Luhn, IBAN remainder, digit counts). Time is linear in
 
 The base kinds (email, ip, card, phone) give the leftmost non-overlapping matches of their patterns,
 of which those that fail validation are dropped. The further kinds are url, iban, ssn and secret
-(the value after a cue word, or a key of a public format). Cue words count in any case. Null and empty texts have no spans; offsets count code points.
+(the value after a cue word, or a key of a public format). Cue words count in any case. Null and empty texts have no spans; offsets count code points. Texts of any length are
+searched whole, and each row for itself; an empty table gives no rows. ``find_pii`` reads no other columns, ``redact_pii`` keeps them.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ piece of any length takes time in proportion to it. Where the normalizer compose
 prefix that ends among them is counted from the state at the safe place before.
 
 Counts are kept as one signed byte a character, the step from the prefix one shorter; the counts
-are the running sums. Null texts are empty ones; the empty prefix has no tokens.
+are the running sums. Null texts are empty ones; the empty prefix has no tokens. Texts of any length are counted whole, and
+each row for itself; an empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accordance.llm.encoding import Kept, chunks, tokenizer_path
+from accordance.llm.encoding import Kept, tokenizer_path
 
 #: Characters that the normalizer keeps one for one (but for case), white space, and the split pattern for them.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -266,11 +267,7 @@ class PrefixCounter:
 
     def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The steps over each text."""
-        for part in chunks(texts):
-            flat, bounds = self.kept.items(part)
-            bounds = bounds.tolist()
-            for a, b in zip(bounds, bounds[1:]):
-                yield flat[a:b]
+        return self.kept.each(texts)
 
 
 def counter(path: str) -> PrefixCounter:

@@ -9,7 +9,9 @@ key and where its documents lie. An access reads one place of one index file and
 documents that are neighbours in a payload are read together.
 
 Rows with a null key are kept under the null key, repeated keys under one entry for each payload file
-that holds them; null texts are empty ones and consist of the end id.
+that holds them; null texts are empty ones and consist of the end id. Texts of any length are encoded whole. Documents of
+one key come in the order of their texts' hashes; equal rows each have a place. An empty table gives no files and no rows.
+Other columns aren't read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ doubles where they are exact there (below 2**53), else in Python's integers.
 Every row is a candidate, repeated ones too: a row stored seven times is found seven times. A query finds
 no row of its own id. An id that several query rows have is answered once, for the smallest of their
 vectors (compared component by component). Rows with a null id or a null, empty or non-finite vector take
-no part; vectors of another length than the query's are no candidates. Other columns aren't read.
+no part; vectors of another length than the query's are no candidates. Other columns aren't read. Without
+queries, or rows, there are no results.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     """query_id, rank (from 1), vec_id, score: each query's k best of all rows but its own, ties to smaller vec_id.
 
     ``vectors`` has vec_id and embedding; ``is_query`` says which rows are queries. The queries meet every
-    row, in blocks: that work is what exactness costs.
+    row, in blocks: that work is what exactness costs. Rows are dealt to blocks by their place, so ``vectors`` should give
+    the same rows in the same order if a lost partition is computed again, as files do (write a shuffled frame first).
     """
     vec = F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & taking_part(vec)).select(

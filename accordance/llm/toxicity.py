@@ -11,7 +11,8 @@ sentence offends.
 A word's weight is the sum of those of the word and of its first four and five letters, so that unseen
 forms of a known stem count too. The model holds only what several training documents have, so its size
 is bounded by theirs. Null and empty texts have no sentence that says anything; they get the score of an
-empty sentence.
+empty sentence. Texts of any length are scored whole, and each row for itself; an empty table gives no rows. Without labels
+of both kinds the model knows no words. Other columns of the documents aren't read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordance.llm import mixing, neardup, packing, pii, tokencount, tokenfile, toxicity, urls
+from accordance.llm import encoding, mixing, neardup, packing, pii, tokencount, tokenfile, toxicity, urls
 from accordance.llm.encoding import tokenizer_path
 from accordance.llm.queries import ORACLE_SQL, QUERIES
 
@@ -70,6 +70,19 @@ def test_counts_of_long_runs_take_time_in_proportion():
     assert took[1] < 40 * took[0] + 1
 
 
+def test_long_texts_are_cut_for_memory_only(monkeypatch):
+    word, byte = _tokenizer("word_bpe_49k.json"), _tokenizer("byte_bpe_50k.json")
+    text = "It's  a long\n text, d\u00e9j\u00e0 vu; of   many words \u65e5\u672c and spaces . " * 40
+    texts = ["", text, "x", text[5:] + "end", " lead", "w" * 100]
+    monkeypatch.setattr(encoding, "CHUNK_CHARS", 25)
+    assert len(list(encoding._parts(text))) > 20 and "".join(encoding._parts(text)) == text
+    for tokenizer, name in ((word, "word_bpe_49k.json"), (byte, "byte_bpe_50k.json")):
+        got = encoding.Encoder(tokenizer_path(name)).ids(texts)
+        assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, steps in zip(texts, tokencount.PrefixCounter(tokenizer_path("word_bpe_49k.json")).texts(texts)):
+        assert len(steps) == len(t) and steps.sum(dtype=int) == len(word.encode(t, add_special_tokens=False).ids)
+
+
 def test_prefix_functions(spark):
     path = tokenizer_path("word_bpe_49k.json")
     count = lambda t: len(_tokenizer("word_bpe_49k.json").encode(t, add_special_tokens=False).ids)
