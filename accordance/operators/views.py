@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordance.functions.text import last_segments, progress_bar, shortened, symbol, traffic_light
+from accordance.operators import stats
 from accordance.operators.stats import mean_of_rounded
 
 
@@ -76,3 +77,23 @@ def labelled(fields: DataFrame) -> DataFrame:
 def report_json(frame: DataFrame, *columns: str) -> DataFrame:
     """A JSON text for each row, with nulls written out."""
     return frame.select(F.to_json(F.struct(*(columns or frame.columns)), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def overview(fields: DataFrame, n: int = 10) -> dict[str, DataFrame]:
+    """What an evaluation's overview shows, from its field statistics: topics by rate, the fields with most disagreements,
+    texts by F1, and the total of the status shares."""
+    topics = stats.topic_stats(fields)
+    return {"topics": topic_bars(topics), "disagreements": stats.by_disagreement(fields, n), "texts": stats.worst_texts(fields), "status": status_total(topics)}
+
+
+def model_overview(scores: DataFrame, models: list[str]) -> dict[str, DataFrame]:
+    """What a comparison of models shows, from their scores: the ranking, topics by model, and the fields that are hard for all or
+    differ most."""
+    fields = stats.model_field_stats(scores)
+    cross = stats.cross_model(fields)
+    return {
+        "ranking": ranking_lines(stats.ranked(stats.model_totals(fields), models)),
+        "topics": topic_pivot(stats.model_topic_stats(scores), models),
+        "hard": stats.hard_fields(cross, len(models)),
+        "spread": stats.spread_fields(cross),
+    }

@@ -141,6 +141,19 @@ def test_models(spark):
     assert [(r.model, r["rank"]) for r in stats.ranked(totals, ["C", "A", "B"]).orderBy("rank").collect()] == [("C", 1), ("A", 2), ("B", 3)]
 
 
+def test_overviews(spark):
+    rows = [(k, p, t, "free_text" if p == "b" else "nominal", "filled", a, f, None, None) for k, (p, t, a, f) in enumerate([("a", "T", True, None), ("a", "T", False, None), ("b", "U", False, 0.25), ("c", "U", True, None)])]
+    compared = spark.createDataFrame(rows, "pair_id int, path string, topic string, field_type string, status string, agrees boolean, f1 double, tolerance boolean, deviation double")
+    tables = views.overview(stats.field_stats(compared))
+    assert [r.path for r in tables["disagreements"].collect()] == ["b", "a"] and [r.path for r in tables["texts"].collect()] == ["b"]
+    assert [(r.topic, r.color) for r in tables["topics"].collect()] == [("T", "yellow"), ("U", "yellow")] and tuple(tables["status"].first()) == (2, 2, 0)
+    scores = spark.createDataFrame([(m, "p", "T", s, False, False) for m, s in (("A", 0.4), ("B", 0.1))] + [("A", "q", "U", 1.0, False, False)], "model string, path string, topic string, score double, model_missing boolean, truth_missing boolean")
+    tables = views.model_overview(scores, ["B", "A"])
+    assert [(r["rank"], r.model, r.score) for r in tables["ranking"].orderBy("rank").collect()] == [(1, "A", 0.7), (2, "B", 0.1)]
+    assert sorted(map(tuple, tables["topics"].collect())) == [("T", 0.1, 0.4), ("U", None, 1.0)]
+    assert [r.path for r in tables["hard"].collect()] == [r.path for r in tables["spread"].collect()] == ["p"]
+
+
 def test_range_warnings(spark):
     rows = [("patient.BMI", "10"), ("patient.BMI", "80"), ("patient.BMI", "10.1"), ("patient.ESS", "24"), ("patient.ESS", "25"), ("soevn_opsummering.soevneffektivitet_procent", "100"), ("soevn_opsummering.total_soevntid_tst_min", "700"), ("respirations_analyse.ahi_total", "150"), ("spo2_oversigt.minimum_procent.total", "50"), ("spo2_oversigt.minimum_procent.total", "49,5%"), ("patient.BMI", None)]
     found = checks.range_warnings(spark.createDataFrame(rows, "path string, raw string"), [])
