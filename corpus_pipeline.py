@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from accordance.llm import neardup, packing, pii, toxicity
 from accordance.llm.queries import mixed
-from accordance.llm.storage import staged
+from accordance.llm.storage import discard, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL has no trained model, signatures or tokenizers; tests hold the stages against brute force instead.
+#: SQL has no trained model, signatures or tokenizers; tests hold each stage and run() against plain Python instead.
 ORACLE_SQL = None
 
 
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        discard(before)  # nothing reads it any more
     return STAGES[-1][1](spark, docs, sf_dir)
