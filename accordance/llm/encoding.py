@@ -25,9 +25,9 @@ _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A word with marks after it, perhaps over a line end to a next word; no split pattern matches across their edges.
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*(?:\n(?!\n))?)([A-Za-zÀ-ÖØ-öø-ÿ]*)")
 #: Cuts that a worker keeps, and the longest that is kept.
-KEPT, LONGEST = 700_000, 64
+KEPT, LONGEST = 500_000, 64
 #: Characters of the texts that are handled at once.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 3_000_000
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 

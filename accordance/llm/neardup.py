@@ -57,12 +57,12 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
-    """64-bit hashes of the words that a worker has met, up to a bound."""
+    """64-bit hashes of the words that a task has met, up to a bound; what a task leaves would stay in the worker's memory."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -165,6 +165,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size = np.bincount(text, count, minlength=len(part)).astype(np.int64)
             bands, sketch = _bands(ranks), _sketch(ranks)
             yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "size": size, "bands": [b if n else [] for b, n in zip(bands, size)], "sketch": [s.tobytes() for s in sketch]})
+    _hashes.clear()
 
 
 def _unit_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,6 +178,7 @@ def _unit_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             units, owner = (units >> np.uint64(32)).astype(np.uint32), np.repeat(text, count)
             cut = np.searchsorted(owner, np.arange(len(part) + 1))
             yield pd.DataFrame({"tid": part["tid"], "units": [np.sort(units[a:b]).tobytes() for a, b in zip(cut, cut[1:])]})
+    _hashes.clear()
 
 
 class _Block:
