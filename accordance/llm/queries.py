@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordance.llm import ann, mixing, neardup, packing, pii, tokencount, tokenfile, topk, toxicity, urls
+from accordance.llm import ann, mixing, neardup, packing, pieces, pii, tokencount, tokenfile, topk, toxicity, urls
 
 RULES = [urls.Rule(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))]
 
@@ -64,7 +64,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_mix_sources, op3_near_duplicates, op4_filter_urls, op5_token_files, op6_token_counts, op7_personal_data, op8_pack_sequences, op9_toxicity, op10_exact_top_k)}
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_mix_sources, op3_near_duplicates, op4_filter_urls, op5_token_files, op6_token_counts, op7_personal_data, op8_pack_sequences, op9_toxicity, op10_exact_top_k, op13_sentence_pieces)}
 
 _URL_SQL = """
 WITH parsed AS (
