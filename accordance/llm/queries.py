@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordance.llm import ann, mixing, neardup, packing, pieces, pii, tokencount, tokenfile, topk, toxicity, urls
+from accordance.llm import ann, merkle, mixing, neardup, packing, pieces, pii, tokencount, tokenfile, topk, toxicity, urls
 
 RULES = [urls.Rule(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))]
 
@@ -64,11 +64,15 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_mix_sources, op3_near_duplicates, op4_filter_urls, op5_token_files, op6_token_counts, op7_personal_data, op8_pack_sequences, op9_toxicity, op10_exact_top_k, op13_sentence_pieces)}
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_mix_sources, op3_near_duplicates, op4_filter_urls, op5_token_files, op6_token_counts, op7_personal_data, op8_pack_sequences, op9_toxicity, op10_exact_top_k, op11_merkle_manifest, op13_sentence_pieces)}
 
 _URL_SQL = """
 WITH parsed AS (
@@ -96,4 +100,42 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op4_filter_urls": _URL_SQL, "op10_exact_top_k": _TOP_SQL}
+#: The checksum of an id's digits, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))), 4294967295), 4294967295)"""
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{0}")) + ")"
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, {_LEAF.format("text")} AS leaf,
+    CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS now,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM documents),
+nodes AS (
+  SELECT source, 0 AS lvl, pos, n, leaf AS digest FROM docs
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+subroots AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, pos, n, digest FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, pos // 3, n),
+steps AS (
+  SELECT d.doc_id, s.lvl, s.pos, d.pos // (3 ** s.lvl)::BIGINT AS own, s.digest
+  FROM docs d JOIN nodes s ON s.source IS NOT DISTINCT FROM d.source AND s.n > 1 AND s.pos // 3 = d.pos // (3 ** (s.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT d.doc_id, 1000 + s.lvl, s.pos, r.pos // (3 ** s.lvl)::BIGINT, s.digest
+  FROM docs d JOIN subroots r ON r.source IS NOT DISTINCT FROM d.source JOIN tops s ON s.n > 1 AND s.pos // 3 = r.pos // (3 ** (s.lvl + 1))::BIGINT),
+sides AS (
+  SELECT doc_id, lvl, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos < own), '') AS l, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos > own), '') AS r
+  FROM steps GROUP BY doc_id, lvl),
+proofs AS (SELECT doc_id, list(l || '|' || r ORDER BY lvl) AS proof, string_agg(l || r, '' ORDER BY lvl) AS whole FROM sides GROUP BY doc_id),
+folded AS (
+  SELECT d.doc_id, d.leaf, r.digest AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(coalesce(p.whole, '')) AS proof_sha256,
+    CASE WHEN p.proof IS NULL THEN d.now ELSE list_reduce(p.proof, lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2)), d.now) END AS folded_root
+  FROM docs d JOIN subroots r ON r.source IS NOT DISTINCT FROM d.source LEFT JOIN proofs p ON p.doc_id = d.doc_id)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+ORACLE_SQL = {"op4_filter_urls": _URL_SQL, "op10_exact_top_k": _TOP_SQL, "op11_merkle_manifest": _MERKLE_SQL}
