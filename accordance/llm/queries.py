@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordance.llm import ann, merkle, mixing, neardup, packing, pieces, pii, tokencount, tokenfile, topk, toxicity, urls
+from accordance.llm import ann, collocations, merkle, mixing, neardup, packing, pieces, pii, tokencount, tokenfile, topk, toxicity, urls
 
 RULES = [urls.Rule(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))]
 
@@ -68,11 +68,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_mix_sources, op3_near_duplicates, op4_filter_urls, op5_token_files, op6_token_counts, op7_personal_data, op8_pack_sequences, op9_toxicity, op10_exact_top_k, op11_merkle_manifest, op13_sentence_pieces)}
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_mix_sources, op3_near_duplicates, op4_filter_urls, op5_token_files, op6_token_counts, op7_personal_data, op8_pack_sequences, op9_toxicity, op10_exact_top_k, op11_merkle_manifest, op12_phrases, op13_sentence_pieces)}
 
 _URL_SQL = """
 WITH parsed AS (
@@ -138,4 +142,29 @@ folded AS (
 SELECT *, folded_root = root AS verified FROM folded
 """
 
-ORACLE_SQL = {"op4_filter_urls": _URL_SQL, "op10_exact_top_k": _TOP_SQL, "op11_merkle_manifest": _MERKLE_SQL}
+_PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+found AS (SELECT * FROM f WHERE k > 1 AND n >= 100),
+kept AS (
+  SELECT * FROM found p
+  WHERE NOT EXISTS (SELECT 1 FROM found q WHERE q.lang = p.lang AND q.k > p.k AND 100 * q.n >= 100 * p.n AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))),
+cuts AS (
+  SELECT lang, k, phrase, n AS a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.n AS l, y.n AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.k = c.k - c.cut AND y.phrase = c.rest JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op4_filter_urls": _URL_SQL, "op10_exact_top_k": _TOP_SQL, "op11_merkle_manifest": _MERKLE_SQL, "op12_phrases": _PHRASES_SQL}
