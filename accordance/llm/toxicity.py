@@ -18,8 +18,6 @@ of both kinds the model knows no words. Other columns of the documents aren't re
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
 from collections.abc import Container, Iterator
 from typing import NamedTuple
 
@@ -30,8 +28,8 @@ from pyspark.sql import functions as F
 
 from accordance.llm.storage import staged
 
-#: The labelled documents that a model is fitted on at most, and the different telling sentences of each.
-MAX_TRAIN, MAX_SENTENCES = 6000, 2000
+#: The labelled documents that a model is fitted on at most; of each, all different telling sentences.
+MAX_TRAIN = 6000
 _SENTENCE = re.compile(r"[.!?;:\n\r  。！？]+")
 _EDGES = " \t,\"'()[]{}<>|*_~`«»“”‘’¡¿…-#$%&"
 
@@ -90,30 +88,23 @@ def _telling_sentences(text: str, known: _Known) -> list[tuple[str, ...]]:
     return sorted(found - {()})
 
 
-def _some(found: list[tuple[str, ...]], most: int) -> list[tuple[str, ...]]:
-    """At most so many of the sentences, by their hash."""
-    return found if len(found) <= most else sorted(found, key=lambda s: (zlib.crc32(" ".join(s).encode()), s))[:most]
-
-
 def _counts(odds: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which sentences enter the noisy-or of their document in training; ``starts``: the first one of each document."""
     worst = np.repeat(np.maximum.reduceat(odds, starts), np.diff(np.append(starts, len(odds))))
     return (odds >= 0) | (odds == worst)
 
 
-def _fit(names: list[str], bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-5, lift: float = 2.0) -> Model:
+def _fit(names: list[str], bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-5, lift: float = 2.0) -> Model:
     """Adam on the mean log-loss of documents, toxic ones counted ``lift`` times.
 
-    ``bags``: for each document which of the ``names`` its sentences have that have any; the rest is one more, without.
+    ``bags``: for each document the ``names`` that its sentences have, one sentence's after another's, and how many each has, of
+    those sentences that have any; the rest is one more, without.
     """
     toxic = labels.astype(bool)
-    docs, sentence_of, column_of = array("q"), array("q"), array("q")
-    for d, found in enumerate(bags):
-        for columns in [[], *found]:
-            column_of.extend(columns)
-            sentence_of.extend([len(docs)] * len(columns))
-            docs.append(d)
-    docs, sentence_of, column_of = (np.array(x, dtype=np.int64) for x in (docs, sentence_of, column_of))
+    sizes = [np.append(0, size) for _, size in bags]
+    column_of = np.concatenate([columns for columns, _ in bags]).astype(np.int64)
+    docs = np.repeat(np.arange(len(bags)), [len(size) for size in sizes])
+    sentence_of = np.repeat(np.arange(len(docs)), np.concatenate(sizes))
     starts = np.searchsorted(docs, np.arange(len(labels)))
     n, weights, bias = len(labels), np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -147,12 +138,12 @@ def _telling(rows: DataFrame, n: int, n1: int, chi2: float) -> list[str]:
     return sorted(r.feature for r in counts.where((gap > 0) & (n * gap * gap / spread >= chi2)).select("feature").collect())
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2: float = 25.0, text: str = "text", max_sentences: int = MAX_SENTENCES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2: float = 25.0, text: str = "text") -> Model:
     """Fits a model to ``labels`` (doc_id, toxic) of rows that aren't held out.
 
-    At most ``max_train`` labelled documents are taken, by a hash of their ids, and of each at most
-    ``max_sentences`` different sentences with telling words, by a hash of these. Words are counted on the
-    executors, in whole texts; the driver gets the telling ones and, of each sentence, the numbers of those it has. Null labels and ids are left out, an id with several labels is toxic if one is.
+    At most ``max_train`` labelled documents are taken, by a hash of their ids, each whole. Words are counted on the executors;
+    the driver gets the telling ones and of each document, as packed numbers, which of them each different sentence with any
+    has. Null labels and ids are left out, an id with several labels is toxic if one is.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -170,11 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, chi2:
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         column, known = shared.value, _Known(shared.value)
         for part in batches:
-            found = [[[column[f] for f in s] for s in _some(_telling_sentences(t, known), max_sentences)] for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "found": found})
+            found = [[[column[f] for f in s] for s in _telling_sentences(t, known)] for t in part["text"]]
+            columns = [np.array([c for s in bag for c in s], np.int32).tobytes() for bag in found]
+            sizes = [np.array([len(s) for s in bag], np.int32).tobytes() for bag in found]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "columns": columns, "sizes": sizes})
 
-    got = sorted(rows.mapInPandas(numbered, "doc_id long, toxic int, found array<array<int>>").collect())
-    return _fit(names, [r.found for r in got], np.array([r.toxic for r in got]))
+    got = sorted(rows.mapInPandas(numbered, "doc_id long, toxic int, columns binary, sizes binary").collect(), key=lambda r: (r.doc_id, bytes(r.columns)))
+    return _fit(names, [(np.frombuffer(r.columns, np.int32), np.frombuffer(r.sizes, np.int32)) for r in got], np.array([r.toxic for r in got]))
 
 
 def _log_odds(found: list[tuple[str, ...]], model: Model) -> np.ndarray:
