@@ -11,8 +11,8 @@ Texts that agree in all coordinates of a band meet. Each meets its bucket's smal
 members of a leader's buckets are compared exactly, in blocks of bounded size. What a block doesn't
 connect to its leader is compared with all its other members, and if the leader has several blocks also
 with those of the others, a block of guests with a block at a time. So every two texts that share a bucket
-and aren't of one class yet are compared; a pair whose signatures agree in so few coordinates that a link has
-a chance of 1e-11 isn't counted out. Classes are the components of the links.
+and aren't of one class yet are compared; a pair is only left uncounted if its sizes, or how its shingles are spread over
+a few thousand places, can't give the similarity. Shingles are compared by 64 bits. Classes are the components of the links.
 
 Equal texts are one text from the start (by MD5); null texts are empty ones. Texts of one to four words
 have one shingle, their words. Texts without words have none and equal only the same text. Null ids are
@@ -38,9 +38,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
 K = BANDS * ROWS
 #: Bytes of shingles to a block of a leader's members.
-BLOCK_BYTES = 8 << 20
-#: Eight standard deviations below SIMILAR in the share of K coordinates that agree: fewer agree with a chance of 1e-11.
-_SKETCH_LEAST = SIMILAR - 8 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
+BLOCK_BYTES = 16 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,11 +137,6 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_text
     return out
 
 
-def _sketch(ranks: np.ndarray) -> np.ndarray:
-    """A byte for each coordinate."""
-    return (_mix(ranks.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-
-
 def _bands(ranks: np.ndarray) -> np.ndarray:
     bits, out = ranks.view(np.uint64).reshape(len(ranks), BANDS, ROWS), np.zeros((len(ranks), BANDS), np.uint64)
     for r in range(ROWS):
@@ -163,8 +156,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text, element, count = shingles(part["text"].tolist())
             ranks = signatures(text, element, count, len(part))
             size = np.bincount(text, count, minlength=len(part)).astype(np.int64)
-            bands, sketch = _bands(ranks), _sketch(ranks)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "size": size, "bands": [b if n else [] for b, n in zip(bands, size)], "sketch": [s.tobytes() for s in sketch]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "size": size, "bands": [b if n else [] for b, n in zip(_bands(ranks), size)]})
     _hashes.clear()
 
 
@@ -175,7 +167,7 @@ def _unit_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text, element, count = shingles(part["text"].tolist())
             first = np.repeat(np.cumsum(count) - count, count)
             units = _mix(np.repeat(element, count) + (np.arange(len(first)) - first).astype(np.uint64) * _ODD)
-            units, owner = (units >> np.uint64(32)).astype(np.uint32), np.repeat(text, count)
+            owner = np.repeat(text, count)
             cut = np.searchsorted(owner, np.arange(len(part) + 1))
             yield pd.DataFrame({"tid": part["tid"], "units": [np.sort(units[a:b]).tobytes() for a, b in zip(cut, cut[1:])]})
     _hashes.clear()
@@ -184,13 +176,18 @@ def _unit_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class _Block:
     """Texts to be compared, and the classes found so far."""
 
-    def __init__(self, tids: np.ndarray, units: list[bytes], sketches: list[bytes]):
-        self.tids, self.sets = tids, [np.frombuffer(u, np.uint32) for u in units]
+    def __init__(self, tids: np.ndarray, units: list[bytes]):
+        self.tids, self.sets = tids, [np.frombuffer(u, np.uint64) for u in units]
         self.sizes = np.array([len(s) for s in self.sets])
-        self.sketch = np.stack([np.frombuffer(s, np.uint8) for s in sketches])
         self.root, self.edges = np.arange(len(tids)), []
         self.ends = np.cumsum(self.sizes)
-        names, self.ids = np.unique(np.concatenate(self.sets), return_inverse=True)
+        every = np.concatenate(self.sets)
+        # how many units each text has at each of some places: two share at most the smaller numbers' sum
+        places = min(1 << 13, 1 << int(np.mean(self.sizes)).bit_length())
+        at = np.repeat(np.arange(len(tids)), self.sizes) * places + (every & np.uint64(places - 1)).astype(np.int64)
+        spread = np.bincount(at, minlength=len(tids) * places)
+        self.spread = spread.astype(np.uint16 if spread.max(initial=0) < 1 << 16 else np.uint32).reshape(len(tids), places)
+        names, self.ids = np.unique(every, return_inverse=True)
         self.own = np.zeros(len(names), dtype=bool)
 
     def shared(self, a: int, among: np.ndarray) -> np.ndarray:
@@ -205,13 +202,19 @@ class _Block:
         self.own[mine] = False
         return found
 
+    def most(self, a: int, among: np.ndarray) -> np.ndarray:
+        """How many units of text a each text of ``among`` can have."""
+        found, mine, step = np.zeros(len(among), dtype=np.int64), self.spread[a], max(1, (1 << 22) // self.spread.shape[1])
+        for k in range(0, len(among), step):
+            found[k : k + step] = np.minimum(self.spread[among[k : k + step]], mine).sum(axis=1, dtype=np.int64)
+        return found
+
     def compare(self, a: int, among: np.ndarray) -> None:
         """Links text a with the texts ``among`` that are similar and not yet of its class."""
         among = among[self.root[among] != self.root[a]]
         small = np.minimum(self.sizes[among], self.sizes[a])
-        among = among[small >= SIMILAR * np.maximum(self.sizes[among], self.sizes[a])]
-        alike = (self.sketch[among] == self.sketch[a]).mean(axis=1)
-        among = among[alike >= _SKETCH_LEAST]
+        among = among[small * (1 + 1e-9) >= SIMILAR * np.maximum(self.sizes[among], self.sizes[a])]
+        among = among[(1 + SIMILAR) * (1 + 1e-9) * self.most(a, among) >= SIMILAR * (self.sizes[among] + self.sizes[a])]
         both = self.shared(a, among)
         for b in among[both >= SIMILAR * (self.sizes[a] + self.sizes[among] - both)]:
             if self.root[a] != self.root[b]:
@@ -227,7 +230,7 @@ def _within(rows: pd.DataFrame) -> pd.DataFrame:
     """Links of a block; and, with b null, the texts that it doesn't connect to its leader."""
     rows = rows.drop_duplicates("tid").sort_values("tid")
     leader = rows["leader"].iloc[0]
-    block = _Block(rows["tid"].to_numpy(), rows["units"].tolist(), rows["sketch"].tolist())
+    block = _Block(rows["tid"].to_numpy(), rows["units"].tolist())
     everyone = np.arange(len(rows))
     first = int(np.flatnonzero(block.tids == leader)[0]) if (block.tids == leader).any() else 0
     block.compare(first, everyone)
@@ -245,7 +248,7 @@ def _across(key, rows: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
     if rows.empty or guests.empty:
         return made
     both = pd.concat([rows, guests])
-    block = _Block(both["tid"].to_numpy(), both["units"].tolist(), both["sketch"].tolist())
+    block = _Block(both["tid"].to_numpy(), both["units"].tolist())
     home = np.arange(len(rows))
     for a in range(len(rows), len(both)):
         block.compare(a, home)
@@ -253,7 +256,7 @@ def _across(key, rows: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bytes(size: Column) -> Column:
-    return F.sum(4 * size + 200)
+    return F.sum(8 * size + 200)
 
 
 def _home(blocks: Column) -> Column:
@@ -310,8 +313,8 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     The row kept of each class is the one with that doc_id; if several rows share it and the text, each is kept.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = staged(rows.mapInPandas(_sign, "doc_id long, key binary, size long, bands array<long>, sketch binary"), "signatures")
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    signed = staged(rows.mapInPandas(_sign, "doc_id long, key binary, size long, bands array<long>"), "signatures")
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     texts = staged(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     banded = texts.select("tid", F.explode("bands").alias("band"))
@@ -325,7 +328,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = members.select("tid").union(members.select("leader")).distinct().join(texts.select("tid", "key", "doc_id"), "tid").select("tid", _row_key().alias("row"))
     found = rows.select(_row_key().alias("row"), "text").join(wanted, "row").groupBy("row", "tid").agg(F.first("text").alias("text"))
     sets = found.select("tid", "text").mapInPandas(_unit_sets, "tid long, units binary")
-    sets = staged(sets.join(texts.select("tid", "sketch"), "tid"), "sets")
+    sets = staged(sets, "sets")
 
     full = dealt.join(sets, "tid")
     links = staged(full.groupBy("leader", "block").applyInPandas(_within, _EDGES), "links")

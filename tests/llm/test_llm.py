@@ -231,10 +231,10 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch):
 
 
 def test_near_duplicates_bound_both_sides_of_a_comparison(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_BYTES", 6000)
-    n, size = 200, 100  # texts of one leader, each 600 bytes, none connected to it: 20 blocks
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 12_000)
+    n, size = 200, 100  # texts of one leader, each 1000 bytes, none connected to it: 20 blocks
     texts = spark.range(1, n + 1).select(F.col("id").alias("tid"), F.lit(size).alias("size"))
-    sets = texts.select("tid", F.lit(b"1234" * size).alias("units"), F.lit(b"s").alias("sketch"))
+    sets = texts.select("tid", F.lit(b"12345678" * size).alias("units"))
     blocks = spark.createDataFrame([(0, 20)], "leader long, blocks int")
     full = texts.select(F.lit(0).cast("long").alias("leader"), "tid", F.lit(20).alias("blocks"), neardup._home(F.lit(20)).alias("block")).join(sets, "tid")
     homes, guests = neardup._pairs(full, texts.select(F.lit(0).cast("long").alias("leader"), "tid"), blocks, sets, texts)
@@ -245,6 +245,37 @@ def test_near_duplicates_bound_both_sides_of_a_comparison(spark, monkeypatch):
     assert met.select("home", "tid").union(within.select("home", "tid")).distinct().count() == met.count() + within.count() == n * n
 
 
+def test_near_duplicates_lose_no_pair_before_counting():
+    """What is ruled out by sizes and places is never similar, and the links are those of counting all pairs."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**63, int(rng.integers(1, 400)), dtype=np.uint64)
+        sets += [np.unique(np.append(base[rng.random(len(base)) < keep], rng.integers(0, 2**63, 3, dtype=np.uint64))) for keep in (1.0, 0.97, 0.92, 0.85, 0.5)]
+    block = neardup._Block(np.arange(len(sets)), [x.tobytes() for x in sets])
+    everyone = np.arange(len(sets))
+    for a in everyone:
+        both = block.shared(a, everyone)
+        assert both.tolist() == [len(np.intersect1d(sets[a], x)) for x in sets]
+        assert (block.most(a, everyone) >= both).all()
+        block.compare(a, everyone)
+    root = list(range(len(sets)))
+    for a in everyone:
+        for b in range(a):
+            n = len(np.intersect1d(sets[a], sets[b]))
+            if 10 * n >= 8 * (len(sets[a]) + len(sets[b]) - n):
+                root = [root[b] if r == root[a] else r for r in root]
+    same = lambda r: [[x == y for y in r] for x in r]
+    assert same(block.root.tolist()) == same(root)
+
+
+def test_shingles_equal_in_32_bits_are_told_apart():
+    units = [np.array([(k << 32 | 7 * k + j) for k in range(1, 21)], dtype=np.uint64) for j in (0, 1)]
+    block = neardup._Block(np.arange(2), [u.tobytes() for u in units])
+    block.compare(0, np.arange(2))
+    assert block.edges == [] and block.shared(0, np.arange(2)).tolist() == [20, 0]
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "en" if k % 3 else None, f"s{k % 5}") for k in range(300)], "doc_id long, text string, lang string, source string")
     levels = {"lang": F.col("lang"), "source": F.col("source")}
@@ -263,6 +294,36 @@ def test_urls(spark):
     assert got[3][2:] == (None, "allow") and got[4] == got[5] == ("", "", None, "allow") and got[6][3] == "block" and got[7][1:] == ("", None, "allow")
 
 
+def _by_rules(url, rules, default="allow"):
+    """host, path, rule and verdict by trying every rule."""
+    host, path = "", ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+        host, path = rest[:end].translate({k: k + 32 for k in range(65, 91)}), rest[end:].split("?")[0].split("#")[0]
+    fit = [r for r in rules if r.host and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fit, key=lambda r: (len(r.text), len(r.host), r.verdict == "block", r.text), default=None)
+    return host, path, best and best.text, best.verdict if best else default
+
+
+def test_urls_by_trie_join_and_brute_force(spark, monkeypatch):
+    """Rules and urls without a host among others, hosts with empty labels, very long urls, and columns of any name."""
+    rng = np.random.default_rng(21)
+    label = lambda: str(rng.choice(["a", "b", "com", "", "x-y"]))
+    host = lambda: ".".join(label() for _ in range(int(rng.integers(0, 4))))
+    path = lambda: "".join("/" + label() for _ in range(int(rng.integers(0, 4)))) + str(rng.choice(["", "/", "/b"]))
+    rules = [urls.Rule(str(rng.choice(["allow", "block"])), host() + path()) for _ in range(120)] + [urls.Rule("block", "/en/"), urls.Rule("block", "")]
+    texts = [f"http://{host()}{path()}" for _ in range(1500)] + ["http:///en/x", "http://a.", "x://.com/a", None, "", "://", "http://com" + "/a" * 3000, "http://" + "a." * 300 + "com/b"]
+    names = ["page_id", "url", "_found", "_all", "rows", "found", "best", "_row", "_host", "a.b"]
+    pages = spark.createDataFrame([(k, t, "f", "g", "h", "i", "j", "k", "l", "m") for k, t in enumerate(texts)], names)
+    want = [(k, t, "f", "g", "h", "i", "j", "k", "l", "m", *_by_rules(t, rules)) for k, t in enumerate(texts)]
+    for most in (1000, 10):
+        monkeypatch.setattr(urls, "MAX_BROADCAST_RULES", most)
+        found = urls.filter_urls(pages, rules)
+        assert found.columns == [*names, "host", "path", "rule", "verdict"]
+        assert sorted(map(tuple, found.collect())) == want
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no driver tables")
 def test_toxicity(spark):
     sf = str(SF.parent / "sf0.01")
@@ -273,6 +334,60 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.where("false"), labels).count() == 0
 
 
+def _plain_fit(n_names, bags, labels, rounds, rate=0.15, decay=1e-5, lift=2.0):
+    """The same training in loops: bags as lists of sentences."""
+    weights, bias, m, v = [0.0] * n_names, -5.0, [0.0] * (n_names + 1), [0.0] * (n_names + 1)
+    for step in range(1, rounds + 1):
+        grad = [decay * w for w in weights] + [0.0]
+        for found, toxic in zip(bags, labels):
+            each = [[], *found]
+            odds = [bias + sum(weights[c] for c in s) for s in each]
+            p = [1 / (1 + np.exp(-o)) if o >= 0 or o == max(odds) else 0.0 for o in odds]
+            clean = min(-1e-9, sum(np.log1p(-min(x, 1 - 1e-9)) for x in p))
+            pull = -lift * np.exp(clean) / (1 - np.exp(clean)) if toxic else 1.0
+            for s, x in zip(each, p):
+                for c in s:
+                    grad[c] += pull * x / len(labels)
+                grad[-1] += pull * x / len(labels)
+        for k, g in enumerate(grad):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            move = rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            if k < n_names:
+                weights[k] -= move
+            else:
+                bias -= move
+    return weights, bias
+
+
+def test_toxicity_is_fitted_as_in_plain_python():
+    rng = np.random.default_rng(6)
+    bags = [[sorted(rng.choice(7, int(rng.integers(1, 4)), replace=False).tolist()) for _ in range(int(rng.integers(0, 5)))] for _ in range(40)]
+    labels = np.array([int(any(3 in s or {1, 5} <= {*s} for s in bag)) for bag in bags])
+    packed = [(np.array([c for s in bag for c in s], np.int32), np.array([len(s) for s in bag], np.int32)) for bag in bags]
+    for rounds in (1, 7, 40):
+        model = toxicity._fit([f"f{k}" for k in range(7)], packed, labels, rounds=rounds)
+        weights, bias = _plain_fit(7, bags, labels, rounds)
+        assert np.allclose([model.weights[f"f{k}"] for k in range(7)], weights, atol=1e-8) and abs(model.bias - bias) < 1e-8
+
+
+def test_toxicity_learns_all_sentences_of_a_document(spark, monkeypatch):
+    """5000 different sentences with telling words in one labelled document; the toxic one is fitted like any other."""
+    marks = [f"mark{k:04d}x" for k in range(5000)]
+    long = ". ".join(f"{w} thing" for w in marks[:2500]) + ". you vile wretch. " + ". ".join(f"{w} thing" for w in marks[2500:])
+    texts = [f"a calm text about thing {k % 9}." + (" you vile wretch" if k % 4 == 0 else "") for k in range(200)]
+    docs = _docs(spark, [*texts, long])
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)] + [(200, 1)], "doc_id long, toxic int").where(~toxicity.held_out() | (F.col("doc_id") == 200))
+    seen, fit = [], toxicity._fit
+    monkeypatch.setattr(toxicity, "held_out", lambda doc_id="doc_id": F.lit(False))
+    monkeypatch.setattr(toxicity, "_telling", lambda rows, n, n1, chi2: sorted({*marks, "vile", "wretch"}))
+    monkeypatch.setattr(toxicity, "_fit", lambda names, bags, y: seen.append((names, bags)) or fit(names, bags, y))
+    model = toxicity.train(docs, labels)
+    names, bags = seen[0]
+    columns, sizes = max(bags, key=lambda b: len(b[1]))
+    assert len(sizes) == 5001 and sorted(names[c] for c in columns) == sorted(names)
+    assert model.weights["vile"] > 1
+
+
 def test_toxicity_of_odd_rows(spark):
     texts = [f"a calm text about thing {k % 9}. and more" if k % 4 else f"a calm text about thing {k % 9}. you vile wretch" for k in range(200)]
     docs = _docs(spark, [*texts, *ODD, *ODD, "vile wretch. " + "calm " * 40_000]).withColumn("toxic", F.lit("clash")).withColumn("score", F.lit(-1))
