@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordance.functions.values import hms_to_minutes, to_boolean, to_flag_text, with_normalized
+from accordance.sources.staging import stored
 
 # Paths that ground truth repair gives a type.
 FLAG_PATHS = ("oget_muskelaktivitet_rem.chin", "oget_muskelaktivitet_rem.tib", "oget_muskelaktivitet_rem.fds")
@@ -29,10 +30,16 @@ def parse(records: DataFrame, raw: str = "raw", fail_fast: bool = False) -> tupl
     Texts with a repeated key or NaN are no JSON here. Null texts are dead letters too. ``fail_fast``: the first text that
     is no JSON ends the job.
     """
-    parsed = records.withColumn("v", F.parse_json(F.col(raw)) if fail_fast else F.try_parse_json(F.col(raw)))
+    parsed = _parsed(records, raw, fail_fast)
+    return parsed.where("reason is null").drop(raw, "reason"), parsed.where("reason is not null").drop("v")
+
+
+def _parsed(records: DataFrame, raw: str, fail_fast: bool = False) -> DataFrame:
+    """``records`` with v, and with the reason why a text is no object; null for an object."""
+    v = F.parse_json(F.col(raw)) if fail_fast else F.try_parse_json(F.col(raw))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    reason = F.when(F.col(raw).isNull(), "no text").when(F.col("v").isNull(), "no JSON").otherwise("no object")
-    return parsed.where(is_object).drop(raw), parsed.where(~is_object).withColumn("reason", reason).drop("v")
+    reason = F.when(F.col(raw).isNull(), "no text").when(F.col("v").isNull(), "no JSON").when(~is_object, "no object")
+    return records.withColumn("v", v).withColumn("reason", reason)
 
 
 def with_context(dead: DataFrame, raw: str = "raw", lines: int = 2) -> DataFrame:
@@ -55,64 +62,138 @@ def with_context(dead: DataFrame, raw: str = "raw", lines: int = 2) -> DataFrame
     return dead.withColumn("_e", explain(F.col(raw))).select(*dead.columns, "_e.*")
 
 
-def nested(leaves: DataFrame, keys: list[str], raw: str = "raw", jtype: str = "jtype", depth: int = 4) -> DataFrame:
-    """keys and raw, the JSON text of each record, from its leaves (path, raw, jtype), as flatten gives them; keys of an object in order.
+#: What the type of a leaf is told by: its JSON is written as it stands, or in quotes.
+_PLAIN = "^(ARRAY|OBJECT|BOOLEAN|BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"
+#: Where a leaf is: at each level its place among the object's members, from 0, and its name.
+SEGMENTS = "array<struct<ordinal:int,key:string>>"
+#: Levels of objects that are opened before the rest is looked at.
+LEVELS = 4
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    return F.substring(F.to_json(F.array(text)), 2, F.length(F.to_json(F.array(text))) - 2)
+
+
+def json_value(raw: Column, jtype: Column) -> Column:
+    """The JSON of a leaf by its type, so that the text 123 and the number 123 stay apart."""
+    return F.when(raw.isNull() | (jtype == "VOID"), "null").when(jtype.rlike(_PLAIN), raw).otherwise(_quoted(raw))
+
+
+def _jtype(v: Column) -> Column:
+    """The type of a variant: that of a number in full, ARRAY, OBJECT, or OBJECT<> for an empty one."""
+    name = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    return F.when(name.startswith("ARRAY"), "ARRAY").when(name == "OBJECT<>", name).when(name.startswith("OBJECT"), "OBJECT").otherwise(name)
 
-    ``depth``: levels of names that a path has at most; what is deeper keeps its points. Objects without leaves aren't made.
+
+def members(text: Column) -> Column:
+    """The members of an object's JSON in their order: ordinal, key, raw (text, number or JSON; null for null) and jtype."""
+    raws, values = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
+    zipped = F.arrays_zip(F.map_keys(values).alias("key"), F.map_values(raws).alias("raw"), F.transform(F.map_values(values), _jtype).alias("jtype"))
+    return F.transform(zipped, lambda m, k: F.struct(k.alias("ordinal"), m["key"].alias("key"), m["raw"].alias("raw"), m["jtype"].alias("jtype")))
+
+
+def leaves(records: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """keys, segments, path, raw and jtype of every leaf of the objects in ``raw``, at any depth.
+
+    Arrays and empty objects are leaves; an empty record is one without segments. Segments tell the order of all members and
+    names with points apart; path joins the names by points. Other texts than objects, also null, have no leaves. Each round
+    opens LEVELS levels and writes what it finds; rounds go on with the objects that are left, until none is.
     """
-    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, F.length(F.to_json(F.array(c))) - 2)
-    plain = F.col(jtype).rlike("^(ARRAY|OBJECT|BOOLEAN|BIGINT|DECIMAL|DOUBLE|FLOAT|INT)")
-    value = F.when(F.col(raw).isNull() | (F.col(jtype) == "VOID"), "null").when(plain, F.col(raw)).otherwise(quoted(F.col(raw)))
-    rows = leaves.select(*keys, F.struct(F.split("path", r"\.", depth).alias("names"), value.alias("value")).alias("leaf"))
+    whole = F.try_parse_json(F.col(raw))
+    at = records.select(*keys, F.array().cast(SEGMENTS).alias("segments"), F.col(raw).alias("raw"), _jtype(whole).alias("jtype"))
+    at, found = at.where(F.startswith("jtype", F.lit("OBJECT"))), None
+    while True:
+        for _ in range(LEVELS):
+            inner = at.withColumn("_m", F.explode_outer(F.when(F.col("jtype") == "OBJECT", members(F.col("raw")))))
+            has = F.col("_m").isNotNull()
+            step = F.concat("segments", F.array(F.struct("_m.ordinal", "_m.key")))
+            at = inner.select(*keys, F.when(has, step).otherwise(F.col("segments")).alias("segments"), F.when(has, F.col("_m.raw")).otherwise(F.col("raw")).alias("raw"), F.when(has, F.col("_m.jtype")).otherwise(F.col("jtype")).alias("jtype"))
+        at = stored(at)
+        part = at.where("jtype <> 'OBJECT'")
+        found, at = part if found is None else found.unionByName(part), at.where("jtype = 'OBJECT'")
+        if at.isEmpty():
+            break
+    return found.withColumn("path", F.array_join(F.transform("segments", lambda s: s["key"]), "."))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """How many segments two leaves begin with alike; of either's own last one there is no question."""
+    most = F.least(F.size(a), F.size(b)) - 1
+    count = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(0), lambda n, k: F.when((n == k - 1) & F.get(a, k - 1).eqNullSafe(F.get(b, k - 1)), k).otherwise(n))
+    return F.when(most < 1, 0).otherwise(count)
+
+
+def nested(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and raw, the compact JSON of each record, from its leaves (segments or path, raw, jtype), at any depth.
+
+    With segments, as ``leaves`` gives them, members have their order, and empty objects and names with points are as they
+    were; with a path only, points part the names and members stand in the order of their names. Neighbours in the order
+    tell which objects end and begin between them, so a record is one sorted list of its leaves and nothing is nested.
+    """
+    by_path = F.transform(F.split("path", r"\."), lambda n: F.struct(F.lit(0).alias("ordinal"), n.alias("key")))
+    at = F.col("segments") if "segments" in leaves.columns else by_path
+    rows = leaves.select(*keys, F.struct(at.alias("at"), json_value(F.col("raw"), F.col("jtype")).alias("value")).alias("leaf"))
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("leaf")).alias("_all"))
 
-    def entries(found: Column, level: int) -> Column:
-        names = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["names"][level])))
-        return F.concat(F.lit("{"), F.array_join(F.transform(names, lambda name: member(found, name, level)), ","), F.lit("}"))
+    def piece(leaf: Column, k: Column) -> Column:
+        before = F.get("_all", k - 1)["at"]
+        common = F.when(k == 0, 0).otherwise(_shared(before, leaf["at"]))
+        ends = F.when(k == 0, "{").otherwise(F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - common), F.lit(",")))
+        names = F.transform(F.slice(leaf["at"], common + 1, F.size(leaf["at"]) - common), lambda s: F.concat(_quoted(s["key"]), F.lit(":")))
+        return F.concat(ends, F.array_join(names, "{"), leaf["value"])
 
-    def member(found: Column, name: Column, level: int) -> Column:
-        own = F.filter(found, lambda x: x["names"][level] == name)
-        leaf = F.filter(own, lambda x: F.size(x["names"]) == level + 1)
-        inner = entries(own, level + 1) if level + 1 < depth else F.lit("null")
-        return F.concat(quoted(name), F.lit(":"), F.when(F.size(leaf) > 0, leaf[0]["value"]).otherwise(inner))
+    last = F.size(F.element_at("_all", -1)["at"])
+    made = F.concat(F.array_join(F.transform("_all", piece), ""), F.repeat(F.lit("}"), last))
+    return rows.select(*keys, F.when(last == 0, F.element_at("_all", -1)["value"]).otherwise(made).alias("raw"))
 
-    return rows.groupBy(*keys).agg(F.collect_list("leaf").alias("_all")).select(*keys, entries(F.col("_all"), 0).alias("raw"))
 
+def repaired_records(records: DataFrame, keys: list[str], raw: str = "raw") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The repaired records as JSON (keys, raw), the log of changes, and the records that can't be read.
 
-def repaired_records(records: DataFrame, keys: list[str], raw: str = "raw", depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The repaired records as JSON (keys, raw), the log of changes, and the records that can't be read."""
-    good, bad = parse(records, raw)
-    repaired = repair(flatten(good, keys, depth))
-    made = nested(repaired.select(*keys, "path", F.col("new_raw").alias("raw"), F.col("new_jtype").alias("jtype")), keys, depth=depth + 1)
-    return made, change_log(repaired, keys), bad
+    Every record is in the first or the last. But for the repaired leaves, records keep their members, order and types.
+    """
+    parsed = _parsed(records, raw)
+    at = leaves(parsed.where("reason is null"), keys, raw)
+    pointed = F.exists("segments", lambda s: s["key"].contains("."))  # no name with a point is one of the repaired ones
+    repaired = repair(at.withColumn("path", F.when(~pointed, F.col("path"))))
+    made = nested(repaired.select(*keys, "segments", F.col("new_raw").alias("raw"), F.col("new_jtype").alias("jtype")), keys)
+    return made, change_log(repaired, keys), parsed.where("reason is not null").drop("v")
 
 
-def flatten(parsed: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
-    """keys, path (dotted), raw (the leaf's text) and jtype of every leaf of the objects in v.
+def flatten(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path (dotted), raw (the leaf's text) and jtype of every leaf of the objects in v, at any depth.
 
-    Arrays are leaves, with their JSON as text; empty objects have none. Objects deeper than ``depth`` are
-    leaves with a jtype of OBJECT. One pass over the records, all in the JVM.
+    Arrays are leaves, with their JSON as text; empty objects have none. Each round opens LEVELS levels in one pass, all in
+    the JVM, and writes what it finds; rounds go on with the objects that are left, until none is.
     """
     spark = parsed.sparkSession
     names = ", ".join(f"`{k}`" for k in keys)
-    at = parsed.selectExpr(*(f"`{k}`" for k in keys), "cast('' as string) as path", "v")
-    for _ in range(depth):
-        at = spark.sql(
-            f"""
-            select {names}, path, v, open, key, value from (
-              select *, coalesce(schema_of_variant(v) like 'OBJECT%', false) as open from {{at}}) as t,
-            lateral variant_explode_outer(case when open then v end)
-            """,
-            at=at,
-        )
-        at = at.where("not open or key is not null").selectExpr(
-            *(f"`{k}`" for k in keys),
-            "case when not open then path when path = '' then key else concat(path, '.', key) end as path",
-            "case when open then value else v end as v",
-        )
-    jtype = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
-    whole = jtype.rlike("^(ARRAY|OBJECT)")
-    text = F.when(jtype == "VOID", None).when(whole, F.to_json("v")).otherwise(F.expr("try_variant_get(v, '$', 'string')"))
-    return at.where(~jtype.isin("OBJECT<>")).select(*keys, "path", text.alias("raw"), F.when(jtype.startswith("ARRAY"), "ARRAY").when(jtype.startswith("OBJECT"), "OBJECT").otherwise(jtype).alias("jtype"))
+    own = [f"`{k}`" for k in keys]
+    at, found = parsed.selectExpr(*own, "cast('' as string) as path", "v"), None
+    while True:
+        for _ in range(LEVELS):
+            at = spark.sql(
+                f"""
+                select {names}, path, v, open, key, value from (
+                  select *, coalesce(schema_of_variant(v) like 'OBJECT%', false) as open from {{at}}) as t,
+                lateral variant_explode_outer(case when open then v end)
+                """,
+                at=at,
+            )
+            at = at.where("not open or key is not null").selectExpr(
+                *own,
+                "case when not open then path when path = '' then key else concat(path, '.', key) end as path",
+                "case when open then value else v end as v",
+            )
+        jtype = _jtype(F.col("v"))
+        text = F.when(jtype == "VOID", None).when(jtype.rlike("^(ARRAY|OBJECT)"), F.to_json("v")).otherwise(F.expr("try_variant_get(v, '$', 'string')"))
+        at = stored(at.select(*keys, "path", text.alias("raw"), jtype.alias("jtype")).where("jtype <> 'OBJECT<>'"))
+        part = at.where("jtype <> 'OBJECT'")
+        found, at = part if found is None else found.unionByName(part), at.where("jtype = 'OBJECT'")
+        if at.isEmpty():
+            return found
+        at = at.select(*keys, "path", F.parse_json("raw").alias("v"))
 
 
 def with_values(leaves: DataFrame) -> DataFrame:
@@ -120,10 +201,10 @@ def with_values(leaves: DataFrame) -> DataFrame:
     return with_normalized(leaves, "raw", "jtype").drop("raw", "jtype")
 
 
-def annotations(records: DataFrame, keys: list[str], raw: str = "raw", depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def annotations(records: DataFrame, keys: list[str], raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Records as a long table of normalised values, and the records that can't be read."""
     good, bad = parse(records, raw)
-    return with_values(flatten(good, keys, depth)), bad
+    return with_values(flatten(good, keys)), bad
 
 
 def _kind(jtype: Column) -> Column:
@@ -163,14 +244,18 @@ def change_counts(repaired: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stamped(records: DataFrame, name: Column, author: Column, raw: str = "raw") -> DataFrame:
-    """``records`` with the file's name and the author written into the record's metadata; null without such a section.
+    """``records`` with the file's name and the author written into the record's metadata; null where that section is no object.
 
-    The JSON is rebuilt as a map of sections, so leaves keep their text.
+    Members keep their order and types; the two take the place of those that are there, else they come last.
     """
-    sections = F.from_json(F.col(raw), "map<string,string>")
-    meta = F.from_json(F.try_element_at(sections, F.lit("metadata")), "map<string,string>")
-    fresh = F.map_concat(F.map_filter(meta, lambda k, v: ~k.isin("filnavn", "udfyldt_af")), F.create_map(F.lit("filnavn"), name, F.lit("udfyldt_af"), author))
-    rest = F.map_filter(sections, lambda k, v: k != "metadata")
-    body = F.transform(F.map_entries(rest), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.coalesce(F.when(e["value"].rlike(r"^\s*[\[{]|^-?[0-9.eE+]+$|^(true|false)$"), e["value"]).otherwise(F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)), F.lit("null"))))
-    made = F.concat(F.lit('{"metadata":'), F.to_json(fresh, {"ignoreNullFields": "false"}), F.when(F.size(body) > 0, F.lit(",")).otherwise(F.lit("")), F.array_join(body, ","), F.lit("}"))
-    return records.withColumn(raw, F.when(meta.isNotNull(), made))
+    fresh = F.array(*(F.struct(F.lit(key).alias("key"), F.coalesce(_quoted(value), F.lit("null")).alias("value")) for key, value in (("filnavn", name), ("udfyldt_af", author))))
+    pair = lambda m: F.struct(m["key"].alias("key"), json_value(m["raw"], m["jtype"]).alias("value"))
+    written = lambda pairs: F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(_quoted(p["key"]), F.lit(":"), p["value"])), ","), F.lit("}"))
+    given = F.map_from_entries(fresh)
+    sections = members(F.when(F.try_parse_json(F.col(raw)).isNotNull(), F.col(raw)))
+    meta = F.filter(sections, lambda m: (m["key"] == "metadata") & m["jtype"].startswith("OBJECT"))
+    old = members(F.get(meta, F.lit(0))["raw"])
+    kept = F.transform(F.transform(old, pair), lambda p: F.struct(p["key"].alias("key"), F.coalesce(F.try_element_at(given, p["key"]), p["value"]).alias("value")))
+    new = F.concat(kept, F.filter(fresh, lambda p: ~F.array_contains(F.transform(old, lambda m: m["key"]), p["key"])))
+    body = F.transform(F.transform(sections, pair), lambda p: F.struct(p["key"].alias("key"), F.when(p["key"] == "metadata", written(new)).otherwise(p["value"]).alias("value")))
+    return records.withColumn(raw, F.when(F.size(meta) > 0, written(body)))
