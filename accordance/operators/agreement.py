@@ -1,24 +1,35 @@
 """Agreement among several raters: Krippendorff's alpha, coverage, and pairwise match rates.
 
-Ratings are a long table with a unit, a rater and a value; ``by`` names the columns of separate sets
-(trials, pairs of raters). Alpha uses closed forms over counts and moments, so no pairs of values are made
-and a unit with very many values is aggregated before it is shuffled.
+Ratings are a long table with a unit, a rater and a value; ``by`` names the columns of separate sets (trials, pairs of
+raters), in which null is a key like any other. Alpha uses closed forms over counts and moments, and matches of pairs are
+counted from how often each value occurs, so no pairs of values are made and a unit with very many values is aggregated
+before it is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordance.functions.fields import field_type, is_skipped
-from accordance.functions.values import lenient_number, token_f1, tolerance_match
+from accordance.functions.values import lenient_number, token_f1, tokens, tolerance_match
 from accordance.operators.match import complete_trials
 from accordance.operators.stats import mean_of_rounded
+from accordance.sources.staging import stored
 
 #: Complete units from which on alpha counts as reliable.
 MIN_UNITS = 10
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which a null key meets a null key; the keys come once."""
+    other = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def _alpha(observed: Column, expected: Column, n: Column) -> Column:
     """1 - (observed / n) / (expected / (n (n - 1))); null if all values are the same or there are none."""
     return 1 - F.try_divide(F.try_divide(observed, n), F.try_divide(expected, n * (n - 1)))
@@ -42,11 +53,16 @@ def alpha_interval(ratings: DataFrame, unit: str, value: str, by: tuple[str, ...
     """As alpha_nominal, values being apart by the square of their difference."""
     x = F.col(value).cast("double")
     units = ratings.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, unit).agg(F.count("*").alias("m"), F.avg(x).alias("mean"), F.var_pop(x).alias("var")).where("m > 1")
+    return _interval(units, by)
+
+
+def _interval(units: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, n_values and alpha from m (values, at least two), mean and var of each unit."""
     keyed = units.withColumn("_whole", F.lit(1))
     keys = ["_whole", *by]
     grand = keyed.groupBy(*keys).agg((F.sum(F.col("m") * F.col("mean")) / F.sum("m")).alias("center"))
     # moments about the set's mean, so that large values far from zero don't cancel
-    both = keyed.join(grand, keys)
+    both = _join(keyed, grand, keys)
     off = F.col("mean") - F.col("center")
     sums = both.groupBy(*keys).agg(
         F.sum("m").alias("n_values"),
@@ -73,17 +89,17 @@ def coverage(ratings: DataFrame, unit: str, rater: str, value: str, by: tuple[st
     each = ratings.groupBy(*by, unit, rater).agg((F.count(value) > 0).cast("int").alias("has")).withColumn("_set", F.lit(1))
     filled = each.groupBy("_set", *by, rater).agg(F.sum("has").alias("n_filled"))
     units = each.select("_set", *by, unit).distinct().groupBy("_set", *by).agg(F.count("*").alias("n_units"))
-    return filled.join(units, ["_set", *by]).select(*by, rater, "n_filled", "n_units", F.round(F.try_divide(100 * F.col("n_filled"), F.col("n_units")), 1).alias("percent"))
+    return _join(filled, units, ["_set", *by]).select(*by, rater, "n_filled", "n_units", F.round(F.try_divide(100 * F.col("n_filled"), F.col("n_units")), 1).alias("percent"))
 
 
 def rater_pairs(ratings: DataFrame, unit: str, rater: str, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Every two raters of a unit (a_ and b_ columns, the smaller rater first).
 
-    A join of the ratings with themselves by unit, so that no unit's pairs are held in one row.
+    A join of the ratings with themselves by unit, for what needs the pairs themselves; pairwise_fields counts without them.
     """
     keys = [*by, unit]
     sides = [ratings.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in (rater, *columns))) for s in "ab"]
-    return sides[0].join(sides[1], keys).where(F.col(f"a_{rater}") < F.col(f"b_{rater}"))
+    return _join(*sides, keys).where(F.col(f"a_{rater}") < F.col(f"b_{rater}"))
 
 
 def rating_number(kind: Column, num: Column, txt: Column) -> Column:
@@ -101,8 +117,9 @@ def typed(ann: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def densified(ann: DataFrame, raters: DataFrame, rater: str, by: tuple[str, ...] = ()) -> DataFrame:
     """A row for every path of a set and every of its ``raters`` (by, rater); null values where one has none."""
-    grid = ann.select(*by, "path", "field_type").distinct().withColumn("_set", F.lit(1)).join(raters.select(*by, rater).distinct().withColumn("_set", F.lit(1)), ["_set", *by]).drop("_set")
-    out = grid.join(ann.drop("field_type"), [*by, "path", rater], "left")
+    grid = ann.select(*by, "path", "field_type").distinct().withColumn("_set", F.lit(1))
+    grid = _join(grid, raters.select(*by, rater).distinct().withColumn("_set", F.lit(1)), ["_set", *by]).drop("_set")
+    out = _join(grid, ann.drop("field_type"), [*by, "path", rater], "left")
     return out.withColumn("kind", F.coalesce("kind", F.lit("null")))
 
 
@@ -113,31 +130,95 @@ def _value(kind: str = "kind", num: str = "num", txt: str = "txt", numeric: Colu
     return number, F.when(~numeric & (F.col(kind) != "null"), F.lower(F.trim(F.col(txt))))
 
 
-def pairwise_fields(ann: DataFrame, rater: str, by: tuple[str, ...] = (), tolerance: float = 0.05) -> DataFrame:
+def _lowest_near(y: Column, tolerance: float) -> Column:
+    """The smallest number that tolerance_match finds near ``y`` (above 0), to the last bit: its formula is tried on the numbers around."""
+    start = y * (1 - tolerance)
+    around = F.transform(F.sequence(F.lit(-16), F.lit(16)), lambda j: start + j * (start * 2.0**-53))
+    return F.array_min(F.filter(around, lambda x: (y - x) / y <= tolerance))
+
+
+def _near_pairs(values: DataFrame, unit: list[str], tolerance: float) -> DataFrame:
+    """unit, and near: pairs of two different values (v, n times) of one sign of a unit that are near each other.
+
+    In the order of size, what is near a value and smaller than it is an unbroken run up to it. Values are dealt to buckets
+    as wide as the tolerance, so the run lies in the value's bucket and the one below; running sums of n over a bucket and a
+    copy of the one below, at the value and at the run's lower end, give its pairs. So a unit of any number of values is
+    sorted in parts, and the rows are three for each different value.
+    """
+    size = F.abs("v")
+    bucket = F.floor(F.ln("w") / (-math.log1p(-tolerance) * (1 + 1e-9)))
+    cells = values.where((F.col("v") != 0) & F.col("v").isNotNull()).select(*unit, (F.col("v") > 0).alias("_up"), size.alias("w"), "n").withColumn("_b", bucket)
+    none, own = F.lit(0).cast("long"), F.col("n")
+    event = lambda at, w, n, weight: F.struct(at.alias("_b"), w.alias("w"), n.alias("n"), weight.alias("weight"))
+    low = _lowest_near(F.col("w"), tolerance)
+    events = cells.select(*unit, "_up", F.inline(F.array(event(F.col("_b"), F.col("w"), own, own), event(F.col("_b") + 1, F.col("w"), own, none), event(F.col("_b"), low, none, -own))))
+    order = Window.partitionBy(*unit, "_up", "_b").orderBy("w", "n").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(order), F.lit(0))  # what stands at a run's lower end comes after it, since its n is 0
+    return events.withColumn("_below", below).groupBy(*unit).agg(F.sum(F.col("weight") * F.col("_below")).alias("near"))
+
+
+def _shared_words(texts: DataFrame, unit: list[str]) -> DataFrame:
+    """unit, and f1: the sum of all pairs' F1 between texts (t, n times) that have words.
+
+    F1 is twice the common words by the sum of both texts' words. So each word adds 2 / (a + b) to each pair that has it,
+    and texts need only be known by how many words they have.
+    """
+    words = texts.withColumn("_words", tokens(F.col("t"))).select(*unit, "n", F.size("_words").alias("_size"), F.explode("_words").alias("_word"))
+    sizes = words.groupBy(*unit, "_word", "_size").agg(F.sum("n").alias("n"))
+    each = sizes.groupBy(*unit, "_word").agg(F.array_sort(F.collect_list(F.struct("_size", "n"))).alias("_all"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def with_larger(x: Column, k: Column) -> Column:
+        others = F.transform(F.slice("_all", k + 2, F.size("_all")), lambda y: x["n"] * y["n"] * 2.0 / (x["_size"] + y["_size"]))
+        return x["n"] * (x["n"] - 1) / 2.0 / x["_size"] + total(others)
+
+    return each.select(*unit, total(F.transform("_all", with_larger)).alias("f1")).groupBy(*unit).agg(F.sum("f1").alias("f1"))
+
+
+def pairwise_fields(ann: DataFrame, rater: str, by: tuple[str, ...] = (), tolerance: float = 0.05, raters: DataFrame | None = None) -> DataFrame:
     """For each field, over all pairs of raters that don't both miss it: n_pairs, n_exact, n_tolerance, f1_sum and mean_f1.
 
-    ``ann`` is densified. Numeric fields are compared by rating_number; a value that isn't readable is missing. A value
-    against none is a mismatch. exact_match and tolerance_match: if all pairs match; null without pairs.
+    ``ann``: typed, a row for each rater and field. A rater that has no row of a field misses it: either ``ann`` is densified,
+    or ``raters`` are the sets' raters (by, rater), which saves making those rows. Numeric fields are compared by
+    rating_number; a value that isn't readable is missing. A value against none is a mismatch. exact_match and
+    tolerance_match: if all pairs match. Fields without pairs have no row. ``tolerance``: at most a half.
+
+    No pairs are made: see _near_pairs and _shared_words; exact matches are the pairs among equal values.
     """
+    if not 0 <= tolerance <= 0.5:
+        raise ValueError("a tolerance from 0 to 0.5")
     number, image = _value()
-    rows = ann.select(*by, "path", "field_type", rater, number.alias("v"), image.alias("t"), F.when(F.col("kind") != "null", F.col("txt")).alias("txt"))
-    pairs = rater_pairs(rows, "path", rater, ["v", "t", "txt"], (*by, "field_type"))
+    unit = [*by, "path", "field_type"]
     numeric, free = F.col("field_type") == "numeric", F.col("field_type") == "free_text"
-    both_missing = F.when(numeric, F.col("a_v").isNull() & F.col("b_v").isNull()).otherwise(F.col("a_t").isNull() & F.col("b_t").isNull())
-    pairs = pairs.where(~both_missing)
-    exact = F.coalesce(F.when(numeric, F.col("a_v") == F.col("b_v")).otherwise(F.col("a_t") == F.col("b_t")), F.lit(False))
-    near = F.when(numeric, F.coalesce(tolerance_match(F.col("a_v"), F.col("b_v"), tolerance), F.lit(False)))
-    f1 = F.when(free, token_f1(F.col("a_txt"), F.col("b_txt"))["f1"])
-    fields = pairs.select(*by, "path", "field_type", exact.alias("exact"), near.alias("near"), f1.alias("f1")).groupBy(*by, "path", "field_type")
-    return fields.agg(
-        F.count("*").alias("n_pairs"),
-        F.count_if("exact").alias("n_exact"),
-        F.count_if("near").alias("n_tolerance"),
-        F.every("exact").alias("exact_match"),
-        F.every("near").alias("tolerance_match"),
-        F.sum("f1").alias("f1_sum"),
-        F.round(F.avg("f1"), 3).alias("mean_f1"),
-    )
+    txt = F.when(F.col("kind") != "null", F.col("txt"))
+    cells = ann.select(*unit, number.alias("v"), image.alias("t"), (free & (F.coalesce(txt, F.lit("")) == "")).alias("empty")).groupBy(*unit, "v", "t", "empty").agg(F.count("*").alias("n"))
+    missing = F.when(numeric, F.col("v").isNull()).otherwise(F.col("t").isNull())
+    none, no_f1 = F.lit(0).cast("long"), F.lit(0.0)
+    own = lambda when: F.when(when, F.col("n")).otherwise(none)
+    equal = F.when(missing, none).otherwise(F.expr("n * (n - 1) div 2"))
+    sums = cells.select(
+        *unit, F.col("n").alias("m"), own(missing).alias("z"), own(missing | F.col("empty")).alias("blank"), own(free & (F.col("t") == "") & ~F.col("empty")).alias("white"), equal.alias("exact"), none.alias("near"),
+        own(F.col("v") == 0).alias("zero"), own((F.col("v") != 0) & (F.abs("v") <= tolerance)).alias("small"), no_f1.alias("f1"),
+    )
+    nothing = {"m": none, "z": none, "blank": none, "white": none, "exact": none, "near": none, "zero": none, "small": none, "f1": no_f1}
+    more = lambda df, name: df.select(*unit, *(F.col(c).alias(c) if c == name else x.alias(c) for c, x in nothing.items()))
+    if tolerance:
+        sums = sums.unionByName(more(_near_pairs(cells.where(numeric), unit, tolerance), "near"))
+    sums = sums.unionByName(more(_shared_words(cells.where(free & ~F.col("empty")), unit), "f1"))
+    units = sums.groupBy(*unit).agg(*(F.sum(c).alias(c) for c in nothing))
+    if raters is not None:
+        counts = raters.select(*by, rater).distinct().groupBy(F.lit(1).alias("_set"), *by).agg(F.count("*").alias("_raters"))
+        units = _join(units.withColumn("_set", F.lit(1)), counts, ["_set", *by]).drop("_set")
+        units = units.withColumns({"z": F.col("z") + F.col("_raters") - F.col("m"), "blank": F.col("blank") + F.col("_raters") - F.col("m"), "m": F.col("_raters")})
+    pairs = F.expr("m * (m - 1) div 2 - z * (z - 1) div 2")
+    units = units.withColumn("exact", F.col("exact") + (F.col("blank") - F.col("z")) * F.col("white"))  # an empty text equals one of spaces
+    near = F.when(numeric, F.col("exact") + F.col("near") + F.col("zero") * F.col("small")).otherwise(none)
+    f1 = F.when(free, F.col("f1") + F.expr("blank * (blank - 1) div 2 - z * (z - 1) div 2"))  # a missing text and an empty one agree
+    found = units.select(*unit, pairs.alias("n_pairs"), F.col("exact").alias("n_exact"), near.alias("n_tolerance"), f1.alias("f1_sum")).where("n_pairs > 0")
+    return found.select(
+        *unit, "n_pairs", "n_exact", "n_tolerance", (F.col("n_exact") == F.col("n_pairs")).alias("exact_match"),
+        F.when(numeric, F.col("n_tolerance") == F.col("n_pairs")).alias("tolerance_match"), "f1_sum", F.round(F.col("f1_sum") / F.col("n_pairs"), 3).alias("mean_f1"),
+    )
 
 
 def pairwise_summary(fields: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -170,7 +251,7 @@ def alpha_report(ann: DataFrame, n_raters: int | Column | None = None, by: tuple
         keys = ("_set", *by)
         alpha = (alpha_nominal if level == "nominal" else alpha_interval)(rows, "path", "_v", keys)
         counts = unit_counts(rows, "path", "_v", n_raters, keys)
-        part = counts.join(alpha, list(keys), "left").select(*by, F.col("_set").alias("level"), F.round("alpha", 3).alias("alpha"), "n_complete", "n_empty", "n_partial", "reliable")
+        part = _join(counts, alpha, list(keys), "left").select(*by, F.col("_set").alias("level"), F.round("alpha", 3).alias("alpha"), "n_complete", "n_empty", "n_partial", "reliable")
         out = part if out is None else out.union(part)
     return out
 
@@ -183,31 +264,93 @@ def alpha_text(alpha: Column, reliable: Column) -> Column:
 def file_pairs(ann: DataFrame, rater: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``ann`` once for each pair of a set's raters that its row belongs to, with scope (``a vs b``).
 
-    Field types must be set before: those of the whole set hold for its pairs.
+    Field types must be set before: those of the whole set hold for its pairs. ``report`` needs no such copies.
     """
     raters = ann.select(*by, rater).distinct().withColumn("_set", F.lit(1))
     pairs = rater_pairs(raters, "_set", rater, [], by).select(*by, F.concat_ws(" vs ", f"a_{rater}", f"b_{rater}").alias("scope"), F.explode(F.array(f"a_{rater}", f"b_{rater}")).alias(rater))
-    return ann.join(pairs, [*by, rater])
+    return _join(ann, pairs, [*by, rater])
+
+
+def wide(ann: DataFrame, rater: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, path, field_type and cells: of every rater of the set, in order, the rater, kind, num, txt, number (v) and text (t);
+    kind is null for one that has no row. Of typed ratings. A rater that comes twice counts with its largest text."""
+    unit = [*by, "path", "field_type"]
+    number, image = _value()
+    once = ann.select(*unit, rater, F.struct(F.col("txt"), F.col("kind"), F.col("num"), number.alias("v"), image.alias("t")).alias("_c")).groupBy(*unit, rater).agg(F.max("_c").alias("_c"))
+    have = once.groupBy(*unit).agg(F.map_from_entries(F.collect_list(F.struct(rater, "_c"))).alias("_have")).withColumn("_set", F.lit(1))
+    raters = ann.select(*by, rater).distinct().groupBy(F.lit(1).alias("_set"), *by).agg(F.array_sort(F.collect_list(rater)).alias("_raters"))
+
+    def cell(name: Column) -> Column:
+        c = F.try_element_at("_have", name)
+        return F.struct(name.alias(rater), F.coalesce(c["kind"], F.lit("null")).alias("kind"), c["num"].alias("num"), c["txt"].alias("txt"), c["v"].alias("v"), c["t"].alias("t"))
+
+    return _join(have, raters, ["_set", *by]).select(*unit, F.transform("_raters", cell).alias("cells"))
+
+
+def _pair_fields(pairs: DataFrame, keys: tuple[str, ...], tolerance: float = 0.05) -> DataFrame:
+    """As pairwise_fields, of rows that are one pair each (a and b, cells of wide)."""
+    numeric, free = F.col("field_type") == "numeric", F.col("field_type") == "free_text"
+    a, b = F.col("a"), F.col("b")
+    missing = F.when(numeric, a["v"].isNull() & b["v"].isNull()).otherwise(a["t"].isNull() & b["t"].isNull())
+    exact = F.coalesce(F.when(numeric, a["v"] == b["v"]).otherwise(a["t"] == b["t"]), F.lit(False))
+    near = F.when(numeric, F.coalesce(tolerance_match(a["v"], b["v"], tolerance), F.lit(False)))
+    txt = lambda c: F.when(c["kind"] != "null", c["txt"])
+    f1 = F.when(free, token_f1(txt(a), txt(b))["f1"])
+    flag = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    return pairs.where(~missing).select(
+        *keys, "path", "field_type", F.lit(1).cast("long").alias("n_pairs"), flag(exact).alias("n_exact"), flag(near).alias("n_tolerance"),
+        exact.alias("exact_match"), near.alias("tolerance_match"), f1.alias("f1_sum"), F.round(f1, 3).alias("mean_f1"),
+    )
+
+
+def _pair_alphas(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """As alpha_report, of rows that are one pair each. Units have two values, so sums over rows are all that alpha needs."""
+    parts = []
+    for level, kind, c in (("nominal", "nominal", "t"), ("interval", "numeric", "v")):
+        rows = pairs.where(F.col("field_type") == kind).select(*keys, F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b"))
+        has = F.col("a").isNotNull().cast("int") + F.col("b").isNotNull().cast("int")
+        counts = rows.groupBy(*keys).agg(F.count_if(has == 2).alias("n_complete"), F.count_if(has == 0).alias("n_empty"), F.count_if(has == 1).alias("n_partial"))
+        full = rows.where(has == 2)
+        if level == "nominal":
+            values = full.select(*keys, (F.col("a") != F.col("b")).cast("long").alias("d"), F.explode(F.array("a", "b")).alias("value")).groupBy(*keys, "value").agg(F.count("*").alias("n_k"), F.sum("d").alias("d"))
+            sums = values.groupBy(*keys).agg(F.sum("n_k").cast("double").alias("n"), F.sum("d").alias("observed"), F.sum(F.col("n_k").cast("double") * F.col("n_k")).alias("same"))
+            alpha = sums.select(*keys, _alpha(F.col("observed"), F.col("n") * F.col("n") - F.col("same"), F.col("n")).alias("alpha"))
+        else:
+            half = (F.col("a") - F.col("b")) / 2
+            alpha = _interval(full.select(*keys, F.lit(2).alias("m"), ((F.col("a") + F.col("b")) / 2).alias("mean"), (half * half).alias("var")), keys).drop("n_values")
+        part = _join(counts, alpha, list(keys), "left")
+        parts.append(part.select(*keys, F.lit(level).alias("level"), F.round("alpha", 3).alias("alpha"), "n_complete", "n_empty", "n_partial", (F.col("n_complete") >= MIN_UNITS).alias("reliable")))
+    return parts[0].unionByName(parts[1])
 
 
 def report(ann: DataFrame, rater: str, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The agreement of all raters of a set, and of each two of them: tables by ``by`` and scope (``all`` or ``a vs b``).
 
     ``ann``: by, rater, path, kind, num, txt. coverage, alpha, fields, values and summary; field types and paths are those
-    of the whole set throughout.
+    of the whole set throughout. The raters' values of a field are gathered in one row and written once; the pairs of a field
+    are made in its row and summed up where they are, so ratings are shuffled once, however many pairs there are. A set's
+    raters are as few as fit a row; pairwise_fields and alpha_report alone have no such bound.
     """
-    of_set = typed(ann, by)
-    dense = densified(of_set, of_set, rater, by)
-    rows = dense.withColumn("scope", F.lit("all")).unionByName(file_pairs(dense, rater, by))
     keys = (*by, "scope")
+    fields = stored(wide(typed(ann, by), rater, by))
+    every = fields.select(*by, "path", "field_type", F.inline("cells")).withColumn("scope", F.lit("all"))
+    two = F.flatten(F.transform("cells", lambda a, k: F.transform(F.slice("cells", k + 2, F.size("cells")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = fields.select(*by, "path", "field_type", F.inline(two)).withColumn("scope", F.concat_ws(" vs ", f"a.{rater}", f"b.{rater}"))
+
     value = F.when(F.col("kind") != "null", F.coalesce("txt", F.col("num").cast("string")))
-    fields = pairwise_fields(rows, rater, keys)
+    covered = coverage(every.withColumn("_v", value), "path", rater, "_v", keys)
+    counts = covered.withColumn("_set", F.lit(1)).withColumn("_n", F.struct(rater, "n_filled", "n_units", "percent"))
+    of_two = rater_pairs(counts, "_set", rater, ["_n"], by).select(*by, F.concat_ws(" vs ", f"a_{rater}", f"b_{rater}").alias("scope"), F.inline(F.array("a__n", "b__n")))
+
+    entry = lambda c: F.struct(c[rater].alias("rater"), F.when(c["kind"] != "null", c["txt"]).alias("txt"))
+    shown = lambda df, cells: df.select(*keys, "path", "field_type", F.map_from_entries(F.transform(cells, entry)).alias("values"))
+    matches = pairwise_fields(every, rater, keys).unionByName(_pair_fields(pairs, keys))
     return {
-        "coverage": coverage(rows.withColumn("_v", value), "path", rater, "_v", keys),
-        "alpha": alpha_report(rows, None, keys),
-        "fields": fields,
-        "values": values_by_rater(rows, rater, keys),
-        "summary": pairwise_summary(fields, keys),
+        "coverage": covered.unionByName(of_two),
+        "alpha": alpha_report(every, None, keys).unionByName(_pair_alphas(pairs, keys)),
+        "fields": matches,
+        "values": shown(fields.withColumn("scope", F.lit("all")), F.col("cells")).unionByName(shown(pairs, F.array("a", "b"))),
+        "summary": pairwise_summary(matches, keys),
     }
 
 

@@ -65,6 +65,11 @@ def _typed(spark, sf, ann: str = _RATED) -> DataFrame:
     return agreement.typed(_sql(spark, sf, ann, "orders"), ("trial",))
 
 
+def _rater_fields(spark, sf) -> DataFrame:
+    rows = _typed(spark, sf)
+    return agreement.pairwise_fields(rows, "rater", ("trial",), raters=rows)
+
+
 def _dense(spark, sf, ann: str = _RATED) -> DataFrame:
     rows = _typed(spark, sf, ann)
     return agreement.densified(rows, rows, "rater", ("trial",))
@@ -83,13 +88,13 @@ def rater_values(spark, sf):
 
 @_query(f"{_FIELDS} select * exclude (f1_avg) replace (round(f1_sum, 6)::double as f1_sum), round(f1_avg, 3)::double as mean_f1 from f")
 def rater_fields(spark, sf):
-    return agreement.pairwise_fields(_dense(spark, sf), "rater", ("trial",)).withColumn("f1_sum", F.round("f1_sum", 6))
+    return _rater_fields(spark, sf).withColumn("f1_sum", F.round("f1_sum", 6))
 
 
 @_query(f"""{_FIELDS} select field_type, sum(n_pairs)::bigint as n_pairs, round(100 * sum(n_exact) / sum(n_pairs), 1)::double as exact_percent, case when field_type = 'numeric' then round(100 * sum(n_tolerance) / sum(n_pairs), 1)::double end as tolerance_percent,
   case when field_type = 'free_text' then round(sum(f1_sum) / sum(n_pairs), 3)::double end as mean_f1 from f group by field_type""")
 def rater_summary(spark, sf):
-    return agreement.pairwise_summary(agreement.pairwise_fields(_dense(spark, sf), "rater", ("trial",)))
+    return agreement.pairwise_summary(_rater_fields(spark, sf))
 
 
 @_query(f"with {_TYPED.format(ann=_RATED)} select trial, path, string_agg(rater::varchar || '=' || coalesce(case when kind <> 'null' then txt end, '?'), ';' order by rater) as by_rater from d group by trial, path")
