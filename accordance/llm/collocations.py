@@ -1,18 +1,22 @@
 """Phrases whose words stand together more often than chance has it, mined level by level.
 
 The first pass over the texts counts words, each later one phrases of one more word. A phrase is counted only where the two
-phrases of one word less that overlap in it are frequent, which a pass knows from a broadcast bit map of the level before;
-what the map lets through by chance is counted too and dropped for its count, so the map's size, which is bounded, never
-changes a result. Words and phrases are counted exactly, by their text, in chunks of texts first and then by Spark. Scores
-come from joins of the levels' tables: a phrase is cut after each of its words, and the weakest cut counts.
+phrases of one word less that overlap in it are frequent, which a pass knows from a broadcast bit map of the level before.
+A level is counted by 64-bit hashes first, which shuffles little; the next pass counts those that came out frequent by their
+text. So hashes that meet, and what the bit map lets through by chance, are counted too and then dropped for their count:
+the map's size, which is bounded, never changes a result. From the third pass on only those runs of words are read again in
+which a longer phrase can be. Counts are made in chunks of texts first and then by Spark. Scores come from joins of the
+levels' tables: a phrase is cut after each of its words, and the weakest cut counts.
 
 Texts are cut in pieces at ``.,;:!?`` and line ends, pieces in words at spaces and tabs; A-Z count as a-z. Everything is for
 each language by itself, a null one being ``und``; null texts are empty ones. Repeated rows count each. Very long texts are
-counted in parts that overlap by the words a phrase needs. An empty table has no phrases. Other columns aren't read.
+counted in parts, cut between pieces; if a piece is too long, in parts that overlap by the words a phrase needs. An empty
+table has no phrases. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ from accordance.llm.storage import staged
 #: Bits of a map for each phrase in it, and of a map at least and at most (128 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 #: Bytes of texts that are counted at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bits to a row that bitmap_construct_agg makes.
 _ROW_BITS = 32768
 #: What follows a word: spaces within a piece, or what ends the piece.
@@ -34,7 +38,8 @@ _SPACES, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_SPACES)], _KIND[list(_BREAKS)] = 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_COUNTS = "lang string, phrase string, h long, n long"
+_END = re.compile(b"[.,;:!?\n\x0b\x0c\r]")
+_FOUND = "lang string, phrase string, h long, n long, rest string"
 
 #: Of a, l, r and n; in decimals, since the products pass 64 bits.
 SCORE = "(cast(1000 as decimal(4,0)) * (cast(a as decimal(15,0)) * cast(n as decimal(19,0)))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
@@ -45,7 +50,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _parts(text: bytes, k: int) -> Iterator[bytes]:
+def _cut(text: bytes) -> list[bytes] | None:
+    """A text in parts of about CHUNK bytes, cut between pieces; none if a piece is too long for that."""
+    out, at = [], 0
+    while len(text) - at > CHUNK:
+        end = _END.search(text, at + CHUNK, at + 2 * CHUNK)
+        if end is None:
+            if len(text) - at <= 2 * CHUNK:
+                break
+            return None
+        out.append(text[at : end.start()])
+        at = end.end()
+    return [*out, text[at:] if at else text]
+
+
+def _overlapping(text: bytes, k: int) -> Iterator[bytes]:
     """A text in parts of about CHUNK bytes, each beginning k - 1 words before the end of the one before: no phrase of k words is lost or twice in them."""
     at, reach = 0, CHUNK
     while len(text) - at > reach:
@@ -64,19 +83,36 @@ def _parts(text: bytes, k: int) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def _chunks(batch: pa.RecordBatch, k: int) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Texts, or parts of them, and their languages, CHUNK bytes at a time."""
+def _chunks(batch: pa.RecordBatch, k: int) -> Iterator[tuple[list[bytes], list[str], int | None]]:
+    """Texts and their languages, about CHUNK bytes at a time, and None; a part of a text with a very long piece comes alone, with its number."""
     texts, langs, held = [], [], 0
     for lang, text in zip(batch["lang"].to_pylist(), pc.ascii_lower(batch["text"]).cast(pa.large_binary() if pa.types.is_large_string(batch["text"].type) else pa.binary())):
-        for part in _parts(text.as_py(), k):
+        text = text.as_py()
+        parts = _cut(text)
+        if parts is None:
+            for number, part in enumerate(_overlapping(text, k)):
+                yield [part], [lang], number
+            continue
+        for part in parts:
             texts.append(part)
             langs.append(lang)
             held += len(part)
             if held >= CHUNK:
-                yield texts, langs
+                yield texts, langs, None
                 texts, langs, held = [], [], 0
     if texts:
-        yield texts, langs
+        yield texts, langs, None
+
+
+def _table(**columns) -> pa.RecordBatch:
+    """A batch of the result; columns that aren't given are null."""
+    n = len(next(iter(columns.values())))
+    kinds = {"lang": pa.string(), "phrase": pa.string(), "h": pa.int64(), "n": pa.int64(), "rest": pa.string()}
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
+
+
+def _text(words: pa.Array) -> pa.Array:
+    return words.cast(pa.large_string()).cast(pa.string())
 
 
 class _Words:
@@ -92,6 +128,7 @@ class _Words:
         starts = edges[::2]
         self.piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
         names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
+        self.names = names.tolist()
         lang = code[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")]
         runs = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])  # words and what is between them
         runs = runs.dictionary_encode()
@@ -103,68 +140,95 @@ class _Words:
             self.of = place[of]
         else:
             some, self.of = np.unique(of, return_inverse=True)
-        self.text = runs.dictionary.take(pa.array(some // len(names)))
-        self.lang = pa.array(names.tolist(), pa.string()).take(pa.array(some % len(names)))
-
-    def hashes(self) -> np.ndarray:
-        import xxhash
-
-        of = lambda lang, word: xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang) >> 1)
-        return np.fromiter(map(of, self.lang.to_pylist(), self.text.to_pylist()), np.uint64, len(self.text))
-
-    def table(self, first: np.ndarray, k: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """The phrases of k words that begin at these places."""
-        words = [self.text.take(pa.array(self.of[first + j])) for j in range(k)]
+        self.word, self.lang = some // len(names), some % len(names)
+        self.text = runs.dictionary
+        self.hash = self._hashes()[self.word] ^ _mix(self._hashes(self.names))[self.lang]
+
+    def _hashes(self, texts: list[str] | None = None) -> np.ndarray:
+        """Of each different text: its bytes as the digits of a number in base _ODD, in 64 bits."""
+        column = self.text if texts is None else pa.array(texts, pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+        size = np.diff(ends)
+        powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(size.max(initial=1)), _ODD)))
+        at = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size)
+        sums = np.append(np.uint64(0), np.cumsum(data * powers[at]))
+        return sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]]
+
+    def phrases(self, begin: np.ndarray, k: int, raw: np.ndarray) -> pa.RecordBatch:
+        """The different phrases of k words that begin at these places, with their hashes, and how often each does."""
+        key, top, count = self.of[begin], len(self.word), len(self.word)
+        for j in range(1, k):
+            if top > (1 << 62) // count:
+                some, key = np.unique(key, return_inverse=True)
+                top = len(some)
+            key, top = key * count + self.of[begin + j], top * count
+        _, first, n = np.unique(key, return_index=True, return_counts=True)
+        first = begin[first]
+        words = [self.text.take(pa.array(self.word[self.of[first + j]])) for j in range(k)]
         phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", words[0].type))
-        lang = self.lang.take(pa.array(self.of[first]))
-        return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.large_string()).cast(pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "h", "n"])
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each language its words, and all of them together as an empty phrase."""
-    for batch in batches:
-        for chunk in _chunks(batch, 1):
-            words = _Words(*chunk)
-            if not words.n:
-                continue
-            counts = np.bincount(words.of)
-            first = np.zeros(len(counts), np.int64)
-            first[words.of[::-1]] = np.arange(words.n)[::-1]
-            yield words.table(first, 1, _mix(words.hashes()), counts)
-            names, code = np.unique(np.array(words.lang.to_pylist(), dtype=object), return_inverse=True)
-            totals = np.bincount(code, counts).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array([""] * len(names)), pa.array(np.zeros(len(names), np.int64)), pa.array(totals)], names=["lang", "phrase", "h", "n"])
-
-
-def _phrase_counts(k: int, shared) -> Callable:
-    """Of each language the phrases of k words whose parts of k - 1 the shared bit map has."""
+        lang = pa.array(self.names, pa.string()).take(pa.array(self.lang[self.of[first]]))
+        return _table(lang=lang, phrase=_text(phrase), h=pa.array(_mix(raw[first]).view(np.int64)), n=pa.array(n.astype(np.int64)))
+
+    def rest(self, begin: np.ndarray, k: int) -> pa.RecordBatch:
+        """Of each language the runs of words that phrases of k words, which begin at these places, cover, a line each."""
+        covered = np.zeros(self.n + 1, np.int32)
+        np.add.at(covered, begin, 1)
+        np.add.at(covered, begin + k, -1)
+        at = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
+        lang = self.lang[self.of[at]]
+        new = np.append(True, (np.diff(at) > 1) | (np.diff(self.piece[at]) != 0))
+        starts = np.flatnonzero(new)
+        order = np.argsort(lang[starts], kind="stable")
+        joined = lambda first, n, texts, by: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), texts), by)
+        lines = joined(starts, len(at), _text(self.text.take(pa.array(self.word[self.of[at]]))), " ")
+        code, first = np.unique(lang[starts][order], return_index=True)
+        texts = joined(first, len(order), lines.take(pa.array(order)), "\n")
+        return _table(lang=pa.array(self.names, pa.string()).take(pa.array(code)), rest=texts)
+
+
+def _pass(k: int, longest: int, shared) -> Callable:
+    """Counts the phrases of k words by hash, as rows without a phrase, and those of k - 1 that the shared bit map has by text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        mask = np.uint64(len(bits) * 8 - 1)
+        bits = np.frombuffer(shared.value, np.uint8) if shared else None
         for batch in batches:
-            for chunk in _chunks(batch, k):
-                words = _Words(*chunk)
-                if words.n < k:
+            for texts, langs, number in _chunks(batch, k):
+                words = _Words(texts, langs)
+                if not words.n:
+                    continue
+                if k == 1:
+                    n = np.bincount(words.of)
+                    yield _table(h=pa.array(_mix(words.hash).view(np.int64)), n=pa.array(n))
+                    total = np.bincount(words.lang, n, minlength=len(words.names)).astype(np.int64)
+                    yield _table(lang=pa.array(words.names, pa.string()), phrase=pa.array([""] * len(total)), n=pa.array(total))
+                    continue
+                if words.n < k - 1:
                     continue
-                each = words.hashes()[words.of]
+                each = words.hash[words.of]
                 raw = each[: words.n - k + 2].copy()
                 for j in range(1, k - 1):
                     raw = raw * _ODD + each[j : j + len(raw)]
-                at = _mix(raw) & mask
-                known = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-                begin = np.flatnonzero((known[:-1] & known[1:] == 1) & (words.piece[: words.n - k + 1] == words.piece[k - 1 :]))
-                if not len(begin):
+                at = _mix(raw) & np.uint64(len(bits) * 8 - 1)
+                known = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                known &= words.piece[: len(raw)] == words.piece[k - 2 :]
+                begin = np.flatnonzero(known)
+                if number:  # the first one is the last of the part before
+                    begin = begin[begin > 0]
+                if len(begin):
+                    yield words.phrases(begin, k - 1, raw)
+                if k > longest:
                     continue
-                key, top, count = words.of[begin], len(words.text), len(words.text)
-                for j in range(1, k):
-                    if top > (1 << 62) // count:
-                        some, key = np.unique(key, return_inverse=True)
-                        top = len(some)
-                    key, top = key * count + words.of[begin + j], top * count
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                first = begin[first]
-                yield words.table(first, k, _mix(raw[first] * _ODD + each[first + k - 1]), n)
+                begin = np.flatnonzero(known[:-1] & known[1:] & (words.piece[: len(raw) - 1] == words.piece[k - 1 :]))
+                if len(begin):
+                    h, n = np.unique(_mix(raw[begin] * _ODD + each[begin + k - 1]), return_counts=True)
+                    yield _table(h=pa.array(h.view(np.int64)), n=pa.array(n.astype(np.int64)))
+                    if k > 2 and number is None:
+                        yield words.rest(begin, k)
+            if 2 < k <= longest:  # texts that overlapping parts were made of are read whole again
+                for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+                    if len(text) > CHUNK // 4 and _cut(text.encode()) is None:
+                        yield _table(lang=pa.array([lang], pa.string()), rest=pa.array([text], pa.string()))
 
     return count
 
@@ -182,20 +246,26 @@ def _bit_map(level: DataFrame, n: int) -> bytes:
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text: str = "text", lang: str = "lang") -> list[DataFrame]:
-    """Tables of the words, the pairs of words and so on (lang, phrase, h, n) that occur ``least`` times or more; the words'
+    """Tables of the words, the pairs of words and so on (lang, phrase, n) that occur ``least`` times or more; the words'
     has for each language the number of all words, under the empty phrase."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     levels: list[DataFrame] = []
-    for k in range(1, longest + 1):
-        if levels:
-            before = levels[-1].where("phrase <> ''")
-            counter = _phrase_counts(k, spark.sparkContext.broadcast(_bit_map(before, before.count())))
+    hashes = None
+    for k in range(1, longest + 2):
+        shared = spark.sparkContext.broadcast(_bit_map(hashes, hashes.count())) if k > 1 else None
+        found = rows.mapInArrow(_pass(k, longest, shared), _FOUND)
+        if 2 < k <= longest:
+            found = staged(found, f"pass{k}")
+            rows = found.where("rest is not null").select("lang", F.col("rest").alias("text"))
+        sums = found.where("rest is null").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
+        sums = staged(sums.where((F.col("n") >= least) | (F.col("phrase") == "")), f"phrases{k}")
+        hashes = sums.where("phrase is null")
+        if k == 1:
+            totals = sums.where("phrase = ''").select("lang", "phrase", "n")
         else:
-            counter = _word_counts
-        sums = rows.mapInArrow(counter, _COUNTS).groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
-        levels.append(staged(sums.where((F.col("n") >= least) | (F.col("phrase") == "")), f"phrases{k}"))
-    return levels
+            levels.append(sums.where("phrase is not null").select("lang", "phrase", "n"))
+    return [levels[0].unionByName(totals), *levels[1:]]
 
 
 def _joined(words: Column, start: Column | int, size: Column | int) -> Column:

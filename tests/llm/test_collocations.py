@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,7 +62,34 @@ def test_parts_of_long_texts(spark, monkeypatch):
         for _ in range(300):
             text = "".join(rng.choice(["a", "bb", "longer-than-a-chunk", ".", " ", "  ", "\n"]) for _ in range(rng.randint(0, 40))).encode()
             grams = lambda t: Counter(tuple(w[i : i + k]) for p in re.split(b"[.\n]", t) for w in [p.split()] for i in range(len(w) - k + 1))  # noqa: B023, E731
-            assert sum((grams(p) for p in collocations._parts(text, k)), Counter()) == grams(text), text
+            assert sum((grams(p) for p in collocations._overlapping(text, k)), Counter()) == grams(text), text
+
+
+def test_chunks_of_any_size(spark, monkeypatch):
+    """Passes over tiny chunks, within one process: texts cut between pieces, and those whose pieces are too long."""
+    rng = random.Random(9)
+    rows = [("en", " ".join(rng.choice(["a", "b", "c", "d.", "e\n"]) for _ in range(rng.randint(0, 60)))) for _ in range(40)] + [("de", "a b c a b " * 30), ("en", "x" * 50), ("de", "a " * 200)]
+    want = Counter()
+    for lang, text in rows:
+        for piece in re.split("[.\n]", text):
+            w = piece.split()
+            want.update((lang, " ".join(w[i : i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
+
+    class Shared:
+        value = b"\xff" * 64
+
+    for size in (5, 40, 1000):
+        monkeypatch.setattr(collocations, "CHUNK", size)
+        got, left = Counter(), rows
+        for k in range(2, 7):
+            batch = pa.RecordBatch.from_arrays([pa.array([r[j] for r in left], pa.string()) for j in (0, 1)], names=["lang", "text"])
+            out = [r for b in collocations._pass(k, 5, Shared)(iter([batch])) for r in b.to_pylist()]
+            for r in out:
+                if r["phrase"] is not None:
+                    got[r["lang"], r["phrase"]] += r["n"]
+            assert k == 6 or sum(r["n"] for r in out if r["phrase"] is None and r["rest"] is None) == sum(n for (_, p), n in want.items() if p.count(" ") == k - 1)
+            left = [(r["lang"], r["rest"]) for r in out if r["rest"] is not None] if k > 2 and k < 6 else left
+        assert got == want, size
 
 
 def test_full_bit_map(spark, monkeypatch):
