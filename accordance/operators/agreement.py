@@ -40,20 +40,55 @@ def alpha_nominal(ratings: DataFrame, unit: str, value: str, by: tuple[str, ...]
 
     Nulls are missing values. A set without units of two values has no row, unless ``by`` is empty.
     """
-    cells = ratings.where(F.col(value).isNotNull()).groupBy(*by, unit, value).agg(F.count("*").alias("n"))
-    cells = cells.withColumn("m", F.sum("n").over(Window.partitionBy(*by, unit))).where("m > 1")
+    return nominal_alpha(nominal_state(ratings, unit, value, by), unit, by)
+
+
+def alpha_interval(ratings: DataFrame, unit: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """As alpha_nominal, values being apart by the square of their difference."""
+    return interval_alpha(interval_state(ratings, unit, value, by), unit, by)
+
+
+def nominal_state(ratings: DataFrame, unit: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, unit, value and n, how often each value occurs in each unit: all that the nominal alpha needs of ratings."""
+    return ratings.where(F.col(value).isNotNull()).groupBy(*by, unit, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+
+
+def interval_state(ratings: DataFrame, unit: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, unit, m (values), mean and m2 (squares about the mean) of each unit: all that the interval alpha needs of ratings."""
+    x = F.col(value).cast("double")
+    return ratings.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, unit).agg(F.count("*").alias("m"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count("*")).alias("m2"))
+
+
+def merged_states(states: list[DataFrame], unit: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One state of several of one kind, as if of all their ratings; in any order, and states of states."""
+    every = states[0]
+    for state in states[1:]:
+        every = every.unionByName(state)
+    if "n" in every.columns:
+        return every.groupBy(*by, unit, "value").agg(F.sum("n").alias("n"))
+    parts = every.groupBy(*by, unit).agg(F.sort_array(F.collect_list(F.struct("m", "mean", "m2"))).alias("_all"))
+
+    def both(a: Column, b: Column) -> Column:
+        m, gap = a["m"] + b["m"], b["mean"] - a["mean"]
+        return F.struct(m.alias("m"), (a["mean"] + gap * b["m"] / m).alias("mean"), (a["m2"] + b["m2"] + gap * gap * a["m"] * b["m"] / m).alias("m2"))
+
+    none = F.struct(F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return parts.select(*by, unit, F.aggregate("_all", none, both).alias("_s")).select(*by, unit, "_s.m", "_s.mean", "_s.m2")
+
+
+def nominal_alpha(state: DataFrame, unit: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """alpha_nominal of what nominal_state or merged_states gave."""
+    cells = state.withColumn("m", F.sum("n").over(Window.partitionBy(*by, unit))).where("m > 1")
     apart = (F.col("n") * (F.col("m") - F.col("n"))) / (F.col("m") - 1)
-    values = cells.groupBy(*by, value).agg(F.sum("n").alias("n_k"), F.sum(apart).alias("d"))
+    values = cells.groupBy(*by, "value").agg(F.sum("n").alias("n_k"), F.sum(apart).alias("d"))
     sums = values.groupBy(*by).agg(F.sum("n_k").alias("n_values"), F.sum("d").alias("observed"), F.sum(F.col("n_k").cast("double") * F.col("n_k")).alias("same"))
     n = F.col("n_values").cast("double")
     return sums.select(*by, F.coalesce("n_values", F.lit(0)).alias("n_values"), _alpha(F.col("observed"), n * n - F.col("same"), n).alias("alpha"))
 
 
-def alpha_interval(ratings: DataFrame, unit: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """As alpha_nominal, values being apart by the square of their difference."""
-    x = F.col(value).cast("double")
-    units = ratings.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, unit).agg(F.count("*").alias("m"), F.avg(x).alias("mean"), F.var_pop(x).alias("var")).where("m > 1")
-    return _interval(units, by)
+def interval_alpha(state: DataFrame, unit: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """alpha_interval of what interval_state or merged_states gave."""
+    return _interval(state.where("m > 1").withColumn("var", F.col("m2") / F.col("m")), by)
 
 
 def _interval(units: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,30 @@ def within_tokens(prompts: DataFrame, make: Callable[[], object], most: int) ->
     return prompts.select(*columns).mapInPandas(cut, schema)
 
 
+#: The model that this worker process has, by what made it.
+_model: dict[str, Generator] = {}
+
+
+def _of_worker(name: str, make: Callable[[], Generator]) -> Generator:
+    """The worker's model; another one that it had goes first, since two may not fit."""
+    if name not in _model:
+        _model.clear()
+        _model[name] = make()
+    return _model[name]
+
+
 def generate(prompts: DataFrame, make: Callable[[], Generator], key: str = "doc_id", attempts: int = 3, batch: int = 8) -> DataFrame:
     """key, response, tokens, seconds, attempts and error of every prompt.
 
-    ``make`` builds the model once a worker process task. A batch that raises, or has another number of responses than
+    ``make`` builds the model once a worker process, for as long as that lives, whatever the number of tasks; what it closes
+    over must be the same for the same model. Prompts of like length go to the model together. A batch that raises, or has another number of responses than
     prompts, is tried again one by one, each up to ``attempts`` times in all; what still fails is a row with the error, not a failed job.
     """
 
+    name = hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        model = _of_worker(name, make)
 
         def one(text: str, error: str):
             begun = time.monotonic()
@@ -64,9 +81,9 @@ def generate(prompts: DataFrame, make: Callable[[], Generator], key: str = "doc_
             return None, 0, time.monotonic() - begun, attempts, error
 
         for rows in batches:
-            found = []
+            found, order = [], rows["prompt"].str.len().fillna(0).argsort(kind="stable").to_numpy()
             for at in range(0, len(rows), batch):
-                texts, begun = rows["prompt"].iloc[at : at + batch].tolist(), time.monotonic()
+                texts, begun = rows["prompt"].iloc[order[at : at + batch]].tolist(), time.monotonic()
                 try:
                     made = model(texts)
                     if len(made) != len(texts):
@@ -75,7 +92,7 @@ def generate(prompts: DataFrame, make: Callable[[], Generator], key: str = "doc_
                     found += [(r, n, each, 1, None) for r, n in made]
                 except Exception as e:
                     found += [one(t, f"{type(e).__name__}: {e}"[:2000]) for t in texts]
-            made = pd.DataFrame(found, columns=["response", "tokens", "seconds", "attempts", "error"])
+            made = pd.DataFrame(found, columns=["response", "tokens", "seconds", "attempts", "error"], index=order).sort_index()
             yield pd.concat([rows[[key]].reset_index(drop=True), made], axis=1)
 
     kind = prompts.schema[key].dataType.simpleString()

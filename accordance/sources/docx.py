@@ -114,5 +114,10 @@ def read_docx(files: DataFrame, fast: bool = False) -> DataFrame:
     ``fast``: all text as one line; the line ends are removed, so words at their sides fuse.
     """
     raw = files.select("file_name", "content").mapInPandas(_reader(fast), "file_name string, body string, error string")
+    return reports(raw, fast)
+
+
+def reports(raw: DataFrame, fast: bool = False) -> DataFrame:
+    """file_name, text and error from file_name, body (as read) and error."""
     body = dedup_text(raw.withColumn("body", normalize_report(F.col("body"), keep_newlines=not fast)), "body")
     return body.select("file_name", F.when(F.col("error").isNull(), wrapped(F.col("file_name"), F.col("body"))).alias("text"), "error")

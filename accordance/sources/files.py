@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from accordance.functions.text import strip
 from accordance.operators.match import trial_number
+from accordance.sources.named import register
 
 
 def path_list(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
@@ -65,34 +62,21 @@ def wrapped(name: Column, body: Column) -> Column:
     return F.concat(F.lit("=== PSG RAPPORT ===\nFilnavn: "), name, F.lit("\n\n"), body, F.lit("\n\n=== SLUT ==="))
 
 
-def _write_each(df: DataFrame, folder: str) -> int:
-    """Writes value to a file called name for each row, each at once and whole; returns how many."""
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(folder)
-        store.create_dir(at, recursive=True)
-        for rows in batches:
-            for name, value in zip(rows["name"], rows["value"]):
-                own = f"{at}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(own) as out:
-                    out.write((value or "").encode())
-                store.move(own, f"{at}/{name}")
-            yield pd.DataFrame({"n": [len(rows)]})
-
-    return df.select("name", "value").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
 def write_texts(df: DataFrame, folder: str, name: str = "file_name", text: str = "text", order: str | None = None, suffix: str = ".txt") -> int:
     """A UTF-8 file stem.txt in ``folder`` for each different stem of the names; returns how many.
 
     Of rows with one stem the last in ``order`` stays, the largest text without it, as if written one after another. Tasks
-    write, to any store that Arrow knows; a file appears whole or not at all. Null names are left out, null texts are empty.
+    write, to any store that Arrow knows; all files appear at the end or, if the job fails, none. Null names are left out,
+    null texts are empty.
     """
+    spark = df.sparkSession
+    register(spark)
     stem = F.concat(F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", ""), F.lit(suffix))
     last = F.max_by(text, order) if order else F.max(text)
-    return _write_each(df.where(F.col(name).isNotNull()).groupBy(stem.alias("name")).agg(last.alias("value")), folder)
+    once = df.where(F.col(name).isNotNull()).groupBy(stem.alias("name")).agg(F.coalesce(last, F.lit("")).alias("value"))
+    seen = Observation()
+    once.observe(seen, F.count("*").alias("n")).write.format("named_files").mode("append").save(folder)
+    return seen.get["n"]
 
 
 def write_json(df: DataFrame, folder: str, name: str = "file_name", raw: str = "raw", order: str | None = None) -> int:
