@@ -10,8 +10,11 @@ A leaf gives whole epochs and, of the next, the prefix that fits: its documents
 seeded hash of epoch and id, as far as their tokens add up to at most what is left. The prefix is found
 from sums over slices of that order, so no leaf, however large, is sorted in one task.
 
-Documents are never cut: a leaf gives less than its share by what is left before the first document of
-its order that doesn't fit, and that rest goes to no one else.
+Documents are never cut, so a leaf gives less than its share by what is left before the first document of its order that
+doesn't fit. A leaf is blocked if that document is longer than what all leaves have left together, so that nothing they
+could pass on would let it go on. Blocked leaves stay at what they give, and the budget is given a second time with that as
+their limit: what they can't use goes to their siblings first, then to their parent's, by the same rule. What is left over
+after that stays so.
 
 Null levels form a child of their own named "". Documents of one id have one place and are taken or
 left together; documents without tokens come with the prefix they lie in. Null and empty texts have
@@ -48,10 +51,12 @@ def allocate(leaves: DataFrame, levels: list[str], weights: list[dict[str, int]]
     """``leaves`` (the levels and tokens, one row each) with share, the whole tokens that each leaf is to give.
 
     ``weights``: for each level positive whole weights by child; "*" is for those not named, 1 if missing.
-    ``budget``: of tokens, given the sum of all as the column total. Whole numbers throughout.
+    ``budget``: of tokens, given the sum of all as the column total. Whole numbers throughout. A leaf gives at most its
+    column most, if there is one and it isn't null.
     """
     number = "decimal(38,0)"
-    caps = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast(number))
+    cap = F.col("tokens") * max_epochs
+    caps = leaves.withColumn("cap", (F.least(cap, "most") if "most" in leaves.columns else cap).cast(number))
     root = caps.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"), F.coalesce(F.sum("cap"), F.lit(0)).cast(number).alias("cap"))
     above = root.select(F.lit(1).alias("_root"), F.least(budget.cast("long").cast(number), F.col("cap")).alias("share"))
     parent: list[str] = ["_root"]
@@ -96,20 +101,35 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
     measure = word_count() if tokens is None else tokens
     placed = docs.select(row, F.col("doc_id").alias("doc_id"), measure.alias("tokens"), *(F.coalesce(column.cast("string"), F.lit("")).alias(f"_{name}") for name, column in levels.items()))
     thin = staged(placed.select(*names, "doc_id", "tokens"), "sizes")
-    leaves = allocate(thin.groupBy(*names).agg(F.sum("tokens").alias("tokens")), names, weights, budget, max_epochs)
-    leaves = leaves.select(*names, F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.lit(0)).alias("whole"), F.when(F.col("tokens") > 0, F.expr("share % tokens")).otherwise(F.lit(0)).alias("rest"))
-    leaves = staged(leaves, "leaves")
-    few = leaves.count() <= MAX_BROADCAST_LEAVES
+    trees = thin.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
+    few = trees.limit(MAX_BROADCAST_LEAVES + 1).count() <= MAX_BROADCAST_LEAVES
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
 
-    hashed = thin.join(small(leaves), names).where("rest > 0").withColumn("place", _place(seed, F.col("whole"))).withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
-    slices = hashed.groupBy(*names, "slice", "rest").agg(F.sum("tokens").alias("n"))
-    slices = slices.withColumn("to", F.sum("n").over(Window.partitionBy(*names).orderBy("slice")))
-    # the slice in which the budget ends, and the last place in it that still fits
-    ends = slices.where("to > rest and to - n <= rest").select(*names, "slice", (F.col("to") - F.col("n")).alias("before"))
-    inside = hashed.join(small(ends), [*names, "slice"]).withColumn("sum", F.col("before") + F.sum("tokens").over(Window.partitionBy(*names, "slice").orderBy("place")))
-    last = ends.join(inside.where("sum <= rest").groupBy(*names).agg(F.max("place").alias("last")), names, "left").select(*names, F.coalesce("last", F.col("slice")).alias("last"))
-    chosen = leaves.join(last, names, "left").withColumn("last", F.coalesce("last", F.lit("")))
+    def given(trees: DataFrame) -> DataFrame:
+        """Of each leaf its tokens, share, whole epochs, the rest beyond them, the last place whose sum fits the rest, that sum
+        (used) and the tokens of what comes next."""
+        shared = allocate(trees, names, weights, budget, max_epochs)
+        part = lambda by: F.when(F.col("tokens") > 0, F.expr(f"share {by} tokens")).otherwise(F.lit(0))
+        leaves = staged(shared.select(*names, "tokens", part("div").alias("whole"), part("%").alias("rest")), "leaves")
+        hashed = thin.join(small(leaves.drop("tokens")), names).where("rest > 0").withColumn("place", _place(seed, F.col("whole"))).withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
+        slices = hashed.groupBy(*names, "slice", "rest").agg(F.sum("tokens").alias("n"))
+        slices = slices.withColumn("to", F.sum("n").over(Window.partitionBy(*names).orderBy("slice")))
+        # the slice in which the budget ends, and the last place in it that still fits
+        ends = slices.where("to > rest and to - n <= rest").select(*names, "slice", (F.col("to") - F.col("n")).alias("before"))
+        inside = hashed.join(small(ends), [*names, "slice"]).withColumn("sum", F.col("before") + F.sum("tokens").over(Window.partitionBy(*names, "slice").orderBy("place")))
+        fits = F.col("sum") <= F.col("rest")
+        found = inside.groupBy(*names).agg(F.max(F.when(fits, F.col("place"))).alias("last"), F.max(F.when(fits, F.col("sum"))).alias("used"), F.min(F.when(~fits, F.col("sum"))).alias("next"))
+        last = ends.join(found, names).select(*names, F.coalesce("last", F.col("slice")).alias("last"), F.coalesce("used", F.col("before")).alias("used"), "next")
+        return leaves.join(last, names, "left").select(*names, "tokens", "whole", "rest", "last", F.coalesce("used", F.lit(0)).alias("used"), (F.col("next") - F.coalesce("used", F.lit(0))).alias("next"))
+
+    leaves = staged(given(staged(trees, "trees")), "given")
+    over = leaves.agg(F.coalesce(F.sum(F.col("rest") - F.col("used")), F.lit(0))).first()[0]  # one number
+    blocked = (F.col("rest") > F.col("used")) & (F.col("next") > over)
+    again = staged(leaves.select(*names, "tokens", F.when(blocked, F.col("whole") * F.col("tokens") + F.col("used")).alias("most")), "limits")
+    if not again.where("most is not null").isEmpty():
+        leaves = given(again)
+    last = leaves.select(*names, "whole", "rest", "last")
+    chosen = last.withColumn("last", F.coalesce("last", F.lit("")))
     epochs = F.col("whole") + ((F.col("rest") > 0) & (_place(seed, F.col("whole")) <= F.col("last"))).cast("long")
     found = placed.join(small(staged(chosen, "chosen")), names).withColumn("_epochs", epochs).where("_epochs > 0")
     return found.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_epochs") - 1).cast("int")))).select("row.*", "epoch", "tokens")

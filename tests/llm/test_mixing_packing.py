@@ -46,36 +46,58 @@ def brute(docs, weights, budget, max_epochs, seed):
     for _, leaf, n in docs:
         leaves[leaf] += n
 
-    def cap(above):
-        return max_epochs * sum(n for leaf, n in leaves.items() if leaf[: len(above)] == above)
-
-    def down(above, share):
-        if len(above) < len(weights):
-            names = sorted({leaf[len(above)] for leaf in leaves if leaf[: len(above)] == above})
-            level = weights[len(above)]
-            given = _shared(share, [(cap((*above, x)), level.get(x, level.get("*", 1)), x) for x in names])
-            return [c for x in names for c in down((*above, x), given[x])]
-        total = leaves[above]
-        whole, rest = divmod(share, total) if total else (0, 0)
-        mine = [(d, n) for d, leaf, n in docs if leaf == above]
-        chosen = [(d, n, e) for e in range(whole) for d, n in mine]
-        place = lambda x: hashlib.md5(f"{seed}:{whole}:{x[0]}".encode()).hexdigest()
-        done = 0
-        for _, same in itertools.groupby(sorted(mine, key=place) if rest else [], key=place):
-            same = list(same)
-            done += sum(n for _, n in same)
-            if done > rest:
-                break
-            chosen += [(d, n, whole) for d, n in same]
-        return chosen
-
-    return sorted(down((), min(budget, cap(()))))
+    def once(limits):
+        """Of each leaf: what it gives, how many tokens, the tokens of what comes next, and its rest."""
+        most = lambda leaf: min(max_epochs * leaves[leaf], limits.get(leaf, max_epochs * leaves[leaf]))
+
+        def cap(above):
+            return sum(most(leaf) for leaf in leaves if leaf[: len(above)] == above)
+
+        def down(above, share):
+            if len(above) < len(weights):
+                names = sorted({leaf[len(above)] for leaf in leaves if leaf[: len(above)] == above})
+                level = weights[len(above)]
+                given = _shared(share, [(cap((*above, x)), level.get(x, level.get("*", 1)), x) for x in names])
+                return {leaf: c for x in names for leaf, c in down((*above, x), given[x]).items()}
+            total = leaves[above]
+            whole, rest = divmod(share, total) if total else (0, 0)
+            mine = [(d, n) for d, leaf, n in docs if leaf == above]
+            chosen = [(d, n, e) for e in range(whole) for d, n in mine]
+            place = lambda x: hashlib.md5(f"{seed}:{whole}:{x[0]}".encode()).hexdigest()
+            done, next_ = 0, None
+            for _, same in itertools.groupby(sorted(mine, key=place) if rest else [], key=place):
+                same = list(same)
+                if done + sum(n for _, n in same) > rest:
+                    next_ = sum(n for _, n in same)
+                    break
+                done += sum(n for _, n in same)
+                chosen += [(d, n, whole) for d, n in same]
+            return {above: (chosen, whole * total + done, next_, rest - done)}
+
+        return down((), min(budget, cap(())))
+
+    first = once({})
+    over = sum(rest for *_, rest in first.values())
+    limits = {leaf: used for leaf, (_, used, next_, rest) in first.items() if rest and next_ is not None and next_ > over}
+    return sorted(c for chosen, *_ in (once(limits) if limits else first).values() for c in chosen)
 
 
 def _brute(rows, budget, max_epochs, seed):
     return brute([(d, (lang or "", source or ""), len((t or "").split())) for d, t, lang, source in rows], WEIGHTS, budget, max_epochs, seed)
 
 
+def test_what_a_long_document_blocks_goes_to_siblings(spark):
+    """One leaf can't begin its only document; its sibling gives what it would have, and the other family what it had."""
+    rows = [(k, "w " * 10, "en", "s2") for k in range(50)] + [(100, "w " * 5000, "en", "s1")] + [(200 + k, "w " * 10, "de", "s3") for k in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs, _levels(), [{}, {}], F.lit(400), max_epochs=1, seed=3)
+    sums = {r.source: r.n for r in got.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    assert sums == {"s2": 200, "s3": 200}
+    # a family that is blocked as a whole leaves its share to the other one
+    got = mixing.mix(docs.where("source <> 's2'"), _levels(), [{}, {}], F.lit(400), max_epochs=1, seed=3)
+    assert {r.source: r.n for r in got.groupBy("source").agg(F.sum("tokens").alias("n")).collect()} == {"s3": 400}
+
+
 @pytest.mark.parametrize("budget,epochs", [(0, 1), (150, 1), (400, 2), (900, 2), (6000, 1), (10**6, 3)])
 def test_mixing_against_plain_python(spark, budget, epochs):
     rows = _rows()
