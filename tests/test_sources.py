@@ -64,11 +64,11 @@ def test_word_source(spark, tmp_path):
         found = {tuple(r) for r in word.scan(spark, str(tmp_path), fast, partition_bytes=20_000).collect()}
         mine = {r for r in found if r[0] != "empty.docx"}  # Spark's own scan leaves out files without a byte
         assert mine == {tuple(r) for r in docx.read_docx(files.documents(spark, str(tmp_path)), fast).collect()} and len(found) == 14
-    source = spark.read.format("word").option("partition_bytes", 10_000)
-    assert source.load(str(tmp_path)).rdd.getNumPartitions() > 1
-    assert source.option("recursive", True).load(str(tmp_path)).count() == 15
-    assert source.option("pattern", "r1*.docx").load(str(tmp_path)).count() == 3
-    assert source.schema("file_name string").load(str(tmp_path)).count() == 14
+    source = lambda **o: spark.read.format("word").options(partition_bytes=10_000, **o)
+    assert source().load(str(tmp_path)).rdd.getNumPartitions() > 1
+    assert source(recursive=True).load(str(tmp_path)).count() == 15
+    assert source(pattern="r1*.docx").load(str(tmp_path)).count() == 3
+    assert source().schema("file_name string").load(str(tmp_path)).count() == 14
     assert spark.read.format("word").option("pattern", "none").load(str(tmp_path)).count() == 0
 
 
