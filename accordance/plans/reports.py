@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordance.functions import extraction as X
-from accordance.functions import fields as P
 from accordance.functions import text as T
 from accordance.operators import agreement, compare, generate, match, records, stats, views
 from accordance.plans.driver import _COMPARED, _CROSS, _FIELD_STATS, _MODELS, _NESTED, ORACLE_SQL, QUERIES, _compared, _mean, _query, _scores, _sides, _sql
@@ -241,9 +240,9 @@ def topic_bars(spark, sf):
     return views.topic_bars(stats.topic_stats(_fields(spark, sf)))
 
 
-@_query(f"{_RATES} select topic, agreement_rate from topics order by coalesce(agreement_rate, 1), topic limit 2")
+@_query(f"{_RATES} select topic, agreement_rate from topics")
 def worst_topics(spark, sf):
-    return stats.worst_topics(stats.topic_stats(_fields(spark, sf))).limit(2).select("topic", "agreement_rate")
+    return stats.worst_topics(stats.topic_stats(_fields(spark, sf))).select("topic", "agreement_rate")
 
 
 @_query(f"{_RATES} select path, mean_f1 from rated where field_type = 'free_text'")
@@ -280,14 +279,16 @@ def always_missing(spark, sf):
     return stats.always_missing(_by_part(spark, sf), 1).select("path", "n_left_missing")
 
 
-_PAIRS = [1, 2, 3, 4]
-_CELLS = ", ".join(f"coalesce(max((case when status = 'both_missing' then -1 when status <> 'filled' then 0.3 when agrees then 1 else coalesce(f1, 0) end + 1) / 2) filter (pair_id = {k}), 0)::double as \"{k}\"" for k in _PAIRS)
+_PAIRS = list(range(20))
+_CELLS = ", ".join(f"coalesce(max((case when status = 'both_missing' then -1 when status <> 'filled' then 0.3 when agrees then 1 else coalesce(f1, 0) end + 1) / 2) filter (pair_id % 20 = {k}), 0)::double as \"{k}\"" for k in _PAIRS)
 
 
-@_query(f"{_COMPARED} select path, {_CELLS} from compared group by path")
+@_query(f"{_COMPARED} select (pair_id // 20)::varchar || '#' || path as path, {_CELLS} from compared group by 1")
 def heatmap_matrix(spark, sf):
+    """All pairs, twenty to a matrix, whose paths carry its number."""
     compared = _compared(spark, sf)
-    return views.heatmap_matrix(compared, _PAIRS, compared)
+    parts = compared.withColumns({"path": F.concat_ws("#", F.expr("pair_id div 20").cast("string"), "path"), "pair_id": F.col("pair_id") % 20})
+    return views.heatmap_matrix(parts, _PAIRS, parts)
 
 
 _LABELS = "select path, case when length(path) > 46 then '…' || right(path, 45) else path end as label, string_split(path, '.')[-1] as name, array_to_string(string_split(path, '.')[-2:], '.') as name2"
@@ -412,9 +413,3 @@ def extraction_rules(spark, sf):
         X.no_apnoea(c("apnoea")).alias("none"), X.zero_if_none(F.lit(None).cast("double"), X.no_apnoea(c("apnoea"))).alias("filled"), X.modern_stage(c("stage")).alias("stage"),
         code["code"].alias("code"), code["text"].alias("diagnosis"), X.personal_number(c("person")).alias("person"),
     )
-
-
-@_query("select path, case when path like 'patient.%' or path like 'metadata.%' then 'Patient & metadata' else null end as known from (select unnest(['patient.BMI', 'metadata.filnavn', 'patient.navn']) as path)")
-def template_topics(spark, sf):
-    rows = P.classification(spark).where(F.col("path").isin("patient.BMI", "metadata.filnavn", "patient.navn"))
-    return rows.select("path", F.col("topic").alias("known"))

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from accordance.plans import reports as driver
+from accordance.plans import written as driver
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no driver tables")
