@@ -27,16 +27,27 @@ YES_NO_PATHS = ("sammenfatning.anfald", "sammenfatning.fokal", "sammenfatning.pa
 def parse(records: DataFrame, raw: str = "raw", fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records whose text is a JSON object, with it as the column v; and the others, with a reason, for a dead letter table.
 
-    Texts with a repeated key or NaN are no JSON here. Null texts are dead letters too. ``fail_fast``: the first text that
+    Texts with a repeated key, NaN or anything after the value are no JSON here. Null texts are dead letters too. ``fail_fast``: the first text that
     is no JSON ends the job.
     """
     parsed = _parsed(records, raw, fail_fast)
     return parsed.where("reason is null").drop(raw, "reason"), parsed.where("reason is not null").drop("v")
 
 
+def _variant(text: Column, fail_fast: bool = False) -> Column:
+    """The one JSON value that a text is; null for any other text. A parser stops after the first value, so what follows is
+    found by reading the text as the only member of an array, and where it could end that, of an object too."""
+    parse = F.parse_json if fail_fast else F.try_parse_json
+    whole = parse(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(whole, "$[1]", "variant").isNull()
+    closing = text.rlike(r"[\]][\s]*,[\s]*[\[]")
+    alone = alone & F.when(closing, F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()).otherwise(True)
+    return F.when(alone, F.try_variant_get(whole, "$[0]", "variant"))
+
+
 def _parsed(records: DataFrame, raw: str, fail_fast: bool = False) -> DataFrame:
     """``records`` with v, and with the reason why a text is no object; null for an object."""
-    v = F.parse_json(F.col(raw)) if fail_fast else F.try_parse_json(F.col(raw))
+    v = _variant(F.col(raw), fail_fast)
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     reason = F.when(F.col(raw).isNull(), "no text").when(F.col("v").isNull(), "no JSON").when(~is_object, "no object")
     return records.withColumn("v", v).withColumn("reason", reason)
@@ -100,7 +111,7 @@ def leaves(records: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
     names with points apart; path joins the names by points. Other texts than objects, also null, have no leaves. Each round
     opens LEVELS levels and writes what it finds; rounds go on with the objects that are left, until none is.
     """
-    whole = F.try_parse_json(F.col(raw))
+    whole = _variant(F.col(raw))
     at = records.select(*keys, F.array().cast(SEGMENTS).alias("segments"), F.col(raw).alias("raw"), _jtype(whole).alias("jtype"))
     at, found = at.where(F.startswith("jtype", F.lit("OBJECT"))), None
     while True:
@@ -252,7 +263,7 @@ def stamped(records: DataFrame, name: Column, author: Column, raw: str = "raw")
     pair = lambda m: F.struct(m["key"].alias("key"), json_value(m["raw"], m["jtype"]).alias("value"))
     written = lambda pairs: F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(_quoted(p["key"]), F.lit(":"), p["value"])), ","), F.lit("}"))
     given = F.map_from_entries(fresh)
-    sections = members(F.when(F.try_parse_json(F.col(raw)).isNotNull(), F.col(raw)))
+    sections = members(F.when(_variant(F.col(raw)).isNotNull(), F.col(raw)))
     meta = F.filter(sections, lambda m: (m["key"] == "metadata") & m["jtype"].startswith("OBJECT"))
     old = members(F.get(meta, F.lit(0))["raw"])
     kept = F.transform(F.transform(old, pair), lambda p: F.struct(p["key"].alias("key"), F.coalesce(F.try_element_at(given, p["key"]), p["value"]).alias("value")))

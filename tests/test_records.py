@@ -97,3 +97,19 @@ def test_nested_by_path(spark):
     rows = [(1, "b.c", "1", "BIGINT"), (1, "b.a", "x", "STRING"), (1, "a", None, "VOID"), (2, "x.y.z.w.v.u", "true", "BOOLEAN")]
     made = records.nested(spark.createDataFrame(rows, "id int, path string, raw string, jtype string"), ["id"])
     assert {r.id: r.raw for r in made.collect()} == {1: '{"a":null,"b":{"a":"x","c":1}}', 2: '{"x":{"y":{"z":{"w":{"v":{"u":true}}}}}}'}
+
+
+def test_what_follows_a_value_is_no_json(spark):
+    """As json.loads has it, but that a repeated key and NaN are none either."""
+    texts = ['{"a":1}', ' {"a":1} \n', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1},null', '{"a":1}],[{"b":2}', '{"a":1}},{"b":{}', '{"a":[[1],[2]]}', '{"a":"],["}', "", " ", "null", "1", "1,2", "[1]", "[1],[2]", "]", "}", '{"a":1', '{"a":"\\u00e6"}', '"x"', "{,}", '{"a":1,}']
+    good, bad = records.parse(spark.createDataFrame(list(enumerate(texts)), "id int, raw string"))
+
+    def of(text):
+        try:
+            return None if isinstance(json.loads(text), dict) else "no object"
+        except ValueError:
+            return "no JSON"
+
+    got = {r.id: None for r in good.collect()} | {r.id: r.reason for r in bad.collect()}
+    assert got == {k: of(t) for k, t in enumerate(texts)}
+    assert {r.id for r in records.leaves(spark.createDataFrame(list(enumerate(texts)), "id int, raw string"), ["id"]).select("id").distinct().collect()} == {k for k, t in enumerate(texts) if of(t) is None}
