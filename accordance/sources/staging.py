@@ -28,3 +28,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that ``stored`` wrote for this application; tables that read it can't be read after that."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark).rpartition("/")[0])
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordance.operators import agreement, checks, generate
+from accordance.sources import staging
 
 
 def test_states_merge_in_any_order(spark, tmp_path):
@@ -84,3 +85,13 @@ def test_a_model_for_each_worker(spark, tmp_path):
         assert found[77].response is None and found[77].error == "ValueError: no" and found[77].attempts == 3
     names = os.listdir(built)
     assert len(names) == len({n.split("-")[0] for n in names}) <= 16  # 80 tasks, one model a process
+
+
+def test_stored_tables_go(spark):
+    table = staging.stored(spark.range(10))
+    other = staging.shared_folder(spark)
+    spark.range(3).write.parquet(other)
+    assert table.count() == 10
+    staging.clean(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(other).count()
