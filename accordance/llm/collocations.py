@@ -190,45 +190,49 @@ class _Words:
 def _pass(k: int, longest: int, shared) -> Callable:
     """Counts the phrases of k words by hash, as rows without a phrase, and those of k - 1 that the shared bit map has by text."""
 
+    def chunk(texts: list[bytes], langs: list[str], number: int | None, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        words = _Words(texts, langs)
+        if not words.n:
+            return
+        if k == 1:
+            n = np.bincount(words.of)
+            yield _table(h=pa.array(_mix(words.hash).view(np.int64)), n=pa.array(n))
+            total = np.bincount(words.lang, n, minlength=len(words.names)).astype(np.int64)
+            yield _table(lang=pa.array(words.names, pa.string()), phrase=pa.array([""] * len(total)), n=pa.array(total))
+            return
+        if words.n < k - 1:
+            return
+        each = words.hash[words.of]
+        raw = each[: words.n - k + 2].copy()
+        for j in range(1, k - 1):
+            raw = raw * _ODD + each[j : j + len(raw)]
+        at = _mix(raw) & np.uint64(len(bits) * 8 - 1)
+        known = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        del at
+        known &= words.piece[: len(raw)] == words.piece[k - 2 :]
+        begin = np.flatnonzero(known)
+        if number:  # the first one is the last of the part before
+            begin = begin[begin > 0]
+        if len(begin):
+            yield words.phrases(begin, k - 1, raw)
+        if k > longest:
+            return
+        begin = np.flatnonzero(known[:-1] & known[1:] & (words.piece[: len(raw) - 1] == words.piece[k - 1 :]))
+        if len(begin):
+            h, n = np.unique(_mix(raw[begin] * _ODD + each[begin + k - 1]), return_counts=True)
+            yield _table(h=pa.array(h.view(np.int64)), n=pa.array(n.astype(np.int64)))
+            if k > 2 and number is None:
+                yield words.rest(begin, k)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8) if shared else None
         for batch in batches:
             for texts, langs, number in _chunks(batch, k):
-                words = _Words(texts, langs)
-                if not words.n:
-                    continue
-                if k == 1:
-                    n = np.bincount(words.of)
-                    yield _table(h=pa.array(_mix(words.hash).view(np.int64)), n=pa.array(n))
-                    total = np.bincount(words.lang, n, minlength=len(words.names)).astype(np.int64)
-                    yield _table(lang=pa.array(words.names, pa.string()), phrase=pa.array([""] * len(total)), n=pa.array(total))
-                    continue
-                if words.n < k - 1:
-                    continue
-                each = words.hash[words.of]
-                raw = each[: words.n - k + 2].copy()
-                for j in range(1, k - 1):
-                    raw = raw * _ODD + each[j : j + len(raw)]
-                at = _mix(raw) & np.uint64(len(bits) * 8 - 1)
-                known = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                known &= words.piece[: len(raw)] == words.piece[k - 2 :]
-                begin = np.flatnonzero(known)
-                if number:  # the first one is the last of the part before
-                    begin = begin[begin > 0]
-                if len(begin):
-                    yield words.phrases(begin, k - 1, raw)
-                if k > longest:
-                    continue
-                begin = np.flatnonzero(known[:-1] & known[1:] & (words.piece[: len(raw) - 1] == words.piece[k - 1 :]))
-                if len(begin):
-                    h, n = np.unique(_mix(raw[begin] * _ODD + each[begin + k - 1]), return_counts=True)
-                    yield _table(h=pa.array(h.view(np.int64)), n=pa.array(n.astype(np.int64)))
-                    if k > 2 and number is None:
-                        yield words.rest(begin, k)
+                yield from chunk(texts, langs, number, bits)  # what it has made goes before the next one is begun
             if 2 < k <= longest:  # texts that overlapping parts were made of are read whole again
-                for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                    if len(text) > CHUNK // 4 and _cut(text.encode()) is None:
-                        yield _table(lang=pa.array([lang], pa.string()), rest=pa.array([text], pa.string()))
+                for row in np.flatnonzero(pc.greater(pc.binary_length(batch["text"]), CHUNK).to_numpy(zero_copy_only=False)).tolist():
+                    if _cut(batch["text"][row].as_py().encode()) is None:
+                        yield _table(lang=batch["lang"].slice(row, 1).cast(pa.string()), rest=batch["text"].slice(row, 1).cast(pa.string()))
 
     return count
 
