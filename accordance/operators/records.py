@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordance.functions.values import hms_to_minutes, to_boolean, to_flag_text, with_normalized
+from accordance.functions.values import hms_to_minutes, let, to_boolean, to_flag_text, with_normalized
 from accordance.sources.staging import stored
 
 # Paths that ground truth repair gives a type.
@@ -38,19 +38,17 @@ def _variant(text: Column, fail_fast: bool = False) -> Column:
     """The one JSON value that a text is; null for any other text. A parser stops after the first value, so what follows is
     found by reading the text as the only member of an array, and where it could end that, of an object too."""
     parse = F.parse_json if fail_fast else F.try_parse_json
-    whole = parse(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(whole, "$[1]", "variant").isNull()
     closing = text.rlike(r"[\]][\s]*,[\s]*[\[]")
-    alone = alone & F.when(closing, F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()).otherwise(True)
-    return F.when(alone, F.try_variant_get(whole, "$[0]", "variant"))
+    member = F.when(closing, F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()).otherwise(True)
+    alone = lambda whole: F.try_variant_get(whole, "$[1]", "variant").isNull() & member
+    return let(parse(F.concat(F.lit("["), text, F.lit("]"))), lambda whole: F.when(alone(whole), F.try_variant_get(whole, "$[0]", "variant")))
 
 
 def _parsed(records: DataFrame, raw: str, fail_fast: bool = False) -> DataFrame:
     """``records`` with v, and with the reason why a text is no object; null for an object."""
     v = _variant(F.col(raw), fail_fast)
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    reason = F.when(F.col(raw).isNull(), "no text").when(F.col("v").isNull(), "no JSON").when(~is_object, "no object")
-    return records.withColumn("v", v).withColumn("reason", reason)
+    kind = lambda x: F.when(x.isNull(), "no JSON").when(~F.schema_of_variant(x).startswith("OBJECT"), "no object")
+    return records.withColumns({"v": v, "reason": F.when(F.col(raw).isNull(), "no text").otherwise(let(v, kind))})
 
 
 def with_context(dead: DataFrame, raw: str = "raw", lines: int = 2) -> DataFrame:
