@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accordance.functions.text import last_segments, progress_bar, shortened, symbol, traffic_light
 from accordance.operators import stats
 from accordance.operators.stats import mean_of_rounded
+from accordance.sources.staging import stored
 
 
 def heat_cell(status: Column, agrees: Column, f1: Column) -> Column:
@@ -97,3 +98,35 @@ def model_overview(scores: DataFrame, models: list[str]) -> dict[str, DataFrame]
         "hard": stats.hard_fields(cross, len(models)),
         "spread": stats.spread_fields(cross),
     }
+
+
+def report_lines(fields: DataFrame, n_pairs: int) -> DataFrame:
+    """The printed report of an evaluation, from its field statistics: section, place (by which a section's lines are ordered,
+    then by path), path and line. Sections: detail (fields with disagreements, most first), missing (fields that the left side
+    never fills in any of ``n_pairs``), texts (free texts by mean F1, lowest first), perfect, and total (no path)."""
+    fields, zero = stored(fields), F.lit(0.0)  # every section reads it
+
+    def section(name: str, rows: DataFrame, place: Column, line: Column) -> DataFrame:
+        return rows.select(F.lit(name).alias("section"), place.cast("double").alias("place"), "path", line.alias("line"))
+
+    text = fields.where("field_type = 'free_text' and mean_f1 is not null")
+    total = stats.grand_totals(fields).withColumn("path", F.lit(None).cast("string"))
+    shares = lambda c, p: F.format_string("%d (%.1f %%)", F.col(c), F.coalesce(F.col(p), zero))
+    entries = F.array(
+        F.concat(F.lit("compared: "), F.col("n_compared").cast("string")),
+        F.concat(F.lit("agree: "), shares("n_agree", "agree_percent")),
+        F.concat(F.lit("disagree: "), shares("n_disagree", "disagree_percent")),
+        F.concat(F.lit("left missing: "), F.col("n_left_missing").cast("string")),
+    )
+    lines = total.select("path", F.posexplode(entries).alias("place", "line"))
+    parts = [
+        section("detail", stats.needs_detail(fields), -F.col("n_disagree"), F.concat(F.col("path"), F.lit(": "), F.col("n_disagree").cast("string"), F.lit(" disagreements"))),
+        section("missing", stats.always_missing(fields, n_pairs), zero, F.col("path")),
+        section("texts", text, F.col("mean_f1"), F.concat(symbol(F.col("mean_f1")), F.lit(" "), F.col("path"), F.format_string(" %.3f", F.col("mean_f1")))),
+        section("perfect", stats.perfect(fields), zero, F.col("path")),
+        section("total", lines, F.col("place"), F.col("line")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

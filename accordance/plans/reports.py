@@ -279,6 +279,31 @@ def always_missing(spark, sf):
     return stats.always_missing(_by_part(spark, sf), 1).select("path", "n_left_missing")
 
 
+_FORMAT = lambda x: f"format('{{:.1f}}', {x})"
+
+
+@_query(f"""{_PERIODS}, named as (select *, part::varchar || '#' || path as name from rated),
+totals as (select sum(n_compared) as c, sum(n_agree) as a, sum(n_disagree) as d, sum(n_left_missing) as l from rated)
+select 'detail' as section, (-n_disagree)::double as place, name as path, name || ': ' || n_disagree || ' disagreements' as line from named where n_disagree >= 2 or agreement_rate < 0.5
+union all select 'missing', 0, name, name from named where n_left_missing = 1
+union all select 'perfect', 0, name, name from named where agreement_rate = 1
+union all select 'total', 0, null, 'compared: ' || c from totals
+union all select 'total', 1, null, 'agree: ' || a || ' (' || {_FORMAT("round(100 * a / c, 1)::double")} || ' %)' from totals
+union all select 'total', 2, null, 'disagree: ' || d || ' (' || {_FORMAT("round(100 * d / c, 1)::double")} || ' %)' from totals
+union all select 'total', 3, null, 'left missing: ' || l from totals""")
+def report_lines(spark, sf):
+    """The printed report of many small sets; texts have a row of their own in worst_texts."""
+    return views.report_lines(_by_part(spark, sf), 1).where("section <> 'texts'")
+
+
+@_query(f"""{_ALPHAS}, by_trial as (select trial, max(alpha) filter (level = 'interval') as i, max(alpha) filter (level = 'nominal') as n from report group by trial)
+select trial, i, n, coalesce(coalesce(i, n) < 0.6, false) as low from by_trial""")
+def low_alpha_trials(spark, sf):
+    """Trials whose interval alpha is low, or the nominal one where there is no other."""
+    wide = _alphas(spark, sf).groupBy("trial").agg(*(F.max(F.when(F.col("level") == level, F.col("alpha"))).alias(c) for level, c in (("interval", "i"), ("nominal", "n"))))
+    return wide.withColumn("low", views.low_alpha(F.col("i"), F.col("n")))
+
+
 _PAIRS = list(range(20))
 _CELLS = ", ".join(f"coalesce(max((case when status = 'both_missing' then -1 when status <> 'filled' then 0.3 when agrees then 1 else coalesce(f1, 0) end + 1) / 2) filter (pair_id % 20 = {k}), 0)::double as \"{k}\"" for k in _PAIRS)
 

@@ -311,3 +311,21 @@ def test_native_plans(spark):
     rows = spark.createDataFrame([("a", '{"a": 1}')], "file_name string, raw string")
     plan = records.annotations(rows, ["file_name"])[0]._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_report_lines_and_low_alpha(spark):
+    sums = "n_compared long, n_agree long, n_disagree long, n_left_missing long, n_right_missing long, n_both_missing long, f1_sum double, f1_n long"
+    rows = [
+        ("a.x", "numeric", 1.0, None, 2, 2, 0, 0, 0, 0, 0.0, 0), ("a.y", "nominal", 0.0, None, 2, 0, 2, 0, 0, 0, 0.0, 0),
+        ("b", "free_text", 0.5, 0.625, 2, 1, 1, 0, 0, 0, 1.25, 2), ("c", "free_text", None, None, 0, 0, 0, 2, 0, 0, 0.0, 0),
+    ]
+    fields = spark.createDataFrame(rows, f"path string, field_type string, agreement_rate double, mean_f1 double, {sums}")
+    found = [(r.section, r.line) for r in views.report_lines(fields, 2).orderBy("section", "place", "path").collect()]
+    assert found == [
+        ("detail", "a.y: 2 disagreements"), ("missing", "c"), ("perfect", "a.x"), ("texts", "🟡 b 0.625"),
+        ("total", "compared: 6"), ("total", "agree: 3 (50.0 %)"), ("total", "disagree: 3 (50.0 %)"), ("total", "left missing: 2"),
+    ]
+    nothing = views.report_lines(fields.where("path is null"), 2).orderBy("place").collect()
+    assert [r.line for r in nothing] == ["compared: 0", "agree: 0 (0.0 %)", "disagree: 0 (0.0 %)", "left missing: 0"]
+    alphas = spark.createDataFrame([(0.7, 0.1), (None, 0.1), (None, None), (0.2, 0.9)], "i double, n double")
+    assert [r.low for r in alphas.select(views.low_alpha(F.col("i"), F.col("n")).alias("low")).collect()] == [False, True, False, True]
