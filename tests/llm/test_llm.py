@@ -294,6 +294,16 @@ def test_urls(spark):
     assert got[3][2:] == (None, "allow") and got[4] == got[5] == ("", "", None, "allow") and got[6][3] == "block" and got[7][1:] == ("", None, "allow")
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    """block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    rows = [(1, "http://a.com/en/x"), (2, "http://example.com/en/71"), (3, "http://a.net/de/x"), (4, "http://b.example.net/de/81"), (5, "http://a.org/es/"), (6, "http://a.org/en/"), (7, None)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op4_filter_urls"](spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block"), 5: ("org/es/", "block"), 6: (None, "allow"), 7: (None, "allow"),
+    }
+
+
 def _by_rules(url, rules, default="allow"):
     """host, path, rule and verdict by trying every rule."""
     host, path = "", ""
