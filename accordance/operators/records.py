@@ -81,7 +81,7 @@ LEVELS = 4
 
 def _quoted(text: Column) -> Column:
     """A JSON string."""
-    return F.substring(F.to_json(F.array(text)), 2, F.length(F.to_json(F.array(text))) - 2)
+    return let(F.to_json(F.array(text)), lambda j: F.substring(j, 2, F.length(j) - 2))
 
 
 def json_value(raw: Column, jtype: Column) -> Column:
@@ -91,14 +91,14 @@ def json_value(raw: Column, jtype: Column) -> Column:
 
 def _jtype(v: Column) -> Column:
     """The type of a variant: that of a number in full, ARRAY, OBJECT, or OBJECT<> for an empty one."""
-    name = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    return F.when(name.startswith("ARRAY"), "ARRAY").when(name == "OBJECT<>", name).when(name.startswith("OBJECT"), "OBJECT").otherwise(name)
+    of = lambda name: F.when(name.startswith("ARRAY"), "ARRAY").when(name == "OBJECT<>", name).when(name.startswith("OBJECT"), "OBJECT").otherwise(name)
+    return let(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), of)
 
 
 def members(text: Column) -> Column:
     """The members of an object's JSON in their order: ordinal, key, raw (text, number or JSON; null for null) and jtype."""
-    raws, values = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
-    zipped = F.arrays_zip(F.map_keys(values).alias("key"), F.map_values(raws).alias("raw"), F.transform(F.map_values(values), _jtype).alias("jtype"))
+    raws = F.map_values(F.from_json(text, "map<string,string>"))
+    zipped = let(F.from_json(text, "map<string,variant>"), lambda values: F.arrays_zip(F.map_keys(values).alias("key"), raws.alias("raw"), F.transform(F.map_values(values), _jtype).alias("jtype")))
     return F.transform(zipped, lambda m, k: F.struct(k.alias("ordinal"), m["key"].alias("key"), m["raw"].alias("raw"), m["jtype"].alias("jtype")))
 
 
@@ -147,10 +147,13 @@ def nested(leaves: DataFrame, keys: list[str]) -> DataFrame:
 
     def piece(leaf: Column, k: Column) -> Column:
         before = F.get("_all", k - 1)["at"]
-        common = F.when(k == 0, 0).otherwise(_shared(before, leaf["at"]))
-        ends = F.when(k == 0, "{").otherwise(F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - common), F.lit(",")))
-        names = F.transform(F.slice(leaf["at"], common + 1, F.size(leaf["at"]) - common), lambda s: F.concat(_quoted(s["key"]), F.lit(":")))
-        return F.concat(ends, F.array_join(names, "{"), leaf["value"])
+
+        def after(common: Column) -> Column:
+            ends = F.when(k == 0, "{").otherwise(F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - common), F.lit(",")))
+            names = F.transform(F.slice(leaf["at"], common + 1, F.size(leaf["at"]) - common), lambda s: F.concat(_quoted(s["key"]), F.lit(":")))
+            return F.concat(ends, F.array_join(names, "{"), leaf["value"])
+
+        return let(F.when(k == 0, 0).otherwise(_shared(before, leaf["at"])), after)
 
     last = F.size(F.element_at("_all", -1)["at"])
     made = F.concat(F.array_join(F.transform("_all", piece), ""), F.repeat(F.lit("}"), last))
@@ -260,11 +263,18 @@ def stamped(records: DataFrame, name: Column, author: Column, raw: str = "raw")
     fresh = F.array(*(F.struct(F.lit(key).alias("key"), F.coalesce(_quoted(value), F.lit("null")).alias("value")) for key, value in (("filnavn", name), ("udfyldt_af", author))))
     pair = lambda m: F.struct(m["key"].alias("key"), json_value(m["raw"], m["jtype"]).alias("value"))
     written = lambda pairs: F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(_quoted(p["key"]), F.lit(":"), p["value"])), ","), F.lit("}"))
-    given = F.map_from_entries(fresh)
-    sections = members(F.when(_variant(F.col(raw)).isNotNull(), F.col(raw)))
-    meta = F.filter(sections, lambda m: (m["key"] == "metadata") & m["jtype"].startswith("OBJECT"))
-    old = members(F.get(meta, F.lit(0))["raw"])
-    kept = F.transform(F.transform(old, pair), lambda p: F.struct(p["key"].alias("key"), F.coalesce(F.try_element_at(given, p["key"]), p["value"]).alias("value")))
-    new = F.concat(kept, F.filter(fresh, lambda p: ~F.array_contains(F.transform(old, lambda m: m["key"]), p["key"])))
-    body = F.transform(F.transform(sections, pair), lambda p: F.struct(p["key"].alias("key"), F.when(p["key"] == "metadata", written(new)).otherwise(p["value"]).alias("value")))
-    return records.withColumn(raw, F.when(F.size(meta) > 0, written(body)))
+    is_meta = lambda m: (m["key"] == "metadata") & m["jtype"].startswith("OBJECT")
+
+    def section(old: Column) -> Column:
+        """The JSON of the metadata, from the pairs that are there."""
+        new = lambda p: F.array_max(F.transform(F.filter("_fresh", lambda f: f["key"] == p["key"]), lambda f: f["value"]))
+        kept = F.transform(old, lambda p: F.struct(p["key"].alias("key"), F.coalesce(new(p), p["value"]).alias("value")))
+        return written(F.concat(kept, F.filter("_fresh", lambda f: ~F.exists(old, lambda p: p["key"] == f["key"]))))
+
+    def body(sections: Column) -> Column:
+        one = lambda m: F.struct(m["key"].alias("key"), F.when(is_meta(m), let(F.transform(members(m["raw"]), pair), section)).otherwise(json_value(m["raw"], m["jtype"])).alias("value"))
+        return F.when(F.exists(sections, is_meta), written(F.transform(sections, one)))
+
+    # each section is read once: what a lambda uses is a lambda's own value or a column
+    at = records.withColumns({"_fresh": fresh, "_sections": members(F.when(_variant(F.col(raw)).isNotNull(), F.col(raw)))})
+    return at.withColumn(raw, body(F.col("_sections"))).select(*records.columns)

@@ -113,3 +113,10 @@ def test_what_follows_a_value_is_no_json(spark):
     got = {r.id: None for r in good.collect()} | {r.id: r.reason for r in bad.collect()}
     assert got == {k: of(t) for k, t in enumerate(texts)}
     assert {r.id for r in records.leaves(spark.createDataFrame(list(enumerate(texts)), "id int, raw string"), ["id"]).select("id").distinct().collect()} == {k for k, t in enumerate(texts) if of(t) is None}
+
+
+def test_stamping_reads_each_section_once(spark):
+    """The record's members and those of its metadata, each as texts and as variants: four readings, however often they are used."""
+    rows = spark.createDataFrame([(1, '{"metadata":{}}')], "id int, raw string")
+    plan = records.stamped(rows, F.lit("f"), F.lit("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 4
