@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from accordance.operators import agreement, checks, cleaning, compare, generate, match, records, stats, views
+from accordance.operators import agreement, checks, cleaning, compare, dealing, generate, match, records, stats, views
 from accordance.sources import docx, files
 from accordance.streaming import incremental
 
@@ -91,6 +91,17 @@ def test_compare_and_scores(spark):
     assert stats.worst_topics(stats.topic_stats(fields)).count() == 4 and views.report_json(fields).count() == 7
 
 
+def test_fields_are_dealt_by_rows(spark):
+    assert [dealing.tasks(n) for n in (0, 1, 500_000, 500_001, 10**8, 8 * 10**8, 8 * 10**8 + 1)] == [1, 1, 1, 2, 200, 200, 201]
+    rows = spark.range(300).select(F.col("id").alias("pair_id"), F.expr("'patient.' || id % 3").alias("path"), F.lit("num").alias("kind"), F.col("id").cast("double").alias("num"), F.col("id").cast("string").alias("txt"))
+    left, right = rows.where("pair_id % 3 <> 0"), rows.where("pair_id % 5 <> 0")
+    dealt = compare.compare_fields(left, right, rows=9_000_000)
+    assert dealt.rdd.getNumPartitions() == 18  # tasks of half a million rows, however few bytes they have
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, compare.compare_fields(left, right).collect()))
+    scored = [x.withColumn("model", F.expr("'m' || pair_id % 2")) for x in (left, right)]
+    assert compare.score_fields(*scored, rows=9_000_000).rdd.getNumPartitions() == 18
+
+
 def test_empty_tables(spark):
     none = _ann(spark, [])
     fields = stats.field_stats(compare.compare_fields(none, none))
