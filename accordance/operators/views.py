@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accordance.functions.text import last_segments, progress_bar, shortened, symbol, traffic_light
 from accordance.operators import stats
+from accordance.operators.dealing import dealt
 from accordance.operators.stats import mean_of_rounded
 from accordance.sources.staging import stored
 
@@ -22,10 +23,17 @@ def heatmap(compared: DataFrame, pair: str = "pair_id") -> DataFrame:
     return compared.select("path", pair, heat_cell(F.col("status"), F.col("agrees"), F.col("f1")).alias("cell"))
 
 
-def heatmap_matrix(compared: DataFrame, pairs: list, fields: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """A row for each path of ``fields`` and a column for each of ``pairs`` (a few); 0 where a pair lacks the path."""
-    cells = heatmap(compared, pair).join(fields.select("path").distinct(), "path", "left_semi")
-    return cells.groupBy("path").pivot(pair, pairs).agg(F.max("cell")).na.fill(0.0)
+def heatmap_matrix(compared: DataFrame, pairs: list, fields: DataFrame | None = None, pair: str = "pair_id", rows: int | None = None) -> DataFrame:
+    """A row for each path of ``fields`` (of ``compared`` without it) and a column for each of ``pairs`` (a few); 0 where a pair lacks the path.
+
+    ``rows``: about how many ``compared`` has. Its cells are dealt by path to as many tasks as hold them, by the session without it.
+    """
+    cells = heatmap(compared, pair)
+    if fields is not None:
+        cells = cells.join(fields.select("path").distinct(), "path", "left_semi")
+    # narrow rows are shuffled once; a pivot would shuffle them by path and pair, and then as wide as there are pairs
+    columns = (F.coalesce(F.max(F.when(F.col(pair).eqNullSafe(F.lit(p)), F.col("cell"))), F.lit(0.0)).alias(str(p)) for p in pairs)
+    return dealt(cells, rows, "path").groupBy("path").agg(*columns)
 
 
 def topic_bars(topics: DataFrame) -> DataFrame:

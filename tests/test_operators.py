@@ -165,6 +165,18 @@ def test_overviews(spark):
     assert [r.path for r in tables["hard"].collect()] == [r.path for r in tables["spread"].collect()] == ["p"]
 
 
+def test_heatmap_matrix(spark):
+    rows = [(1, "a", "filled", True, None), (2, "a", "filled", False, 0.5), (1, "b", "both_missing", None, None), (2, "b", "left_missing", False, None), (3, "c", "filled", True, None), (1, None, "filled", True, None)]
+    compared = spark.createDataFrame(rows, "pair_id int, path string, status string, agrees boolean, f1 double")
+    want = {("a", 1.0, 0.75), ("b", 0.0, 0.65), ("c", 0.0, 0.0), (None, 1.0, 0.0)}
+    for n in (None, 9_000_000):
+        table = views.heatmap_matrix(compared, [1, 2], rows=n)
+        assert table.columns == ["path", "1", "2"] and set(map(tuple, table.collect())) == want
+    assert table.rdd.getNumPartitions() == 18
+    few = views.heatmap_matrix(compared, [1, 2], compared.where("path <> 'c'"))
+    assert {r.path for r in few.collect()} == {"a", "b"}
+
+
 def test_range_warnings(spark):
     rows = [("patient.BMI", "10"), ("patient.BMI", "80"), ("patient.BMI", "10.1"), ("patient.ESS", "24"), ("patient.ESS", "25"), ("soevn_opsummering.soevneffektivitet_procent", "100"), ("soevn_opsummering.total_soevntid_tst_min", "700"), ("respirations_analyse.ahi_total", "150"), ("spo2_oversigt.minimum_procent.total", "50"), ("spo2_oversigt.minimum_procent.total", "49,5%"), ("patient.BMI", None)]
     found = checks.range_warnings(spark.createDataFrame(rows, "path string, raw string"), [])
