@@ -1,5 +1,6 @@
 """Data sources of named files and Word files."""
 
+import gzip
 import io
 import zipfile
 
@@ -77,3 +78,19 @@ def test_partitions_by_size():
     groups = word.dealt(sizes, 500, 0)
     assert sorted(p for g in groups for p in g) == sorted(p for p, _ in sizes) and ["large"] in groups
     assert all(len(g) == 1 or sum(dict(sizes)[p] for p in g) <= 500 for g in groups) and len(groups) < 35
+
+
+def test_texts_are_read_as_bytes_unless_compressed(spark, tmp_path, capsys):
+    for name, content in {"a.txt": b"\xef\xbb\xbfx\r\n\xff\xc3", "b b+%41.txt": "æ\n\n".encode(), "none.txt": b"", "_h.txt": b"h", "c.json": b"{}", "in/d.txt": b"d", "e.txt.gz": gzip.compress(b"e")}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    for pattern, recursive, n in (("*.txt", False, 2), ("*.txt", True, 3), ("*.json", False, 1), ("*.gz", False, 1), ("*.t*", False, 3)):
+        whole = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(str(tmp_path), wholetext=True)
+        want = whole.select("_metadata.file_name", "_metadata.file_path", F.hex("value"), F.length("value"))
+        found = files.texts(spark, str(tmp_path), pattern, recursive)
+        assert found.columns == ["file_name", "file_path", "text"] and found.schema["text"].dataType.simpleString() == "string"
+        assert sorted(map(tuple, found.select("file_name", "file_path", F.hex("text"), F.length("text")).collect())) == sorted(map(tuple, want.collect()))
+        assert found.count() == n
+        capsys.readouterr()
+        found.explain("formatted")
+        assert ("binaryFile" in capsys.readouterr().out) == pattern.endswith((".txt", ".json"))
