@@ -17,6 +17,14 @@ def path_list(spark: SparkSession, path: str, n: int | None = None) -> DataFrame
     return paths if n is None else paths.orderBy("pos").limit(n)
 
 
+#: Tasks a core of a scan of many small files; Spark makes one of every few files, whose start takes longer than their reading.
+TASKS_A_CORE = 32
+
+
+def _fewer_tasks(found: DataFrame) -> DataFrame:
+    return found.coalesce(TASKS_A_CORE * found.sparkSession.sparkContext.defaultParallelism)
+
+
 def texts(spark: SparkSession, folder: str, pattern: str = "*.txt", recursive: bool = False, **options) -> DataFrame:
     """file_name, file_path and text of each file.
 
@@ -26,7 +34,7 @@ def texts(spark: SparkSession, folder: str, pattern: str = "*.txt", recursive: b
     reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).options(**options)
     plain = pattern.endswith((".txt", ".json"))
     found = reader.format("binaryFile").load(folder) if plain else reader.text(folder, wholetext=True)
-    return found.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("content" if plain else "value").cast("string").alias("text"))
+    return _fewer_tasks(found.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("content" if plain else "value").cast("string").alias("text")))
 
 
 def json_records(spark: SparkSession, folder: str, source: str, recursive: bool = False) -> DataFrame:
@@ -46,7 +54,7 @@ def trial_records(spark: SparkSession, folders: list[str]) -> DataFrame:
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """file_name, file_path and content of Word files, for sources.docx."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder)
-    return found.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file_name"), F.col("path").alias("file_path"), "content")
+    return _fewer_tasks(found.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file_name"), F.col("path").alias("file_path"), "content"))
 
 
 def listed(found: DataFrame, paths: DataFrame) -> DataFrame:

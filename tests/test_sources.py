@@ -94,3 +94,16 @@ def test_texts_are_read_as_bytes_unless_compressed(spark, tmp_path, capsys):
         capsys.readouterr()
         found.explain("formatted")
         assert ("binaryFile" in capsys.readouterr().out) == pattern.endswith((".txt", ".json"))
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"f{k}.txt").write_text(str(k))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a task a file
+    try:
+        found = files.texts(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() == 32 * spark.sparkContext.defaultParallelism
+        assert {r.file_name: r.text for r in found.collect()} == {f"f{k}.txt": str(k) for k in range(300)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
